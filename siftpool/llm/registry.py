@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.substring import repeats_digest
+
+    return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.decontaminate import contained_items
+
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.neardup import near_duplicates
 
