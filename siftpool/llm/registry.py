@@ -17,6 +17,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.packing import packed_ids
+
+    return packed_ids(_table(spark, sf_dir, "documents"), _vocabulary(), size=1024)
+
+
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.packing import retrieval_packed
+
+    return retrieval_packed(_table(spark, sf_dir, "documents"), _vocabulary(), size=1024)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.decontaminate import contained_items
 
