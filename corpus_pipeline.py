@@ -1,20 +1,56 @@
-"""Corpus cleaning pipeline: each stage is one operator of siftpool.llm over all that its predecessor kept."""
+"""Corpus cleaning pipeline: each stage is one operator of siftpool.llm over all that its predecessor kept.
+
+Null and empty texts, repeated rows, empty tables and further columns are
+handled as the operators' docstrings say; all stages but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftpool.llm.decontaminate import without_items
 from siftpool.llm.neardup import near_duplicates
-from siftpool.llm.textops import written
+from siftpool.llm.packing import retrieval_packed
+from siftpool.llm.registry import vocabulary
+from siftpool.llm.substring import without_repeats
+from siftpool.llm.textops import fresh, written
+from siftpool.llm.toxicity import fit_toxicity, with_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go; the model is fitted on labelled documents."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = fresh(docs, "score")
+    return with_toxicity(docs, model, score=score, below=0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of every window of 35 words that occurs more than once go; n_chars follows."""
+    out = without_repeats(docs, window=35)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 % of a benchmark item's shingles go."""
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as sequences of 1024 tokens; a row for each piece."""
+    return retrieval_packed(docs, vocabulary(), size=1024)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("benchmark_decontamination", benchmark_decontamination), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Trained scores and token ids are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

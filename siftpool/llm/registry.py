@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
-def _vocabulary() -> str:
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.toxicity import fit_toxicity, held_out, with_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+    return with_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -26,13 +35,13 @@ def _vocabulary() -> str:
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.packing import packed_ids
 
-    return packed_ids(_table(spark, sf_dir, "documents"), _vocabulary(), size=1024)
+    return packed_ids(_table(spark, sf_dir, "documents"), vocabulary(), size=1024)
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.packing import retrieval_packed
 
-    return retrieval_packed(_table(spark, sf_dir, "documents"), _vocabulary(), size=1024)
+    return retrieval_packed(_table(spark, sf_dir, "documents"), vocabulary(), size=1024)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
