@@ -18,6 +18,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.toxicity import fit_toxicity, held_out, with_toxicity
 
