@@ -50,6 +50,12 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packed(_table(spark, sf_dir, "documents"), vocabulary(), size=1024)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.fingerprint import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.decontaminate import contained_items
 
