@@ -62,6 +62,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.language import fit_language, with_language
+    from siftpool.llm.toxicity import held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit_language(docs, ~out)
+    return with_language(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.neardup import near_duplicates
 
