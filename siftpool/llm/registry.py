@@ -18,6 +18,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), window=35)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftpool.llm.chat import conversation_digest
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return conversation_digest(_table(spark, sf_dir, "conversations").select(more.columns).unionByName(more))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftpool.llm.licenses import scan_licenses
 
