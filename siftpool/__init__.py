@@ -1,0 +1 @@
+"""Pool search and active learning as Spark jobs."""
