@@ -1,9 +1,601 @@
-"""Queries over the pool-search operators."""
+"""Queries over whole tables, one for each operator, and DuckDB SQL for the same rows where SQL can say it.
 
+The pool is mostly part, with p_size and p_retailprice as features; the parts of
+one brand count as evaluated. Doubles are rounded to six places on both sides.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftpool.functions import metrics as M
+from siftpool.functions.frames import anti, by_key, top
+from siftpool.operators import acquisition as acq
+from siftpool.operators import proposers as P
+from siftpool.operators.design import grid, grid_size, lhs_design, sobol_design
+from siftpool.operators.distance import DISTANCES, Affine, Gower, Standardize
+from siftpool.operators.modifiers import Diversity, LocalPenalization
+from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
+from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, QuantileNeighbours, Trees, ensemble_summary
+from siftpool.operators.vectors import nearest_vector
+from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, pool_active_learning
+from siftpool.plans.search import Evals, Search
+from siftpool.sources.objectives import Dataset, PoolWrapper, lookup
+from siftpool.space import Codomain, Needs, Space, p_dbl, p_fct, p_int, p_lgl
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+EVALUATED = "Brand#11"
+PART = Space((p_int("p_size", 1, 50), p_dbl("p_retailprice", 900, 1000)))
+SIZE = Space((p_int("p_size", 1, 50),))
+SUPPLIER = Space((p_dbl("s_acctbal", -1000, 10000), p_int("s_nationkey", 0, 24)))
+CUSTOMER = Space((p_dbl("c_acctbal", -1000, 10000), p_int("c_nationkey", 0, 24), p_fct("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: str | Column, name: str | None = None) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col.cast("double"), 6).alias(name or c)
+
+
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All parts, the evaluated ones with their price as output, and the rest."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    return part, part.where(F.col("p_brand") == EVALUATED).withColumn("y", F.col("p_retailprice")), part.where(F.col("p_brand") != EVALUATED)
+
+
+# --- distances
+
+_STATS = "st AS (SELECT avg(p_size) ms, stddev_samp(p_size) ss, avg(p_retailprice) mr, stddev_samp(p_retailprice) sr FROM part)"
+_D = "sqrt(pow((c.p_size - e.p_size) / ss, 2) + pow((c.p_retailprice - e.p_retailprice) / sr, 2))"
+_GSX = f"WITH {_STATS}, sc AS (SELECT c.p_partkey, c.p_size, c.p_retailprice, min({_D}) score FROM part c, part e, st WHERE c.p_brand <> '{EVALUATED}' AND e.p_brand = '{EVALUATED}' GROUP BY ALL)"
+
+
+@query(f"{_GSX} SELECT p_partkey, round(score, 6) score FROM sc")
+def acq_gsx(spark, sf_dir):
+    part, done, rest = _parts(spark, sf_dir)
+    score = acq.GSx("standardize").fit(part, PART).update(done, "y")
+    return score.score(rest).select("p_partkey", r6("score"))
+
+
+@query(f"{_GSX} SELECT p_partkey, round(score, 6) score FROM sc ORDER BY round(score, 9) DESC, p_partkey LIMIT 20")
+def propose_topk(spark, sf_dir):
+    part, done, rest = _parts(spark, sf_dir)
+    rows = acq.GSx("standardize").fit(part, PART).update(done, "y").score(rest).withColumn("score", F.round("score", 9))
+    return top(rows, "score", 20, ["p_partkey"]).select("p_partkey", r6("score"))
+
+
+def _supplier_pairs(spark, sf_dir, dist) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return dist.fit(s, SUPPLIER).set_references(s, ("s_suppkey",)).pairs(s.withColumnRenamed("s_suppkey", "a"), {"s_suppkey": "b"}).select("a", "b", r6("distance"))
+
+
+@query("WITH st AS (SELECT (max(s_acctbal) - min(s_acctbal)) / 2 ra, (max(s_nationkey) - min(s_nationkey)) / 2.0 rn FROM supplier) SELECT x.s_suppkey a, y.s_suppkey b, round(sqrt(pow((x.s_acctbal - y.s_acctbal) / ra, 2) + pow((x.s_nationkey - y.s_nationkey) / rn, 2)), 6) distance FROM supplier x, supplier y, st")
+def dist_affine_pairs(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir, Affine())
+
+
+@query("WITH st AS (SELECT stddev_samp(s_acctbal) ra, stddev_samp(s_nationkey) rn FROM supplier) SELECT x.s_suppkey a, y.s_suppkey b, round(sqrt(pow((x.s_acctbal - y.s_acctbal) / ra, 2) + pow((x.s_nationkey - y.s_nationkey) / rn, 2)), 6) distance FROM supplier x, supplier y, st")
+def dist_standardize_pairs(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir, Standardize())
+
+
+@query("WITH st AS (SELECT max(s_acctbal) - min(s_acctbal) ra, max(s_nationkey) - min(s_nationkey) rn FROM supplier) SELECT x.s_suppkey a, y.s_suppkey b, round((abs(x.s_acctbal - y.s_acctbal) / ra + abs(x.s_nationkey - y.s_nationkey) / rn) / 2, 6) distance FROM supplier x, supplier y, st")
+def dist_gower_pairs(spark, sf_dir):
+    return _supplier_pairs(spark, sf_dir, Gower())
+
+
+_MODES = {"minmax_auto": ("max(c_acctbal) - min(c_acctbal)", "max(c_nationkey) - min(c_nationkey)"), "minmax_space": ("11000.0", "24.0"), "minmax_empirical": ("max(c_acctbal) - min(c_acctbal)", "max(c_nationkey) - min(c_nationkey)"), "standardize": ("stddev_samp(c_acctbal)", "stddev_samp(c_nationkey)"), "off": ("1.0", "1.0")}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS scale, c.c_custkey, round(min((abs(c.c_acctbal - e.s_acctbal) / ra + abs(c.c_nationkey - e.s_nationkey) / rn) / 2), 6) distance FROM customer c, supplier e, (SELECT {a} ra, {b} rn FROM customer) st GROUP BY ALL" for m, (a, b) in _MODES.items()
+    )
+)
+def dist_gower_modes(spark, sf_dir):
+    c, out = table(spark, sf_dir, "customer"), None
+    space = CUSTOMER.select(["c_acctbal", "c_nationkey"])
+    refs = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey"))
+    for mode in Gower.MODES:
+        one = Gower(mode).fit(c, space).set_references(refs).nearest(c).select(F.lit(mode).alias("scale"), "c_custkey", r6("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LEVELS = CUSTOMER["c_mktsegment"].levels
+
+
+@query(
+    "WITH st AS (SELECT avg(c_acctbal) ma, stddev_samp(c_acctbal) sa, avg(c_nationkey) mn, stddev_samp(c_nationkey) sn, "
+    + ", ".join(f"avg((c_mktsegment = '{v}')::INT) m{i}, stddev_samp((c_mktsegment = '{v}')::INT) s{i}" for i, v in enumerate(_LEVELS))
+    + " FROM customer) SELECT c_custkey, round((c_acctbal - ma) / sa, 6) e0, round((c_nationkey - mn) / sn, 6) e1, "
+    + ", ".join(f"round(((c_mktsegment = '{v}')::INT - m{i}) / s{i}, 6) e{i + 2}" for i, v in enumerate(_LEVELS))
+    + " FROM customer, st"
+)
+def embed_standardize(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", *(r6(e, f"e{i}") for i, e in enumerate(Standardize().fit(c, CUSTOMER).embedding())))
+
+
+@query("SELECT c.vec_id, round(min(sqrt(list_sum([pow(x[1]::DOUBLE - x[2]::DOUBLE, 2) for x in list_zip(c.embedding, e.embedding)]))), 5) distance FROM embeddings c, embeddings e WHERE c.label <> 0 AND e.label = 0 GROUP BY ALL")
+def embedding_gsx(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_vector(rows.where("label <> 0"), rows.where("label = 0"), "embedding").select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+# --- acquisition scores with a model of price by size
+
+_MODEL = f"m AS (SELECT regr_slope(p_retailprice, p_size) b, regr_intercept(p_retailprice, p_size) a FROM part WHERE p_brand = '{EVALUATED}')"
+_PAIRS = f"WITH {_MODEL}, st AS (SELECT (max(p_size) - min(p_size)) / 2.0 h FROM part), pr AS (SELECT c.p_partkey, abs(c.p_size - e.p_size) / h d, abs(a + b * c.p_size - e.p_retailprice) r FROM part c, part e, m, st WHERE c.p_brand <> '{EVALUATED}' AND e.p_brand = '{EVALUATED}')"
+
+
+def _modelled(spark, sf_dir, score) -> DataFrame:
+    part, done, rest = _parts(spark, sf_dir)
+    model = Linear().fit(done, SIZE, "y")
+    return score.fit(part, SIZE).update(done, "y").score(model.predict(rest)).select("p_partkey", r6("score"))
+
+
+@query(f"{_PAIRS} SELECT p_partkey, round(min(r), 6) score FROM pr GROUP BY ALL")
+def acq_gsy(spark, sf_dir):
+    return _modelled(spark, sf_dir, acq.GSy())
+
+
+@query(f"{_PAIRS} SELECT p_partkey, round(min(d * r), 6) score FROM pr GROUP BY ALL")
+def acq_igs(spark, sf_dir):
+    return _modelled(spark, sf_dir, acq.IGS("affine"))
+
+
+@query(
+    f"{_PAIRS}, w AS (SELECT p_partkey, count(*) FILTER (d * d <= 1e-12) n, sum(r * r) FILTER (d * d <= 1e-12) ex, sum(exp(-d * d) / (d * d)) FILTER (d * d > 1e-12) s, sum(exp(-d * d) / (d * d) * r * r) FILTER (d * d > 1e-12) sr FROM pr GROUP BY ALL) "
+    "SELECT p_partkey, round(CASE WHEN n > 0 THEN ex / n ELSE sr / s + 2 / pi() * atan(1 / s) END, 6) score FROM w"
+)
+def acq_ideal(spark, sf_dir):
+    return _modelled(spark, sf_dir, acq.Ideal("affine"))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier), st AS (SELECT (max(s_acctbal) - min(s_acctbal)) / 2 ra, (max(s_nationkey) - min(s_nationkey)) / 2.0 rn FROM p), "
+    "pr AS (SELECT x.s_acctbal, x.s_nationkey, sqrt(pow((x.s_acctbal - y.s_acctbal) / ra, 2) + pow((x.s_nationkey - y.s_nationkey) / rn, 2)) d FROM p x, p y, st WHERE (x.s_acctbal, x.s_nationkey) <> (y.s_acctbal, y.s_nationkey)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY s_acctbal, s_nationkey ORDER BY d) n FROM pr), q AS (SELECT s_acctbal, s_nationkey, pow(avg(d), 2) m FROM k WHERE n <= 2 GROUP BY ALL) "
+    "SELECT s_acctbal, s_nationkey, round(CASE WHEN m > 0 THEN (SELECT min(m) FROM q WHERE m > 0) / m ELSE 1 END, 6) density FROM q"
+)
+def ideal_density(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return acq.density(s, Affine().fit(s, SUPPLIER), SUPPLIER).select("s_acctbal", "s_nationkey", r6("density"))
+
+
+# --- batches
+
+_CAND = f"cand AS (SELECT DISTINCT p_size, p_retailprice FROM part WHERE (p_size, p_retailprice) NOT IN (SELECT (p_size, p_retailprice) FROM part WHERE p_brand = '{EVALUATED}'))"
+_SCORED = f"WITH {_STATS}, {_CAND}, s0 AS (SELECT c.p_size, c.p_retailprice, min({_D}) u FROM cand c, part e, st WHERE e.p_brand = '{EVALUATED}' GROUP BY ALL)"
+_GOWER = "(abs(s.p_size - q.p_size) / 49.0 + abs(s.p_retailprice - q.p_retailprice) / 100.0) / 2"
+
+
+def _picks(n: int, utility: Callable[[int], str]) -> str:
+    """n picks, each the first of the highest utility(k) given the k picks before; utility() is SQL over s0 s for rows of s."""
+    out = ""
+    for k in range(n):
+        taken = "".join(f" AND (s.p_size, s.p_retailprice) <> (SELECT (p_size, p_retailprice) FROM t{j})" for j in range(k))
+        out += f", t{k} AS (SELECT s.p_size, s.p_retailprice FROM ({utility(k)}) s WHERE u > '-inf'::DOUBLE{taken} ORDER BY round(u, 9) DESC, s.p_size, s.p_retailprice LIMIT 1)"
+    return out
+
+
+def _chosen(k: int) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT * FROM t{j}" for j in range(k)) + ")"
+
+
+def _all(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT p_size::BIGINT p_size, p_retailprice FROM t{j}" for j in range(n))
+
+
+def _context(spark, sf_dir) -> P.Context:
+    part, done, _ = _parts(spark, sf_dir)
+    pool = part.select("p_size", "p_retailprice").distinct()
+    return P.Context(spark, PART, done.select("p_size", "p_retailprice", "y"), "y", pool)
+
+
+class _OverAllParts(acq.GSx):
+    """Scaled by all parts, as they are stored, rather than by distinct feature rows."""
+
+    def __init__(self, part: DataFrame):
+        super().__init__("standardize")
+        self.part = part
+
+    def fit(self, pool, space):
+        return super().fit(self.part, space)
+
+
+def _proposed(spark, sf_dir, make, n) -> DataFrame:
+    part = _parts(spark, sf_dir)[0]
+    return make(_OverAllParts(part)).propose(_context(spark, sf_dir), n).select(F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice")
+
+
+@query(_SCORED + _picks(5, lambda k: "SELECT * FROM s0" if not k else f"SELECT s.p_size, s.p_retailprice, CASE WHEN min({_GOWER}) <= 0.1 THEN '-inf'::DOUBLE ELSE any_value(s.u) END u FROM s0 s, {_chosen(k)} q GROUP BY ALL") + " " + _all(5))
+def propose_local_penalization(spark, sf_dir):
+    return _proposed(spark, sf_dir, lambda a: P.SequentialScore(a, LocalPenalization(0.1)), 5)
+
+
+@query(
+    _SCORED
+    + _picks(4, lambda k: "SELECT * FROM s0" if not k else f"SELECT p_size, p_retailprice, 0.5 * (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) + 0.5 * (u - min(u) OVER ()) / (max(u) OVER () - min(u) OVER ()) u FROM (SELECT s.p_size, s.p_retailprice, any_value(s.u) u, min({_GOWER}) g FROM s0 s, {_chosen(k)} q GROUP BY ALL)")
+    + " "
+    + _all(4)
+)
+def propose_diversity(spark, sf_dir):
+    return _proposed(spark, sf_dir, lambda a: P.SequentialScore(a, Diversity(0.5)), 4)
+
+
+_NEARER = "SELECT s.p_size, s.p_retailprice, least(any_value(s.u), min(sqrt(pow((s.p_size - q.p_size) / ss, 2) + pow((s.p_retailprice - q.p_retailprice) / sr, 2)))) u FROM s0 s, {} q, st GROUP BY ALL"
+
+
+@query(_SCORED + _picks(5, lambda k: "SELECT * FROM s0" if not k else _NEARER.format(_chosen(k))) + " " + _all(5))
+def propose_seq_reference(spark, sf_dir):
+    return _proposed(spark, sf_dir, lambda a: P.SequentialReference(a), 5)
+
+
+@query(_SCORED + _picks(4, lambda k: "SELECT p_size, p_retailprice, " + ("u" if k % 2 == 0 else "p_retailprice * 1.0 AS u") + " FROM s0") + " " + _all(4))
+def portfolio_round_robin(spark, sf_dir):
+    class Dear(acq.Acquisition):
+        def score(self, cands, out="score"):
+            return cands.withColumn(out, F.col("p_retailprice"))
+
+    return _proposed(spark, sf_dir, lambda a: P.Portfolio([P.Score(a), P.Score(Dear())]), 4)
+
+
+@query()
+def propose_pseudo_label(spark, sf_dir):
+    part = _parts(spark, sf_dir)[0]
+    score = acq.IGS("affine")
+    return P.PseudoLabel(score).propose(P.Context(spark, PART, _parts(spark, sf_dir)[1].select("p_size", "p_retailprice", "y"), "y", part.select("p_size", "p_retailprice").distinct(), surrogate=Linear()), 3)
+
+
+# --- pools, lookups, spaces
+
+
+@query(f"SELECT p_partkey, p_size::BIGINT p_size, p_retailprice FROM part WHERE p_size BETWEEN 5 AND 20 AND p_brand IN ('Brand#1', 'Brand#2', '{EVALUATED}') AND p_retailprice <= 950")
+def pool_filter_space(spark, sf_dir):
+    space = Space((p_int("p_size", 5, 20), p_dbl("p_retailprice", 0, 950), p_fct("p_brand", ["Brand#1", "Brand#2", EVALUATED])))
+    return space.pool_candidates(table(spark, sf_dir, "part")).select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice")
+
+
+@query("SELECT (o_totalprice BETWEEN 1000 AND 250000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')) OR (o_totalprice > 250000 AND o_orderpriority IS NULL) valid, count(*) n FROM orders GROUP BY ALL")
+def valid_mask(spark, sf_dir):
+    space = Space((p_dbl("o_totalprice", 1000, 250000), p_fct("o_orderpriority", ["1-URGENT", "2-HIGH"])))
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(space.valid(o).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey::BIGINT END c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3) THEN c_acctbal END c_acctbal FROM customer")
+def design_apply(spark, sf_dir):
+    space = Space(CUSTOMER.params, (Needs("c_nationkey", "c_mktsegment", ("BUILDING",)), Needs("c_acctbal", "c_nationkey", (1, 2, 3))))
+    return space.apply_design(table(spark, sf_dir, "customer")).select("c_custkey", F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_acctbal")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, o_totalprice y FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def pool_lookup_strict(spark, sf_dir):
+    pool = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("y"))
+    return lookup(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), pool, ["l_orderkey"]).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "y")
+
+
+@query("SELECT s_suppkey, s_nationkey::BIGINT s_nationkey, s_acctbal + s_nationkey y FROM supplier")
+def pool_wrapper(spark, sf_dir):
+    from siftpool.sources.objectives import Function
+
+    s = table(spark, sf_dir, "supplier")
+    inner = Function(lambda df: df.withColumn("y", F.col("s_acctbal") + F.col("s_nationkey")), SUPPLIER, Codomain({"y": "minimize"}))
+    wrapped = PoolWrapper(s, inner, Space((p_int("s_suppkey"),)))
+    return wrapped.evaluate(s.select("s_suppkey")).join(s.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("s_nationkey")), "s_suppkey").select("s_suppkey", "s_nationkey", "y")
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey IS NOT DISTINCT FROM c.c_custkey)")
+def unevaluated_antijoin(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return anti(table(spark, sf_dir, "customer"), seen, ["c_custkey"]).select("c_custkey")
+
+
+# --- samplers
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_acctbal", "s_nationkey").distinct()
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"))
+
+
+_S0 = "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier), st AS (SELECT avg(s_acctbal) ma, stddev_samp(s_acctbal) ra, avg(s_nationkey) mn, stddev_samp(s_nationkey) rn FROM {})"
+_SD = "pow((s.s_acctbal - q.s_acctbal) / ra, 2) + pow((s.s_nationkey - q.s_nationkey) / rn, 2)"
+
+
+def _farthest(n: int, first: str, known: str = "") -> str:
+    out = f", t0 AS ({first})"
+    for k in range(1, n):
+        refs = " UNION ALL ".join([f"SELECT * FROM t{j}" for j in range(k)] + ([known] if known else []))
+        taken = "".join(f" AND (s.s_acctbal, s.s_nationkey) <> (SELECT (s_acctbal, s_nationkey) FROM t{j})" for j in range(k))
+        out += f", t{k} AS (SELECT s.s_acctbal, s.s_nationkey FROM p s, ({refs}) q, st WHERE true{taken} GROUP BY s.s_acctbal, s.s_nationkey ORDER BY round(sqrt(min({_SD})), 9) DESC, s.s_acctbal, s.s_nationkey LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM t{j}" for j in range(n))
+
+
+@query(_S0.format("p") + _farthest(5, "SELECT s_acctbal, s_nationkey FROM p, st ORDER BY round(pow((s_acctbal - ma) / ra, 2) + pow((s_nationkey - mn) / rn, 2), 9), s_acctbal, s_nationkey LIMIT 1"))
+def sampler_gsx(spark, sf_dir):
+    return _told(sampler("gsx").sample(5, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+_KNOWN = "SELECT c_acctbal s_acctbal, c_nationkey s_nationkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 0"
+
+
+@query(
+    f"{_S0.format(f'(SELECT * FROM p UNION ALL {_KNOWN})')}, kn AS ({_KNOWN})"
+    + _farthest(4, f"SELECT s.s_acctbal, s.s_nationkey FROM p s, kn q, st GROUP BY ALL ORDER BY round(sqrt(min({_SD})), 9) DESC, s.s_acctbal, s.s_nationkey LIMIT 1", "SELECT * FROM kn")
+)
+def sampler_gsx_known(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal < 0").select(F.col("c_acctbal").alias("s_acctbal"), F.col("c_nationkey").alias("s_nationkey"))
+    pool = _suppliers(spark, sf_dir)
+    dist = Standardize().fit(pool.unionByName(known), SUPPLIER)
+    return _told(picked_rows(spark, farthest_first(pool, SUPPLIER, dist, 4, known), SUPPLIER))
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 50")
+def sampler_uniform_md5(spark, sf_dir):
+    return sampler("uniform", seed=7).sample(50, Space((p_int("p_partkey"),)), table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("bigint").alias("p_partkey"))
+
+
+@query(
+    "WITH n AS (SELECT count(*) n FROM part), a AS (SELECT p_partkey FROM part, n ORDER BY md5('1:' || p_partkey), p_partkey LIMIT (SELECT greatest(8, round_even(n * pow(8.0 / n, 0.5), 0))::BIGINT FROM n)) "
+    "SELECT p_partkey FROM a ORDER BY md5('2:' || p_partkey), p_partkey LIMIT 8"
+)
+def sampler_chain(spark, sf_dir):
+    both = sampler("chain", samplers=[sampler("uniform", seed=1), sampler("uniform", seed=2)])
+    return both.sample(8, Space((p_int("p_partkey"),)), table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("bigint").alias("p_partkey"))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier), st AS (SELECT max(s_acctbal) - min(s_acctbal) ra, max(s_nationkey) - min(s_nationkey) rn FROM p) "
+    "SELECT x.s_acctbal, x.s_nationkey::BIGINT s_nationkey FROM p x, p y, st GROUP BY ALL ORDER BY round(sum((abs(x.s_acctbal - y.s_acctbal) / ra + abs(x.s_nationkey - y.s_nationkey) / rn) / 2), 9), 1, 2 LIMIT 1"
+)
+def sampler_kmedoids_single(spark, sf_dir):
+    return _told(sampler("kmedoids").sample(1, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+@query()
+def sampler_kmedoids(spark, sf_dir):
+    return _told(sampler("kmedoids").sample(3, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+@query()
+def sampler_kmeans(spark, sf_dir):
+    return _told(sampler("kmeans", starts=3).sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+@query()
+def sampler_relational_kmeans(spark, sf_dir):
+    return _told(sampler("relational_kmeans", starts=2).sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+@query()
+def sampler_lhs(spark, sf_dir):
+    return lhs_design(spark, PART, 1000).select(F.col("p_size").cast("bigint").alias("p_size"), r6("p_retailprice"))
+
+
+@query()
+def sampler_sobol(spark, sf_dir):
+    return sobol_design(spark, PART, 1000).select(F.col("p_size").cast("bigint").alias("p_size"), r6("p_retailprice"))
+
+
+# --- grids
+
+
+@query("SELECT r_name, n_name, (1 + k)::BIGINT k, round(q / 4.0, 6) q FROM region, nation, range(0, 3) a(k), range(0, 5) b(q)")
+def grid_full(spark, sf_dir):
+    names = lambda t, c: [r[0] for r in table(spark, sf_dir, t).select(c).distinct().orderBy(c).collect()]  # noqa: E731  levels of a space
+    space = Space((p_fct("r_name", names("region", "r_name")), p_fct("n_name", names("nation", "n_name")), p_int("k", 1, 3), p_dbl("q", 0, 1)))
+    return grid(spark, space, 5).select("r_name", "n_name", "k", r6("q"))
+
+
+_DEPENDENT = Space((p_lgl("gate"), p_int("x", 1, 10), p_fct("mode", ["a", "b", "c"]), p_dbl("z", 0, 1)), (Needs("x", "gate", (True,)), Needs("z", "mode", ("a", "b"))))
+
+
+@query("SELECT gate, CASE WHEN gate THEN x::BIGINT END x, mode, CASE WHEN mode IN ('a', 'b') THEN round(z / 9.0, 6) END z FROM (VALUES (true), (false)) g(gate), range(1, 11) a(x), (VALUES ('a'), ('b'), ('c')) m(mode), range(0, 10) c(z) WHERE (gate OR x = 1) AND (mode <> 'c' OR z = 0)")
+def grid_dependent(spark, sf_dir):
+    return grid(spark, _DEPENDENT, 10).select("gate", "x", "mode", r6("z"))
+
+
+@query("SELECT 231::BIGINT AS n, 73::BIGINT AS chain")
+def grid_sizes(spark, sf_dir):
+    ids = [f"i{k}" for k in range(8)]
+    chain = Space(tuple(p_int(i, 1, 10) for i in ids), tuple(Needs(b, a, (1,)) for a, b in zip(ids, ids[1:])))
+    return spark.createDataFrame([(grid_size(_DEPENDENT, 10), grid_size(chain, 10))], "n bigint, chain bigint")
+
+
+# --- surrogates, metrics
+
+_NEAR = (
+    "WITH st AS (SELECT stddev_samp(s_acctbal) ra, stddev_samp(s_nationkey) rn FROM supplier), pr AS (SELECT c_custkey, s_acctbal * 0.5 + s_nationkey y, row_number() OVER (PARTITION BY c_custkey ORDER BY round(sqrt(pow((c_acctbal - s_acctbal) / ra, 2) + pow((c_nationkey - s_nationkey) / rn, 2)), 9), s_acctbal, s_nationkey) k FROM customer, supplier, st) "
+)
+
+
+def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    archive = table(spark, sf_dir, "supplier").withColumn("y", F.col("s_acctbal") * 0.5 + F.col("s_nationkey"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("s_acctbal"), F.col("c_nationkey").alias("s_nationkey"))
+    return archive, asked
+
+
+@query(_NEAR + "SELECT c_custkey, round(avg(y), 6) mean, round(stddev_samp(y), 6) se FROM pr WHERE k <= 5 GROUP BY ALL")
+def surrogate_knn(spark, sf_dir):
+    archive, asked = _near(spark, sf_dir)
+    return NearestNeighbours(5).fit(archive, SUPPLIER, "y").predict(asked).select("c_custkey", r6("mean"), r6("se"))
+
+
+@query(_NEAR + "SELECT c_custkey, round(quantile_cont(y, 0.5), 6) mean, round((quantile_cont(y, 0.9) - quantile_cont(y, 0.1)) * 0.5, 6) se FROM pr WHERE k <= 5 GROUP BY ALL")
+def quantile_se(spark, sf_dir):
+    archive, asked = _near(spark, sf_dir)
+    return QuantileNeighbours(5).fit(archive, SUPPLIER, "y").predict(asked).select("c_custkey", r6("mean"), r6("se"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity, 2) mean FROM lineitem")
+def surrogate_linear(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    model = Linear().fit(rows, Space((p_dbl("l_quantity", 1, 50),)), "l_extendedprice")
+    return model.predict(rows.select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.round("mean", 2).alias("mean"))
+
+
+@query("SELECT o_orderkey, round((SELECT avg(o_totalprice) FROM orders), 2) mean, round((SELECT stddev_samp(o_totalprice) FROM orders), 2) se FROM orders")
+def surrogate_constant(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return Constant().fit(rows, Space((p_dbl("o_totalprice"),)), "o_totalprice").predict(rows.select("o_orderkey")).select("o_orderkey", F.round("mean", 2).alias("mean"), F.round("se", 2).alias("se"))
+
+
+_B = 5
+
+
+@query(
+    "WITH s AS (SELECT s_acctbal y, row_number() OVER (ORDER BY s_acctbal, s_nationkey, s_suppkey) - 1 place, count(*) OVER () n FROM supplier), "
+    f"d AS (SELECT b, ('0x' || substr(md5('1:' || b || ':' || j), 1, 12))::BIGINT % (SELECT max(n) FROM s) place FROM range(0, {_B}) t(b), range(0, (SELECT max(n) FROM s)) u(j)), "
+    "m AS (SELECT b, avg(y) mean FROM d JOIN s USING (place) GROUP BY b) SELECT round(avg(mean), 6) mean, round(stddev_samp(mean), 6) se FROM m"
+)
+def bootstrap_se(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_acctbal", "s_nationkey", F.col("s_acctbal").alias("y"))
+    return Bootstrap(Constant, _B).fit(s, SUPPLIER, "y").predict(spark.range(1)).select(r6("mean"), r6("se"))
+
+
+@query("SELECT l_suppkey, round(avg(l_discount), 6) mean, round(sqrt(avg(l_tax) + coalesce(var_samp(l_discount), 0)), 6) se FROM lineitem GROUP BY ALL")
+def total_variance(spark, sf_dir):
+    return ensemble_summary(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_discount", "l_tax").select("l_suppkey", r6("mean"), r6("se"))
+
+
+@query()
+def surrogate_tree(spark, sf_dir):
+    archive, asked = _near(spark, sf_dir)
+    return Trees().fit(archive, SUPPLIER, "y").predict(asked).select("c_custkey", r6("mean"))
+
+
+@query("SELECT min(o_totalprice) best_y, max(o_totalprice) worst_y, min(o_totalprice) - 1000 regret FROM orders")
+def metrics_best_worst_regret(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("y"))
+    return spark.createDataFrame([(M.best_y(rows), M.worst_y(rows), M.regret(rows, optimum=1000.0))], "best_y double, worst_y double, regret double").select("best_y", "worst_y", "regret")
+
+
+@query(
+    "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a, avg(l_extendedprice) c FROM lineitem) "
+    "SELECT round(sqrt(avg(pow(a + b * l_quantity - l_extendedprice, 2))), 4) rmse, round(avg(abs(a + b * l_quantity - l_extendedprice)), 4) mae, round(1 - sum(pow(a + b * l_quantity - l_extendedprice, 2)) / sum(pow(l_extendedprice - c, 2)), 6) r2 FROM lineitem, m"
+)
+def metrics_model_fit(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("y"))
+    model = Linear().fit(rows, Space((p_dbl("l_quantity", 1, 50),)), "y")
+    got = (M.model_rmse(rows, model, rows), M.model_mae(rows, model, rows), M.model_r2(rows, model, rows))
+    return spark.createDataFrame([got], "rmse double, mae double, r2 double").select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), r6("r2"))
+
+
+@query(_NEAR + ", v AS (SELECT c_custkey, var_samp(y) v FROM pr WHERE k <= 5 GROUP BY ALL) SELECT round(avg(v), 2) mean_variance, round(max(v), 2) max_variance, round(avg(v) / 1000 * 264000 / 1000, 2) integrated FROM v".replace(") , v", "), v"))
+def metrics_variance(spark, sf_dir):
+    archive, asked = _near(spark, sf_dir)
+    model = NearestNeighbours(5).fit(archive, SUPPLIER, "y")
+    got = (M.mean_variance(archive, model, asked), M.max_variance(archive, model, asked), M.integrated_variance(archive, model, SUPPLIER, asked) / 1e6)
+    return spark.createDataFrame([got], "a double, b double, c double").select(F.round("a", 2).alias("mean_variance"), F.round("b", 2).alias("max_variance"), F.round("c", 2).alias("integrated"))
+
+
+@query("WITH d AS (SELECT event_type, date_trunc('day', ts) batch, min(value) lo, max(value) hi, count(*) n FROM events GROUP BY ALL) SELECT event_type, strftime(batch, '%Y-%m-%d') batch, min(lo) OVER w best_y, max(hi) OVER w worst_y, (sum(n) OVER w)::BIGINT n_evals FROM d WINDOW w AS (PARTITION BY event_type ORDER BY batch)")
+def metrics_history_cumulative(spark, sf_dir):
+    from pyspark.sql import Window
+
+    days = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    w = Window.partitionBy("event_type").orderBy("day")
+    return days.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("batch"), F.min("lo").over(w).alias("best_y"), F.max("hi").over(w).alias("worst_y"), F.sum("n").over(w).alias("n_evals"))
+
+
+@query("SELECT l_returnflag, round(avg((l_quantity BETWEEN l_discount * 100 AND 40)::INT), 6) coverage, round(avg(40 - l_discount * 100 + CASE WHEN l_quantity < l_discount * 100 THEN (l_discount * 100 - l_quantity) * 20 WHEN l_quantity > 40 THEN (l_quantity - 40) * 20 ELSE 0 END), 6) winkler FROM lineitem GROUP BY ALL")
+def metrics_intervals(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("lower", F.col("l_discount") * 100).withColumn("upper", F.lit(40.0))
+    return rows.groupBy("l_returnflag").agg(r6(M.interval_coverage("l_quantity"), "coverage"), r6(M.winkler_score("l_quantity"), "winkler"))
+
+
+# --- whole searches over the suppliers
+
+_Y = Codomain({"y": "minimize"})
+
+
+def _search(spark, sf_dir, n) -> Search:
+    rows = _suppliers(spark, sf_dir).withColumn("y", F.col("s_acctbal") * 0.5 + F.col("s_nationkey"))
+    return Search(Dataset(rows, SUPPLIER, _Y), Evals(n))
+
+
+def _found(instance: Search) -> DataFrame:
+    return instance.rows().select("s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"), r6("y"), F.col("batch_nr").cast("bigint").alias("batch_nr"))
+
+
+def _random_run(batches: int, size: int) -> str:
+    out = "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier)"
+    for k in range(1, batches + 1):
+        seen = "".join(f" AND (s_acctbal, s_nationkey) NOT IN (SELECT (s_acctbal, s_nationkey) FROM b{j})" for j in range(1, k))
+        out += f", b{k} AS (SELECT * FROM p WHERE true{seen} ORDER BY md5('1:{k}:' || s_acctbal || ':' || s_nationkey), s_acctbal, s_nationkey LIMIT {size})"
+    return out + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round(s_acctbal * 0.5 + s_nationkey, 6) y, {k}::BIGINT batch_nr FROM b{k}" for k in range(1, batches + 1))
+
+
+@query(_random_run(3, 2))
+def pool_random_run(spark, sf_dir):
+    instance = _search(spark, sf_dir, 5)
+    PoolRandom(batch_size=2).optimize(instance)
+    return _found(instance)
+
+
+_SEQ = _S0.format("p") + _farthest(5, "SELECT s_acctbal, s_nationkey FROM p, st ORDER BY round(pow((s_acctbal - ma) / ra, 2) + pow((s_nationkey - mn) / rn, 2), 9), s_acctbal, s_nationkey LIMIT 1").rpartition(" SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM t0")[0]
+
+
+@query(_SEQ + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round(s_acctbal * 0.5 + s_nationkey, 6) y, {1 + (k + 1) // 2}::BIGINT batch_nr FROM t{k}" for k in range(5)))
+def al_gsx_run(spark, sf_dir):
+    instance = _search(spark, sf_dir, 5)
+    ActiveLearning(P.SequentialReference(acq.GSx()), init=sampler("gsx"), n_init=1, batch_size=2).optimize(instance)
+    return _found(instance)
+
+
+@query()
+def pool_sample_run(spark, sf_dir):
+    instance = _search(spark, sf_dir, 6)
+    PoolSample(sampler("gsx"), 3).optimize(instance)
+    return _found(instance)
+
+
+@query()
+def al_igs_run(spark, sf_dir):
+    instance = _search(spark, sf_dir, 6)
+    pool_active_learning("igs", lambda: NearestNeighbours(3), n_init=3).optimize(instance)
+    return _found(instance)
+
+
+@query()
+def al_uncertainty_run(spark, sf_dir):
+    instance = _search(spark, sf_dir, 6)
+    active_learning(NearestNeighbours(3), batch_size=2, method="diversity").optimize(instance)
+    return _found(instance)
+
+
+@query("SELECT * FROM (VALUES ('distance', 'affine'), ('distance', 'gower'), ('distance', 'standardize'), ('sampler', 'chain'), ('sampler', 'conditional'), ('sampler', 'gsx'), ('sampler', 'kmeans'), ('sampler', 'kmedoids'), ('sampler', 'lhs'), ('sampler', 'relational_kmeans'), ('sampler', 'sobol'), ('sampler', 'uniform')) t(kind, \"key\")")
+def registry(spark, sf_dir):
+    rows = [("distance", k) for k in DISTANCES] + [("sampler", k) for k in SAMPLERS]
+    return spark.createDataFrame(rows, "kind string, key string").orderBy("kind", *by_key(["key"]))
