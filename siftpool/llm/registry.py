@@ -90,5 +90,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+_SQL = {
+    "op1_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format('text')} ws FROM documents),
+        win AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) s, unnest([array_to_string(ws[i:i + 34], ' ') for i in range(1, len(ws) - 33)]) g FROM w WHERE len(ws) >= 35),
+        again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, s + k pos, true AS hit FROM win SEMI JOIN again USING (g), range(0, 35) t(k)),
+        own AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) pos, unnest(ws) word FROM w),
+        told AS (SELECT own.*, gone.hit FROM own LEFT JOIN gone USING (doc_id, pos))
+        SELECT w.doc_id, count(pos) n_words, count(hit) n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE hit IS NULL), '')) kept_sha256
+        FROM w LEFT JOIN told USING (doc_id) GROUP BY w.doc_id""",
+    "op2_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS "role", coalesce(text, '') t FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, "role" || chr(0) || t x FROM c),
+        n AS (SELECT *, length(x) - 1 + length(x) - length(replace(x, '\', '')) + list_sum([(length(x) - length(replace(x, k, ''))) // length(k) for k in ['<s>', '</s>', '[INST]', '[/INST]']]) size FROM e)
+        SELECT conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || t || chr(10), '' ORDER BY turn, "role", t)) turns_sha256,
+            coalesce(sum(length(t)) FILTER (WHERE "role" = 'assistant'), 0)::BIGINT loss_chars,
+            sha256(coalesce(string_agg(t, '' ORDER BY turn, "role", t) FILTER (WHERE "role" = 'assistant'), '')) loss_sha256,
+            sum(size + length('<s>[INST] ') + length(' [/INST]') + length('</s>') + 1)::BIGINT formatted_chars
+        FROM n GROUP BY conv_id""",
+    "op8_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') ws FROM benchmark),
+        q AS (SELECT *, least(5, len(ws)) k FROM b WHERE len(ws) > 0),
+        qg AS (SELECT DISTINCT item_id, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]) g FROM q),
+        dg AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]) g FROM d, (SELECT DISTINCT k FROM q) WHERE len(ws) >= k),
+        n AS (SELECT item_id, count(*) n_shingles FROM qg GROUP BY ALL),
+        f AS (SELECT doc_id, item_id, count(*) n_found FROM qg JOIN dg USING (k, g) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles containment FROM f JOIN n USING (item_id) WHERE 10 * n_found >= 8 * n_shingles""",
+    "op10_near_duplicates": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) g FROM w),
+        n AS (SELECT w.doc_id, count(g) n FROM w LEFT JOIN s USING (doc_id) GROUP BY ALL),
+        p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id z FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.z)
+        SELECT doc_id, any_value(n) n_shingles, min(z) component_id, doc_id = min(z) kept FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
