@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftpool.functions import metrics as M
 from siftpool.functions.frames import anti, by_key, top
+from siftpool.functions.resampling import holdout, window_folds
 from siftpool.operators import acquisition as acq
 from siftpool.operators import proposers as P
 from siftpool.operators.design import grid, grid_size, lhs_design, sobol_design
@@ -23,12 +24,13 @@ from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNe
 from siftpool.operators.vectors import nearest_vector
 from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, pool_active_learning
 from siftpool.plans.search import Evals, Search
-from siftpool.sources.objectives import Dataset, PoolWrapper, lookup
+from siftpool.sources.objectives import Dataset, PoolWrapper, RowFunction, lookup
 from siftpool.space import Codomain, Needs, Space, p_dbl, p_fct, p_int, p_lgl
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 EVALUATED = "Brand#11"
+_Y = Codomain({"y": "minimize"})
 PART = Space((p_int("p_size", 1, 50), p_dbl("p_retailprice", 900, 1000)))
 SIZE = Space((p_int("p_size", 1, 50),))
 SUPPLIER = Space((p_dbl("s_acctbal", -1000, 10000), p_int("s_nationkey", 0, 24)))
@@ -535,9 +537,29 @@ def metrics_intervals(spark, sf_dir):
     return rows.groupBy("l_returnflag").agg(r6(M.interval_coverage("l_quantity"), "coverage"), r6(M.winkler_score("l_quantity"), "winkler"))
 
 
-# --- whole searches over the suppliers
+@query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('3:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 < 0.75 THEN 'train' ELSE 'test' END \"role\" FROM orders")
+def resample_holdout(spark, sf_dir):
+    return holdout(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 0.75, 3)
 
-_Y = Codomain({"y": "minimize"})
+
+@query(
+    "WITH m AS (SELECT event_id, day(ts)::BIGINT d, max(day(ts)) OVER () z FROM events), f AS (SELECT *, z - k * 3 hi FROM m, range(0, 3) t(k)) "
+    "SELECT k::BIGINT fold, CASE WHEN d > hi - 3 THEN 'test' ELSE 'train' END \"role\", count(*) n, min(d) first_day, max(d) last_day FROM f WHERE d <= hi AND d > hi - 3 - 7 GROUP BY ALL"
+)
+def resample_rolling(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select("event_id", F.dayofmonth("ts").cast("bigint").alias("d"))
+    folds = window_folds(days, "d", 3, 3, 7)
+    return folds.groupBy(F.col("fold").cast("bigint").alias("fold"), "role").agg(F.count("*").alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+
+
+@query("SELECT s_suppkey::BIGINT s_suppkey, CASE WHEN s_acctbal IS NULL THEN 0 ELSE s_acctbal * 2 END y FROM supplier")
+def row_function(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    space = Space((p_int("s_suppkey"), p_dbl("s_acctbal")))
+    return RowFunction(lambda r: {"y": r.get("s_acctbal", 0) * 2}, space, _Y).evaluate(rows).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "y")
+
+
+# --- whole searches over the suppliers
 
 
 def _search(spark, sf_dir, n) -> Search:

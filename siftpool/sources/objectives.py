@@ -68,6 +68,45 @@ class Function(Objective):
         return self.fun(rows)
 
 
+class RowFunction(Objective):
+    """A Python function of one row, given as a mapping without its nulls, that returns the outputs as a mapping."""
+
+    vectorized = False
+
+    def __init__(self, fun: Callable[[dict], dict], domain, codomain, id="row_function", check=True):
+        super().__init__(domain, codomain, id, check)
+        self.fun = fun
+
+    def _evaluate(self, rows):
+        import pyarrow as pa
+
+        fun, ids, outs = self.fun, self.domain.ids, self.codomain.ids
+        made = rows.drop(*outs).withColumns({c: F.lit(None).cast("double") for c in outs})
+        names = made.columns
+
+        def run(batches):
+            for batch in batches:
+                got = [fun({k: v for k, v in row.items() if v is not None}) for row in batch.select(ids).to_pylist()]
+                cols = {n: batch.column(n) for n in names} | {c: pa.array([None if g.get(c) is None else float(g[c]) for g in got], pa.float64()) for c in outs}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+
+        return made.mapInArrow(run, made.schema)
+
+
+def assert_learner_domain(model: Surrogate, space: Space, domain: Space) -> None:
+    """A model fitted on space can serve domain: the same parameters of the same kinds, and no level that it has not seen."""
+    if set(space.ids) != set(domain.ids):
+        raise SpaceError(f"the model's features are {', '.join(space.ids)}, the domain's {', '.join(domain.ids)}")
+    for p in domain.params:
+        if space[p.id].kind != p.kind:
+            raise SpaceError(f"{p.id} is {space[p.id].kind} for the model and {p.kind} in the domain")
+        new = set(p.levels) - set(space[p.id].levels)
+        if new:
+            raise SpaceError(f"{p.id} has levels that the model doesn't know: {', '.join(sorted(new))}")
+    if not vars(model):
+        raise SpaceError("the model is not fitted")
+
+
 class PoolObjective(Objective):
     """Only rows of a pool, unique on the domain, can be evaluated."""
 

@@ -57,7 +57,7 @@ def test_designs(spark):
     slots = lhs_design(spark, Space((p_dbl("x", 0, 1), p_dbl("y", 0, 1))), 40).select(F.floor(F.col("x") * 40).alias("x"), F.floor(F.col("y") * 40).alias("y"))
     assert all(slots.select(c).distinct().count() == 40 for c in ("x", "y"))
     first = sobol_design(spark, Space((p_dbl("x", 0, 1), p_dbl("y", 0, 1), p_dbl("z", 0, 1))), 3).collect()
-    assert [tuple(r) for r in first] == [(0.5, 0.5, 0.5), (0.25, 0.75, 0.75), (0.75, 0.25, 0.25)] or {tuple(r) for r in first} == {(0.5, 0.5, 0.5), (0.25, 0.75, 0.25), (0.75, 0.25, 0.75)}
+    assert {tuple(r) for r in first} == {(0.5, 0.5, 0.5), (0.75, 0.25, 0.25), (0.25, 0.75, 0.75)}  # as published
 
 
 def test_volume_and_codomain():
