@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.llm.textops import written
+from siftpool.llm.textops import forget, written
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        now = written(small, name)
+        last, now = now, written(small, name)
+        forget(last)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

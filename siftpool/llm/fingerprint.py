@@ -22,7 +22,7 @@ from siftpool.llm.textops import parts_for, slices, text_bytes
 
 LENGTH = 64  # characters of a signature at most
 WINDOW = 7
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, RANGES = 16 << 20, 16384  # wanted size of a range of ids, and ranges at most
 CHANCE = 0.25  # share of matching characters between unrelated signatures, about
 SYMBOLS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
@@ -131,11 +131,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, ids = rows.agg(F.sum(F.octet_length("text")), F.count("id")).first()
-    n = min(4096, max(1, math.ceil((size or 0) / BUCKET_BYTES)))
-    marks = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 and ids else []
-    marks = sorted(set(marks or []))
-    bucket = F.coalesce(_bucket("id", marks), F.lit(0))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    n = min(RANGES, max(2 * parts_for(spark), math.ceil((size or 0) / BUCKET_BYTES)), max(ids, 1))
+    marks = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    rows = _ranged(rows, sorted({float(m) for m in marks or []}))
     first = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("id").alias("top")).collect())  # at most one for each mark
     tails = [(top, first[(i + 1) % len(first)][0]) for i, (_, top) in enumerate(first)]
     copied = rows
@@ -187,8 +185,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
-def _bucket(name: str, marks: list[int]):
-    """The number of marks below or at a value."""
+def _ranged(rows: DataFrame, marks: list[float]) -> DataFrame:
+    """rows with the number of marks below or at their id in bucket; null ids are in the first."""
     if not marks:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(name)))
+        return rows.withColumn("bucket", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[-math.inf, *marks, math.inf], inputCol="at", outputCol="bucket")
+    first = F.coalesce(F.col("id").cast("double"), F.lit(-math.inf))
+    return cut.transform(rows.withColumn("at", first)).drop("at").withColumn("bucket", F.col("bucket").cast("int"))

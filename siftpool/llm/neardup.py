@@ -180,6 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(keys.join(shared, "key").select("node", "lead"), "node", "lead", "groups").withColumnRenamed("component", "grp")
 
     wanted = groups.join(classes.select("node", "digest", "n", "odd"), "node")
+    size = wanted.groupBy("grp").agg(F.count("*").alias("m"), F.ceil(F.sum(8 * F.col("n") + 200) / BLOCK_BYTES).cast("int").alias("blocks"))
+    wanted = wanted.join(size, "grp")  # before the sets, which are large
     sets = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node")
 
     def full(batches):
@@ -188,11 +190,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = list(shingle_sets(part.column("text"), shingle))
                 same = [i for i, (s, d) in enumerate(zip(found, part.column("digest").to_pylist())) if _digest(s) == d]
                 got = part.take(pa.array(same, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("node", "grp", "n", "odd")), binary([found[i] for i in same])], ["node", "grp", "n", "odd", "hashes"])
+                cols = ["node", "grp", "n", "odd", "m", "blocks"]
+                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in cols), binary([found[i] for i in same])], [*cols, "hashes"])
 
-    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, n bigint, odd binary, hashes binary"), "sets")
-    size = sets.groupBy("grp").agg(F.count("*").alias("m"), F.ceil(F.sum(8 * F.col("n") + 200) / BLOCK_BYTES).cast("int").alias("blocks"))
-    sets = sets.join(size, "grp")
+    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, n bigint, odd binary, m bigint, blocks int, hashes binary"), "sets")
     # first pass: some leaders against all; in groups of LEADERS or fewer, all against all
     leads = F.pmod(F.xxhash64("node"), F.col("m")) < LEADERS
     first = sets.withColumn("part", F.col("node"))

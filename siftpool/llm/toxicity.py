@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.llm.textops import ALNUM, fresh, slices, text_bytes, word_hashes, words, written
+from siftpool.llm.textops import ALNUM, fresh, slices, text_bytes, window_hashes, word_hashes, words, written
 
 SAMPLE = 20_000  # labelled documents that training reads at most, about
-CHAIN_DOCS, CHAIN_WORDS = 1500, 600  # of those, documents and longest document that train the chain
+CHAIN_DOCS, CHAIN_WORDS = 1000, 500  # of those, documents and longest document that train the chain
 FEATURES = 50_000  # words and beginnings kept at most
 PREFIXES = (4, 5)  # bytes of a longer word's beginnings
 BINS = (1.0, 2.5, 4.0)  # log odds of the evidence classes
@@ -174,7 +174,7 @@ def _train_chain(seqs: list[np.ndarray], gold: list[np.ndarray], rounds: int = 6
     return theta[:16], theta[16:].reshape(2, 2)
 
 
-def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
+def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the constant last, not penalised."""
     x = np.column_stack([x, np.ones(len(x))])
     w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-6])
@@ -187,6 +187,21 @@ def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarra
     return w
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows (id, text, y) with copies and most near copies left out, whose words would count as often as the copies: one for each smallest hash of three words."""
+
+    def signed(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, bounds, _, _ = _features(part.column("text"))
+                w = window_hashes(hashes[0], 3)
+                low = [int(w[a : b - 2].min().view(np.int64)) if b - a > 2 else None for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "text", "y")), pa.array(low, pa.int64())], ["id", "text", "y", "sign"])
+
+    told = rows.select("id", "text", "y").mapInArrow(signed, "id bigint, text string, y int, sign bigint")
+    return told.groupBy(F.coalesce("sign", F.xxhash64("text")).alias("sign"), "y").agg(F.min(F.struct("id", "text")).alias("one")).select("one.id", "one.text", "y")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled documents; train is a condition on the labels' rows.
 
@@ -202,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     share = min(1 << 20, int((1 << 20) * SAMPLE / max(count, 1)))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
     sample = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")  # SAMPLE rows, about
-    sample = written(sample, "labelled")
+    sample = written(_apart(sample), "labelled")
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(16), np.zeros((2, 2)), np.zeros(0), pos / max(pos + neg, 1))
@@ -226,7 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     keys = seen["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     bins = np.digitize(seen["odds"].to_numpy(), BINS).astype(np.uint8)
-    bins = np.where((bins == 3) & (seen["p"].to_numpy() < 5), 2, bins).astype(np.uint8)
+    bins = np.where((bins == 3) & (seen["p"].to_numpy() < max(5, pos / 200)), 2, bins).astype(np.uint8)
     model = Model(keys[order], bins[order], np.zeros(16), np.zeros((2, 2)), np.zeros(0))
 
     def coded(batches):
