@@ -158,6 +158,12 @@ def _links(leaders: DataFrame, members: DataFrame, k: int, percent: int) -> Data
     return units.repartition(parts_for(units.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(k, percent), "a bigint, b bigint")
 
 
+def _told(members: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
+    """members with the facts of their group (a row each). A group's members are salted, so a large one is spread over the tasks."""
+    salts = sets.select("grp", "salt").distinct()
+    return members.join(salts.join(facts, "grp"), ["grp", "salt"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each row of docs.
 
@@ -179,9 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
     groups = components(keys.join(shared, "key").select("node", "lead"), "node", "lead", "groups").withColumnRenamed("component", "grp")
 
-    wanted = groups.join(classes.select("node", "digest", "n", "odd"), "node")
-    size = wanted.groupBy("grp").agg(F.count("*").alias("m"), F.ceil(F.sum(8 * F.col("n") + 200) / BLOCK_BYTES).cast("int").alias("blocks"))
-    wanted = wanted.join(size, "grp")  # before the sets, which are large
+    wanted = groups.join(classes.select("node", "digest", "n", "odd"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(parts_for(docs.sparkSession))).cast("int"))
+    dealt = wanted.groupBy("grp", "salt").agg(F.count("*").alias("m"), F.sum(8 * F.col("n") + 200).alias("bytes"))
+    size = dealt.groupBy("grp").agg(F.sum("m").alias("m"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.collect_list("salt").alias("salts"))
+    wanted = wanted.join(size.select("grp", "m", "blocks", F.explode("salts").alias("salt")), ["grp", "salt"])  # before the sets, which are large
     sets = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node")
 
     def full(batches):
@@ -190,10 +197,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = list(shingle_sets(part.column("text"), shingle))
                 same = [i for i, (s, d) in enumerate(zip(found, part.column("digest").to_pylist())) if _digest(s) == d]
                 got = part.take(pa.array(same, pa.int64()))
-                cols = ["node", "grp", "n", "odd", "m", "blocks"]
+                cols = ["node", "grp", "salt", "n", "odd", "m", "blocks"]
                 yield pa.RecordBatch.from_arrays([*(got.column(c) for c in cols), binary([found[i] for i in same])], [*cols, "hashes"])
 
-    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, n bigint, odd binary, m bigint, blocks int, hashes binary"), "sets")
+    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, salt int, n bigint, odd binary, m bigint, blocks int, hashes binary"), "sets")
     # first pass: some leaders against all; in groups of LEADERS or fewer, all against all
     leads = F.pmod(F.xxhash64("node"), F.col("m")) < LEADERS
     first = sets.withColumn("part", F.col("node"))
@@ -202,10 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # second pass: what is apart from its group's largest part against all that were no leaders
     open_ = sets.where(F.col("m") > LEADERS).where(~leads).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     largest = open_.groupBy("grp", "part").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count("*").alias("n_parts")).where("n_parts > 1").drop("n_parts")
-    open_ = open_.join(largest, "grp")
+    open_ = _told(open_, sets, largest)
     apart = open_.where("part != largest")
     per = apart.groupBy("grp").agg(F.ceil(F.sum(8 * F.col("n") + 200) / BLOCK_BYTES).cast("int").alias("lead_blocks"))
-    again = _links(apart.join(per, "grp").withColumn("lead_block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lead_blocks")).cast("int")), open_.join(per, "grp"), k, percent)
+    again = _links(_told(apart, sets, per).withColumn("lead_block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lead_blocks")).cast("int")), _told(open_, sets, per), k, percent)
     final = components(links.unionByName(again), "a", "b", "final")
 
     named = known.join(classes.select("digest", "node"), "digest").join(final, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
