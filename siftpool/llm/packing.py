@@ -165,7 +165,9 @@ def _tokenized(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
 class _Shard:
     """A BM25 inverted index over a block of tails."""
 
-    K1, B, TERMS = 1.2, 0.75, 16
+    K1, B = 1.2, 0.75
+    COMMON = 8  # a token that more than one tail in so many holds has its weights as a row over all tails
+    AHEAD = 256  # neighbours put in order at first
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(tails)
@@ -176,18 +178,32 @@ class _Shard:
         norm = self.K1 * (1 - self.B + self.B * lens / max(mean, 1e-9))
         self.weight = idf[term] * tf * (self.K1 + 1) / (tf + norm[self.doc])
         self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        order = np.lexsort((term, -self.weight, self.doc))
+        self.rows: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.start) * self.COMMON > self.n).tolist():
+            self.rows[t] = np.zeros(self.n)
+            self.rows[t][self.doc[self.start[t] : self.start[t + 1]]] = self.weight[self.start[t] : self.start[t + 1]]
+        order = np.argsort(self.doc, kind="stable")
         at = np.searchsorted(self.doc[order], np.arange(self.n + 1))
-        self.top = [term[order[a : min(b, a + self.TERMS)]] for a, b in zip(at, at[1:])]
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused tails that share terms of the seed's highest weights, best first, ties by place."""
-        spans = [(self.start[t], self.start[t + 1]) for t in self.top[seed]]
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        score = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
+        self.terms = [term[order[a:b]] for a, b in zip(at, at[1:])]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused tails that share any of the seed's distinct tokens, best first by the sum over all of them, ties by place."""
+        score, spans = np.zeros(self.n), []
+        for t in self.terms[seed].tolist():
+            row = self.rows.get(t)
+            if row is None:
+                spans.append(slice(self.start[t], self.start[t + 1]))
+            else:
+                score += row
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
         score[used] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        found, ahead = np.flatnonzero(score), self.AHEAD
+        while len(found):
+            own = score[found]
+            best = own >= (np.partition(own, -ahead)[-ahead] if len(own) > ahead else 0)
+            yield from found[best][np.argsort(-own[best], kind="stable")].tolist()
+            found, ahead = found[~best], 8 * ahead
 
 
 def _fill(tails: list[np.ndarray], shard: _Shard, size: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -204,7 +220,7 @@ def _fill(tails: list[np.ndarray], shard: _Shard, size: int) -> Iterator[list[tu
         seed, at = rest
         used[seed], rest = True, None
         window, room = [(seed, at, len(tails[seed]) - at)], size - len(tails[seed]) + at
-        queue = iter(shard.neighbours(seed, used).tolist() if room else [])
+        queue = shard.neighbours(seed, used) if room else iter([])
         while room:
             j = next(queue, None)
             if j is None:  # no neighbour is left: the next unused tail seeds what remains
@@ -224,7 +240,7 @@ def _fill(tails: list[np.ndarray], shard: _Shard, size: int) -> Iterator[list[tu
             elif not room:
                 break
             else:
-                queue = queue if j != place else iter(shard.neighbours(j, used).tolist())
+                queue = queue if j != place else shard.neighbours(j, used)
         yield window
 
 
@@ -235,8 +251,8 @@ def retrieval_packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     shards by their rarest token, so that documents with common rare words meet,
     and then by id, so that no token is too frequent for a shard. A shard has a
     BM25 inverted index with document frequencies of the whole corpus; a window
-    begins with a seed and is filled with the seed's best unused neighbours.
-    Only a shard's last window can be short; callers pad it. Null and empty
+    begins with a seed and is filled with the seed's best unused neighbours,
+    scored on all of the seed's distinct tokens. Only a shard's last window can be short; callers pad it. Null and empty
     texts are an end id; null ids stay null; repeated rows are packed each. An
     empty table gives no rows. Other columns are not read.
     """
