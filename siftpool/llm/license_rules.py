@@ -95,10 +95,10 @@ TEXTS = [
     ("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0"),
     ("cc0", r"creative commons zero", "zero"),
     ("pddl", r"public domain dedication and license", "dedication"),
-    ("copyright", r"copyright(?: c)?(?: \d{4})?(?: \d{4})? (?:by |the )?\S+", "copyright"),
-    ("proprietary", r"(?:proprietary|confidential) and (?:proprietary|confidential)", "proprietary"),
-    ("proprietary", r"no part of this (?:publication|document|work|software) may be (?:reproduced|copied|distributed)", "reproduced"),
-    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,60}?(?:prohibited|forbidden)", "unauthorized"),
+    ("copyright", r"copyright(?: c)?(?: \d{4})?(?: \d{4})? (?:by |the )?[^ ]+", "copyright"),
+    ("proprietary", r"(?:proprietary|confidential) and (?:proprietary|confidential)", ("proprietary", "confidential")),
+    ("proprietary", r"no part of this (?:publication|document|work|software) may be (?:reproduced|copied|distributed)", ("reproduced", "copied", "distributed")),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) .{0,60}?(?:prohibited|forbidden)", ("unauthorized", "unauthorised")),
     ("eula", r"end user licen[sc]e agreement", "agreement"),
     ("reserved", r"(?:all|some|no) rights reserved", "reserved"),
     ("some-rights", r"some rights reserved", "some"),
@@ -106,7 +106,9 @@ TEXTS = [
     ("patents", r"patent(?:s)? pending", "pending"),
 ]
 
-_LICENSE = ("license", "licence", "licensed", "licenced", "licenses", "spdx", "released", "distributed", "terms")
+#: Words of which the wordings of rules() hold one: of a lead, and of a license by that word.
+_LEAD = ("licensed", "licenced", "released", "distributed", "available", "published")
+_LICENSE = ("license", "licence")
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def _words(x: str | tuple[str, ...]) -> tuple[str, ...]:
 
 
 def _rule(label: str, pattern: str, gate: tuple[tuple[str, ...], ...], priority: int, sure: float) -> Rule:
-    return Rule(label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), gate, priority, sure)
+    return Rule(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), gate, priority, sure)
 
 
 def rules() -> list[Rule]:
@@ -132,17 +134,18 @@ def rules() -> list[Rule]:
     spdx = r"spdx licen[sc]e identifier "
     out = []
     for label, name, versions, word in NAMES:
-        gate = (_words(word), _LICENSE)
+        own = _words(word)
         for v in sorted(set(versions), key=len, reverse=True):
             full = f"{label}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
             number = rf"(?:version |v ?)?{v}"
+            first = (v.split()[0], "v" + v.split()[0])
             out += [
-                _rule(full, rf"{lead}{name}(?: licen[sc]e)? {number}", gate, 10, 0.98),
-                _rule(full, rf"{spdx}{name} {v}(?: only| or later)?", gate, 5, 0.99),
-                _rule(full, rf"{name}(?: public)? licen[sc]e {number}", gate, 20, 0.95),
-                _rule(full, rf"{name} {number}", gate, 40, 0.6),
+                _rule(full, rf"{lead}{name}(?: licen[sc]e)? {number}", (own, _LEAD, ("under",), first), 10, 0.98),
+                _rule(full, rf"{spdx}{name} {v}(?: only| or later)?", (own, ("spdx",), first[:1]), 5, 0.99),
+                _rule(full, rf"{name}(?: public)? licen[sc]e {number}", (own, _LICENSE, first), 20, 0.95),
+                _rule(full, rf"{name} {number}", (own, first), 40, 0.6),
             ]
-        out += [_rule(label, rf"{lead}{name}(?: style)? licen[sc]e", gate, 30, 0.93), _rule(label, rf"{spdx}{name}", gate, 8, 0.97), _rule(label, rf"{name} licen[sc]e", gate, 50, 0.8)]
+        out += [_rule(label, rf"{lead}{name}(?: style)? licen[sc]e", (own, _LEAD, _LICENSE), 30, 0.93), _rule(label, rf"{spdx}{name}", (own, ("spdx",)), 8, 0.97), _rule(label, rf"{name} licen[sc]e", (own, _LICENSE), 50, 0.8)]
     for label, clause in BSD:
         gate = (("bsd", "freebsd"),)
         out += [_rule(label, rf"(?:{lead}|{spdx})?(?:{clause} bsd|bsd {clause})(?: licen[sc]e)?", gate, 15, 0.95)]

@@ -34,3 +34,70 @@ def test_neighbours_are_scored_on_all_tokens():
             assert set(got) == {j for j in range(n) if not used[j] and want[j] > 0}
             assert all(want[a] > want[b] or math.isclose(want[a], want[b], rel_tol=1e-9) for a, b in zip(got, got[1:]))
             assert seed or got[0] == 1
+
+
+def alternatives(tree):
+    """Texts that an expression matches, so that each alternative, option and character of a class is in one at least."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            own = ["x"]
+        elif name == "ANY":
+            own = ["x"]
+        elif name == "IN":
+            own = [chr(a) for k, a in arg if str(k) == "LITERAL"] or ["7"]
+        elif name == "BRANCH":
+            own = [x for branch in arg[1] for x in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            own = alternatives(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = arg
+            once = alternatives(inner)
+            own = [x * low for x in once] if low else ["", *once]
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            continue
+        else:
+            raise AssertionError(name)
+        out = [a + own[0] for a in out] + [out[0] + b for b in own[1:]] if len(out) * len(own) > 400 else [a + b for a in out for b in own]
+    return out
+
+
+def test_gates_lose_no_text_that_a_rule_matches():
+    from re import _parser
+
+    from siftpool.llm.licenses import Scanner
+
+    s = Scanner()
+    for r in s.rules:
+        seen = 0
+        for text in alternatives(_parser.parse(r.pattern.pattern)):
+            if r.pattern.search(text):
+                seen += 1
+                assert all(set(group) & set(text.split()) for group in r.gate), (r, text)
+        assert seen, r
+
+
+def test_license_scan_finds_what_was_gated_out(spark):
+    from siftpool.llm.licenses import Scanner, scan_licenses
+
+    texts = {
+        1: "It is available under Apache 2.0, too",
+        2: "published under GPL version 3",
+        3: "code: GPL version 3",
+        4: "Unauthorised copying of it is prohibited",
+        5: "confidential and confidential",
+        6: "No part of this work may be copied",
+        7: "x\u00a0gpl version 3",  # one word up to the space
+    }
+    want = {1: "apache-2.0", 2: "gpl-3.0", 3: "gpl-3.0", 4: "proprietary", 5: "proprietary", 6: "proprietary", 7: ""}
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == want
+    s = Scanner()
+    every = {w for r in s.rules for group in r.gate for w in group}
+    for i, text in texts.items():
+        own = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split(" ")
+        free = s.detections([w for w in own if w], every)
+        assert [(a, b, r.label) for a, b, r in free] == [(x.start, x.end, x.label) for x in got[i].detections]
