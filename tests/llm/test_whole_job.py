@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from siftpool.llm.packing import _Shard
 
@@ -101,3 +103,40 @@ def test_license_scan_finds_what_was_gated_out(spark):
         own = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split(" ")
         free = s.detections([w for w in own if w], every)
         assert [(a, b, r.label) for a, b, r in free] == [(x.start, x.end, x.label) for x in got[i].detections]
+
+
+LITERAL = "<|endoftext|>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", " the", " ", "  ", "\n", "é", "　", "1", "'s", "!", "<|", LITERAL, LITERAL]), max_size=12).map("".join)), max_size=6))
+def test_ids_are_the_librarys_where_texts_hold_an_added_token(texts):
+    """The library alone, as it is by default, gives the ids; the operators' encoder has the same."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from siftpool.llm.registry import vocabulary
+    from siftpool.llm.textops import text_bytes
+    from siftpool.llm.tokens import encoder
+
+    if not _library:
+        _library.append(Tokenizer.from_file(vocabulary()))
+    ids, at = encoder(vocabulary()).encode(*text_bytes(pa.array(texts, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [_library[0].encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+_library = []
+
+
+def test_packing_counts_an_added_token_once(spark):
+    import zlib
+
+    from siftpool.llm.packing import packed_ids, retrieval_packed
+    from siftpool.llm.registry import vocabulary
+
+    df = spark.createDataFrame([(1, f"a {LITERAL} b")], "doc_id bigint, text string")
+    ids = [64, 220, 50256, 275, 0]
+    (got,) = retrieval_packed(df, vocabulary()).collect()
+    assert (got.start, got.length, got.doc_tokens, got.ids_crc32) == (0, 5, 5, zlib.crc32(np.array(ids, "<u4").tobytes()))
+    (row,) = packed_ids(df, vocabulary(), size=8).collect()
+    assert np.frombuffer(row.input_ids, "<u2").tolist() == [*ids, 0, 0, 0]
