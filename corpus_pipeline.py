@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftpool.llm.decontaminate import without_items
@@ -26,15 +26,44 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model, score=score, below=0.5).drop(score)
 
 
+def _same(docs: DataFrame, other: Column) -> Column:
+    """A value that rows share only if they repeat one document, id and text; other: what tells all further rows apart."""
+    return F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.sha2(F.concat_ws(" ", "doc_id", "text"), 256)).otherwise(other)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates stays: that with the smallest id, nulls last.
+
+    Rows that repeat an id and its text are one document and stay or go
+    together. Different texts of one id are documents of their own, and so is
+    each row without an id.
+    """
+    row, same = fresh(docs, "row"), fresh(docs, "same")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = rows.withColumn(same, _same(rows, F.concat(F.lit("row "), F.col(row))))
+    groups = near_duplicates(rows, row).select(row, "component_id")
+    ids = rows.select(row, F.col("doc_id").alias("own"), F.col(same).alias("same"))
+    first = F.min_by("same", F.struct(F.col("own").isNull(), "own", row))
+    stay = groups.join(ids, row).groupBy("component_id").agg(first.alias(same)).select(same)
+    return rows.join(stay, same, "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of every window of 35 words that occurs more than once go; n_chars follows."""
-    out = without_repeats(docs, window=35)
+    """Words of every window of 35 words that occurs more than once go; n_chars follows.
+
+    Rows that repeat an id and its text count once, and are all cut alike.
+    """
+    same = docs.select(_same(docs, F.lit(None)).alias("same")).where("same is not null").groupBy("same").agg(F.count("*").alias("n")).where("n > 1")
+    if same.isEmpty():
+        out = without_repeats(docs, window=35)
+    else:
+        row, key = fresh(docs, "row"), fresh(docs, "same")
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        rows = rows.withColumn(key, _same(rows, F.concat(F.lit("row "), F.col(row))))
+        first = rows.groupBy(key).agg(F.min(row).alias(row)).select(row)
+        cut = written(without_repeats(rows.join(first, row, "left_semi"), window=35), "cut")
+        again = rows.drop("text").join(first, row, "left_anti").join(cut.select(key, "text"), key)
+        out = cut.select(docs.columns).unionByName(again.select(docs.columns))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -140,3 +140,25 @@ def test_packing_counts_an_added_token_once(spark):
     assert (got.start, got.length, got.doc_tokens, got.ids_crc32) == (0, 5, 5, zlib.crc32(np.array(ids, "<u4").tobytes()))
     (row,) = packed_ids(df, vocabulary(), size=8).collect()
     assert np.frombuffer(row.input_ids, "<u2").tolist() == [*ids, 0, 0, 0]
+
+
+def test_pipeline_keeps_a_copy_of_repeated_rows(spark):
+    """Texts over the window of 35 words: repeated rows and null ids lose nothing, and a clean second text of an id stays."""
+    import corpus_pipeline as p
+
+    def text(word, n=60):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    near = text("c") + " other end"
+    rows = [(3, text("a")), (3, text("a")), (3, text("a")), (None, text("b")), (None, text("b")), (4, text("c")), (7, near), (7, text("d")), (None, text("e")), (9, text("e")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(4)
+    once = p.written(p.near_dedup(spark, docs, ""), "near_dedup")
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in p.substring_dedup(spark, once, "").collect()), key=str)
+    want = [(3, text("a"))] * 3 + [(None, text("b")), (4, text("c")), (7, text("d")), (9, text("e")), (None, None), (None, "")]
+    assert got == sorted(((i, t, len(t or "")) for i, t in want), key=str)
+    # a passage that two documents share still goes, from a document's repeats too
+    shared = text("s", 40)
+    rows = [(1, text("f") + " " + shared), (1, text("f") + " " + shared), (2, text("g") + " " + shared)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = sorted((r.doc_id, r.text.strip(), r.n_chars) for r in p.substring_dedup(spark, docs, "").collect())
+    assert [x[:2] for x in got] == [(1, text("f")), (1, text("f")), (2, text("g"))]
