@@ -1,7 +1,7 @@
 """Benchmark decontamination: which documents contain which short test items.
 
-Items are partitioned by size. Of each item only a MinHash sketch is searched
-for: its smallest shingle hashes, so many (by size class) that a document with
+Of each item only a MinHash sketch is searched for: its smallest shingle
+hashes, so many (by the item's own size) that a document with
 the wanted share of the item's shingles must contain one of them. That search
 loses nothing; what it finds is verified by exact shingle containment in the
 whole document. The benchmark is sent to the tasks in blocks of bounded size,
@@ -32,7 +32,7 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of test items: full shingle sets, and sketches grouped by shingle length and size class."""
+    """A block of test items: full shingle sets, and sketches grouped by shingle length."""
 
     def __init__(self, ids: list, texts: list[str], shingle: int, share: float):
         h, bounds = _hashed(pa.array(texts, pa.string()))
@@ -42,8 +42,7 @@ class Items:
             s = np.unique(window_hashes(h[a:b], k)) if k else np.zeros(0, np.uint64)
             self.sets.append(s)
             if k:
-                largest = min(len(s), 2 ** (len(s).bit_length()) - 1)  # of its size class
-                keep = min(len(s), int((1 - share) * largest + 1e-9) + 1)
+                keep = min(len(s), int((1 - share) * len(s) + 1e-9) + 1)
                 sketch.setdefault(k, []).extend((int(x), i) for x in s[:keep])
         self.sketch = {}
         for k, pairs in sketch.items():
