@@ -1,16 +1,28 @@
 """Benchmark decontamination: which documents contain which short test items.
 
-Of each item only a MinHash sketch is searched for: its smallest shingle
-hashes, so many (by the item's own size) that a document with
-the wanted share of the item's shingles must contain one of them. That search
-loses nothing; what it finds is verified by exact shingle containment in the
-whole document. The benchmark is sent to the tasks in blocks of bounded size,
-each of which meets all documents; documents are never shuffled.
+The search is by MinHash containment over partitions of equal size:
+
+1. Items are partitioned by size: by the length of their shingles and by powers
+   of two of their number of distinct shingles.
+2. For each partition, documents are cut into tiles of as many shingles as its
+   largest item has, and item and tile are sketched by the same MinHash
+   functions. Jaccard similarities of an item with a document's tiles add up to
+   at least share * low / (low + high), however its shingles are spread over the
+   tiles, if the document holds the share of them; low and high are the
+   partition's bounds. From that sum follows how many MinHash functions the
+   partition needs, so that no function agrees with probability MISS at most.
+3. Documents of which a sketch value is found in a bit map of the items' values
+   go on, with those of their shingles that any item has; the values are joined
+   with the items', and each pair is verified by exact shingle containment over
+   the whole document.
+
+Only bit maps of bounded size are sent to the tasks; items and hits are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.llm.textops import ALNUM, fresh, slices, text_bytes, window_hashes, word_hashes, words
+from siftpool.llm.textops import ALNUM, fresh, mix, slices, text_bytes, window_hashes, word_hashes, words, written
 
-BLOCK_BYTES = 16 << 20  # of item texts sent to the tasks at once
-_FILTER = 1 << 22
+MISS = 1e-7  # chance that the search misses an item that a document holds
+BLOCK_BYTES = 64 << 20  # of a bit map at most; with more items it lets more values through, none less
+_BITS = 16  # of a bit map for each value, while there is room
+_TILES = 1 << 16  # shingles of the tiles that are hashed at a time
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,58 +45,150 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, starts, ends), bounds
 
 
-class Items:
-    """A block of test items: full shingle sets, and sketches grouped by shingle length."""
-
-    def __init__(self, ids: list, texts: list[str], shingle: int, share: float):
-        h, bounds = _hashed(pa.array(texts, pa.string()))
-        self.ids, self.sets, sketch = ids, [], {}
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            k = min(shingle, int(b - a))
-            s = np.unique(window_hashes(h[a:b], k)) if k else np.zeros(0, np.uint64)
-            self.sets.append(s)
-            if k:
-                keep = min(len(s), int((1 - share) * len(s) + 1e-9) + 1)
-                sketch.setdefault(k, []).extend((int(x), i) for x in s[:keep])
-        self.sketch = {}
-        for k, pairs in sketch.items():
-            pairs.sort()
-            keys = np.array([x for x, _ in pairs], np.uint64)
-            hit = np.zeros(_FILTER, bool)
-            hit[keys & np.uint64(_FILTER - 1)] = True
-            self.sketch[k] = keys, np.array([i for _, i in pairs]), hit
-
-    def search(self, column: pa.Array, share: float) -> Iterator[tuple[int, int, int]]:
-        """(row, item, shingles of the item found) for each row that holds at least the share."""
+@dataclass(frozen=True)
+class Partition:
+    """Items of one shingle length, of low to high distinct shingles."""
+
+    shingle: int
+    low: int
+    high: int
+    share: float
+
+    @property
+    def functions(self) -> int:
+        """How many MinHash functions keep the chance of a miss at MISS."""
+        if self.high == 1:
+            return 1  # a tile is one shingle, and equal or not
+        return math.ceil(math.log(1 / MISS) * (self.low + self.high) / (self.share * self.low))
+
+    def keys(self, tiles: np.ndarray) -> np.ndarray:
+        """The sketch values of tiles, a column each of upper halves of shingle hashes; a row for each function."""
+        out = np.empty((self.functions, tiles.shape[1]), np.uint64)
+        for i, m in enumerate(_multipliers(self.functions)):
+            out[i] = (tiles * m).min(axis=0)
+        own = mix(np.arange(self.functions, dtype=np.uint64) + np.uint64(self.shingle << 40) + np.uint64(self.high.bit_length() << 48))
+        return mix(out ^ own[:, None])
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return (mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _halves(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+class BitMap:
+    """Which values may be among some: never says no to one of them."""
+
+    def __init__(self, keys: DataFrame, count: int):
+        """keys: rows (key). The bits are set by an aggregation; BLOCK_BYTES at most come to the driver."""
+        self.bits = 1 << min(max(10, (_BITS * count - 1).bit_length()), max(6, (8 * BLOCK_BYTES).bit_length() - 1))
+        slot = F.col("key").bitwiseAND(F.lit(self.bits - 1))
+        got = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {min(63, self.bits - 1)} as int))")).alias("set")).toArrow()
+        self.words = np.zeros(max(1, self.bits >> 6), np.uint64)
+        self.words[got.column("word").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & np.uint64(self.bits - 1)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _tiles(first: np.ndarray, last: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tiles of high shingles in each range, and the range of each tile."""
+    n = -(-(last - first) // high)
+    row = np.repeat(np.arange(len(n)), n)
+    start = first[row] + high * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+    return start, np.minimum(start + high, last[row]), row
+
+
+class Search:
+    """Partitions and bit maps, as they are sent to the tasks."""
+
+    def __init__(self, partitions: list[Partition], sketches: BitMap, shingles: BitMap):
+        self.partitions, self.sketches, self.shingles = partitions, sketches, shingles
+
+    def hits(self, column: pa.Array) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Rows with sketch values of items, these values, and the rows' distinct shingles that items may have."""
         h, bounds = _hashed(column)
-        for k, (keys, item, hit) in self.sketch.items():
-            w = window_hashes(h, k)
-            at = np.flatnonzero(hit[w & np.uint64(_FILTER - 1)])
-            lo, hi = np.searchsorted(keys, w[at], "left"), np.searchsorted(keys, w[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            row = np.searchsorted(bounds, at, "right") - 1
-            inside = at + k <= bounds[row + 1]
-            at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
-            n = hi - lo
-            entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pairs = np.unique(np.stack([np.repeat(row, n), item[entry]], axis=1), axis=0) if len(entry) else np.zeros((0, 2), np.int64)
-            have, last = None, -1
-            for r, i in pairs.tolist():
-                if r != last:
-                    have, last = np.unique(w[bounds[r] : bounds[r + 1] - k + 1]), r
-                s = self.sets[i]
-                found = int((have[np.minimum(np.searchsorted(have, s), len(have) - 1)] == s).sum())
-                if found >= share * len(s) - 1e-9:
-                    yield r, i, found
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, shingle: int, share: float) -> Iterator[Items]:
-    rows = items.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for b in range(n):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).orderBy("id", "text").toArrow()
-        yield Items(part.column("id").to_pylist(), part.column("text").to_pylist(), shingle, share)
+        rows, keys, runs = [], [], {}
+        for p in self.partitions:
+            if p.shingle not in runs:
+                w = window_hashes(h, p.shingle)
+                runs[p.shingle] = w, _halves(w), bounds[:-1], np.maximum(bounds[1:] - p.shingle + 1, bounds[:-1])
+            _, half, first, last = runs[p.shingle]
+            start, end, row = _tiles(first, last, p.high)
+            step = max(1, _TILES // p.high)
+            for i in range(0, len(start), step):
+                at = np.minimum(start[i : i + step] + np.arange(p.high)[:, None], end[i : i + step] - 1)
+                got = p.keys(half[at])
+                f, t = np.nonzero(self.sketches.has(got))
+                rows.append(row[i + t])
+                keys.append(got[f, t])
+        both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)], axis=1), axis=0) if rows else np.zeros((0, 2), np.uint64)
+        hit, cut = np.unique(both[:, 0], return_index=True)
+        hit = hit.astype(np.int64).tolist()
+        shingles = []
+        for r in hit:
+            own = np.concatenate([w[a[r] : b[r]] for w, _, a, b in runs.values()])
+            shingles.append(np.unique(own[self.shingles.has(own)]))
+        return hit, np.split(both[:, 1], cut[1:]) if hit else [], shingles
+
+
+def _arrays(parts: list[np.ndarray]) -> pa.Array:
+    """Values of each row as array<bigint>."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))), pa.int32()), pa.array(flat))
+
+
+def _items(items: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (item, item_id, shingle, n, set), written: items that have words, with a key of their own and their distinct shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, bounds = _hashed(part.column("text"))
+                k = np.minimum(np.diff(bounds), shingle)
+                keep = np.flatnonzero(k)
+                sets = [np.unique(window_hashes(h[bounds[i] : bounds[i + 1]], int(k[i]))) for i in keep]
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(keep)), pa.array(k[keep]), pa.array([len(s) for s in sets], pa.int64()), _arrays(sets)], ["item_id", "shingle", "n", "set"])
+
+    rows = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return written(rows.mapInArrow(run, "item_id bigint, shingle bigint, n bigint, set array<bigint>").withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _searched(docs: DataFrame, items: DataFrame, share: float) -> DataFrame | None:
+    """Rows (id, item_id, n_shingles, n_found) for rows of docs (id, text) and _items(); None without any item."""
+    spark = docs.sparkSession
+    size = F.length(F.bin("n"))  # 1 more than the power of two
+    sizes = items.groupBy("shingle", size.alias("size")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c"), F.sum("n").alias("n")).orderBy("shingle", "size").collect()
+    if not sizes:
+        return None
+    partitions = [Partition(r.shingle, r.low, r.high, share) for r in sizes]
+    of = {(r.shingle, r.size): p for r, p in zip(sizes, partitions)}
+
+    def sketched(batches):
+        for batch in batches:
+            sets = [x.values.to_numpy().view(np.uint64) for x in batch.column("set")]
+            keys = [of[k, len(s).bit_length()].keys(_halves(s)[:, None])[:, 0] for k, s in zip(batch.column("shingle").to_pylist(), sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), _arrays(keys)], ["item", "keys"])
+
+    keys = written(items.select("item", "shingle", "set").mapInArrow(sketched, "item bigint, keys array<bigint>").select("item", F.explode("keys").alias("key")), "item_keys")
+    every = items.select(F.explode("set").alias("key"))
+    sent = spark.sparkContext.broadcast(Search(partitions, BitMap(keys, sum(r.c * p.functions for r, p in zip(sizes, partitions))), BitMap(every, sum(r.n for r in sizes))))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, found, shingles = sent.value.hits(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows, pa.int64())), _arrays(found), _arrays(shingles)], ["id", "keys", "shingles"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    hits = written(docs.mapInArrow(run, f"id {kind}, keys array<bigint>, shingles array<bigint>").withColumn("row", F.monotonically_increasing_id()), "hits")
+    pairs = hits.select("row", F.explode("keys").alias("key")).join(keys, "key").select("row", "item").distinct()
+    both = pairs.join(hits.drop("keys"), "row").join(items, "item")
+    found = both.select("id", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("set", "shingles")).cast("bigint").alias("n_found"))
+    return found.where(F.col("n_found") >= share * F.col("n_shingles") - 1e-9)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, share: float = 0.8) -> DataFrame:
@@ -94,41 +200,19 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     each, as are null ids. Other columns are not read; an empty table on either
     side gives no rows.
     """
-    spark = docs.sparkSession
-    schema = "id bigint, item bigint, n_shingles bigint, n_found bigint"
-    out = spark.createDataFrame([], schema)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    for block in _blocks(items, item_id, item_text, shingle, share):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            block = sent.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    found = list(block.search(part.column("text"), share))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([block.ids[i] for _, i, _ in found], pa.int64()), pa.array([len(block.sets[i]) for _, i, _ in found], pa.int64()), pa.array([f for _, _, f in found], pa.int64())],
-                        ["id", "item", "n_shingles", "n_found"],
-                    )
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    out = _searched(rows, _items(items, item_id, item_text, shingle), share)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "id bigint, item_id bigint, n_shingles bigint, n_found bigint")
+    return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_id), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item in the sense of contained_items()."""
-    spark = docs.sparkSession
-    name = fresh(docs, "searched")
-    out = docs.withColumn(name, F.col(text_col).cast("string"))
-    for block in _blocks(items, item_id, item_text, shingle, share):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            for batch in batches:
-                for part in slices(batch, name):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, _, _ in sent.value.search(part.column(name), share)]] = False
-                    yield part.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, out.schema)
-    return out.drop(name)
+    """The rows of docs, with all their columns, that hold no item in the sense of contained_items(). Equal texts stay or go together."""
+    digest = F.sha2(F.col(text_col).cast("string"), 256)
+    found = _searched(docs.select(digest.alias("id"), F.col(text_col).cast("string").alias("text")), _items(items, item_id, item_text, shingle), share)
+    if found is None:
+        return docs
+    name = fresh(docs, "digest")
+    gone = written(found.select(F.col("id").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, digest).join(gone, name, "left_anti").drop(name)
