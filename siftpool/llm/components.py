@@ -15,20 +15,21 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     turn any graph into stars after a number of rounds that grows with the
     logarithm of its size. Each step is one aggregation (with partial sums, so a
     hub costs one row per task) and one join, which Spark may split for skew.
-    Rounds are written to the shared folder. Edges with a null end and loops are
-    ignored; no edges give no rows.
+    Rounds are written to the shared folder. Edges with a null end, loops and
+    edges that repeat add nothing; no edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()
     now = written(now, name)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)  # read again, a join with a hub's many edges can be split
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         last, now = now, written(small, name)
         forget(last)
+        forget(least)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -4,16 +4,18 @@
    sketch: the samples folded into a parity bitmap.
 2. Equal sets collapse into one class (an aggregation with partial results), so
    any number of copies costs one row per task from here on.
-3. Classes that share a band form candidate groups (stars around each bucket's
-   smallest member, then connected components).
-4. In each group a few dozen leaders are compared with all members; members
-   that are still apart from the group's largest part are then compared with
-   all. Every pair in different parts has been looked at by then, so no link
-   between groups' parts can be lost. XOR population counts of the odd sketches
-   reject pairs far below the threshold; the rest are confirmed on full sets.
-
-A comparison task gets one block of leaders and one block of members, both of
-bounded size; all pairs are never emitted, only links that join two parts.
+3. Classes that share a band form groups (stars around each bucket's smallest
+   member, then connected components). In each group a few dozen leaders are
+   compared with all members: a large group of copies becomes one part here, in
+   time that grows with the group.
+4. Pairs that share a band and are in different parts still are compared within
+   the buckets of their bands, first by odd sketches alone: XOR population counts
+   reject pairs far below the threshold. Only members that have a likely partner
+   take their full sets to a bucket, once for buckets with the same such members.
+
+Links are confirmed on full sets. A comparison task gets one block of leaders and
+one block of members, both of bounded size; pairs are never emitted, only links
+that join two parts, or members with a likely partner.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpool.llm.components import components
-from siftpool.llm.textops import LOWER, binary, grouped, mix, parts_for, slices, text_bytes, window_hashes, word_hashes, words, written
+from siftpool.llm.textops import LOWER, binary, forget, grouped, mix, parts_for, slices, text_bytes, window_hashes, word_hashes, words, written
 
 ROWS = 5  # MinHash samples of a band
 BITS = 1024  # of an odd sketch
 SLACK = 0.17  # six standard deviations of the sketches' estimate near the threshold
 LEADERS = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20  # of sets in a block, unless a single set is larger
+BLOCK_ROWS = 512  # sets in a block
+SKETCH_ROWS = 4096  # odd sketches in a block
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -111,15 +115,20 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) ->
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _compare(k: int, percent: int):
-    """Links that join two parts, found in blocks of leaders and members."""
+def _likely(n: np.ndarray, odd: np.ndarray, i: int, k: int, percent: int) -> np.ndarray:
+    """Whether each row may be linked with row i, by sizes and odd sketches."""
+    fits = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+    return fits & (odd_likeness(np.bitwise_count(odd ^ odd[i]).sum(axis=1), k) >= percent / 100 - SLACK)
+
+
+def _confirmed(k: int, percent: int):
+    """Links (a, b) that join two parts, found in blocks of leaders and members."""
 
     def run(batches):
         for unit in grouped(batches, ["grp", "lead_block", "block"]):
-            node = unit.column("node").to_numpy()
             leads = unit.column("leads").to_numpy(zero_copy_only=False).astype(bool)
-            n = unit.column("n").to_numpy()
-            odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(node), -1)
+            n, part = unit.column("n").to_numpy(), unit.column("part").to_numpy()
+            odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(n), -1)
             sets = [np.frombuffer(x, np.uint64) for x in unit.column("hashes").to_pylist()]
             parent: dict[int, int] = {}
 
@@ -128,13 +137,9 @@ def _compare(k: int, percent: int):
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            part = unit.column("part").to_numpy()
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(leads):
-                small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-                fits = 100 * small >= percent * large
-                fits &= odd_likeness(np.bitwise_count(odd ^ odd[i]).sum(axis=1), k) >= percent / 100 - SLACK
-                for j in np.flatnonzero(fits):
+                for j in np.flatnonzero(_likely(n, odd, i, k, percent)):
                     a, b = root(int(part[i])), root(int(part[j]))
                     if a == b:
                         continue
@@ -148,14 +153,34 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _links(leaders: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """leaders: (..., lead_block, blocks); members: (..., blocks, lead_blocks). Each leader block meets each member block of its group."""
-    cols = ["grp", "node", "part", "n", "odd", "hashes"]
-    lead = leaders.select(*cols, "lead_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
-    rest = members.select(*cols, F.explode(F.sequence(F.lit(0), F.col("lead_blocks") - 1)).alias("lead_block"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("leads"))
-    units = lead.unionByName(rest)
+def _partnered(k: int, percent: int):
+    """Rows (grp, node, part, n) with a likely partner in another part, found in blocks of leaders and members."""
+
+    def run(batches):
+        for unit in grouped(batches, ["grp", "lead_block", "block"]):
+            n, part = unit.column("n").to_numpy(), unit.column("part").to_numpy()
+            odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(n), -1)
+            hit = np.zeros(len(n), bool)
+            for i in np.flatnonzero(unit.column("leads").to_numpy(zero_copy_only=False)):
+                near = _likely(n, odd, i, k, percent) & (part != part[i])
+                hit |= near
+                hit[i] |= near.any()
+            yield from unit.select(["grp", "node", "part", "n"]).filter(pa.array(hit)).to_batches()
+
+    return run
+
+
+def _units(leaders: DataFrame, members: DataFrame) -> DataFrame:
+    """Each leader block with each member block of its group: leaders and members have their number of blocks as lead_blocks and blocks."""
+
+    def dealt(df: DataFrame, leads: bool) -> DataFrame:
+        own = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        lead, block = (own(3, "lead_blocks"), every("blocks")) if leads else (every("lead_blocks"), own(2, "blocks"))
+        return df.withColumns({"lead_block": lead, "block": block, "leads": F.lit(leads)}).drop("lead_blocks", "blocks")
+
     keys = ["grp", "lead_block", "block"]
-    return units.repartition(parts_for(units.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(k, percent), "a bigint, b bigint")
+    return dealt(leaders, True).unionByName(dealt(members, False)).repartition(parts_for(leaders.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
 def _told(members: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
@@ -164,6 +189,21 @@ def _told(members: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
     return members.join(salts.join(facts, "grp"), ["grp", "salt"])
 
 
+def _blocks(rows: str, size: str | None = None) -> Column:
+    by_rows = F.ceil(F.col(rows) / (BLOCK_ROWS if size else SKETCH_ROWS))
+    return F.greatest(by_rows, F.ceil(F.col(size) / BLOCK_BYTES) if size else by_rows, F.lit(1)).cast("int")
+
+
+def _split(members: DataFrame, by_size: bool) -> DataFrame:
+    """members (grp, part, n, ...) of groups of several parts, with the group's largest part and its number of blocks. The groups are written, so that a join with a large one can be split."""
+    size = F.sum(8 * F.col("n") + 200)
+    parts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), size.alias("bytes"))
+    facts = parts.groupBy("grp").agg(F.max_by(F.struct("part", "c", "bytes"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    facts = facts.withColumns({"largest": F.col("most.part"), "apart": F.col("c") - F.col("most.c"), "apart_bytes": F.col("bytes") - F.col("most.bytes")})
+    facts = facts.select("grp", "largest", _blocks("c", "bytes" if by_size else None).alias("blocks"), _blocks("apart", "apart_bytes" if by_size else None).alias("lead_blocks"))
+    return members.join(written(facts, "split"), "grp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each row of docs.
 
@@ -171,25 +211,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of lower-cased word shingles; component_id is the smallest id that links
     reach. Null and empty texts have no shingles and no links. Rows with a null
     id link nothing: their component is null and they are kept. Ids are meant to
-    be unique; rows that repeat an id are reported each, by their own text.
-    Other columns of docs are not read; an empty table gives no rows.
+    be unique; rows that repeat an id are reported each, by their own text, and
+    different texts of one id are not linked by it. Other columns of docs are
+    not read; an empty table gives no rows.
     """
     bands = bands_for(percent / 100)
     k = bands * ROWS
     rows = written(sketched(docs, id_col, text_col, shingle, bands), "sketches")
     known = rows.where("id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    classes = written(classes, "classes")
+    classes = known.groupBy("digest").agg(F.min("id").alias("lowest"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    groups = components(keys.join(shared, "key").select("node", "lead"), "node", "lead", "groups").withColumnRenamed("component", "grp")
+    buckets = written(keys.join(shared, "key").select("key", "node", "lead"), "buckets")
+    groups = components(buckets.select("node", "lead"), "node", "lead", "groups").withColumnRenamed("component", "grp")
 
-    wanted = groups.join(classes.select("node", "digest", "n", "odd"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(parts_for(docs.sparkSession))).cast("int"))
+    wanted = groups.join(classes.select("node", "lowest", "digest", "n", "odd"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(parts_for(docs.sparkSession))).cast("int"))
     dealt = wanted.groupBy("grp", "salt").agg(F.count("*").alias("m"), F.sum(8 * F.col("n") + 200).alias("bytes"))
-    size = dealt.groupBy("grp").agg(F.sum("m").alias("m"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.collect_list("salt").alias("salts"))
-    wanted = wanted.join(size.select("grp", "m", "blocks", F.explode("salts").alias("salt")), ["grp", "salt"])  # before the sets, which are large
-    sets = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node")
+    size = dealt.groupBy("grp").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.collect_list("salt").alias("salts"))
+    size = size.withColumns({"leading": F.least("m", F.lit(LEADERS)), "leading_bytes": F.col("bytes") * F.least(F.lit(1.0), LEADERS / F.col("m"))})
+    size = size.select("grp", "m", _blocks("m", "bytes").alias("blocks"), _blocks("leading", "leading_bytes").alias("lead_blocks"), F.explode("salts").alias("salt"))
+    wanted = wanted.join(size, ["grp", "salt"])  # before the sets, which are large
+    sets = docs.select(F.col(id_col).cast("bigint").alias("lowest"), F.col(text_col).cast("string").alias("text")).join(wanted, "lowest")
 
     def full(batches):
         for batch in batches:
@@ -197,24 +241,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = list(shingle_sets(part.column("text"), shingle))
                 same = [i for i, (s, d) in enumerate(zip(found, part.column("digest").to_pylist())) if _digest(s) == d]
                 got = part.take(pa.array(same, pa.int64()))
-                cols = ["node", "grp", "salt", "n", "odd", "m", "blocks"]
+                cols = ["node", "grp", "salt", "n", "odd", "m", "blocks", "lead_blocks"]
                 yield pa.RecordBatch.from_arrays([*(got.column(c) for c in cols), binary([found[i] for i in same])], [*cols, "hashes"])
 
-    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, salt int, n bigint, odd binary, m bigint, blocks int, hashes binary"), "sets")
-    # first pass: some leaders against all; in groups of LEADERS or fewer, all against all
+    sets = written(sets.mapInArrow(full, "node bigint, grp bigint, salt int, n bigint, odd binary, m bigint, blocks int, lead_blocks int, hashes binary"), "sets")
+    # leaders against all; in groups of LEADERS or fewer, all are leaders
     leads = F.pmod(F.xxhash64("node"), F.col("m")) < LEADERS
-    first = sets.withColumn("part", F.col("node"))
-    links = written(_links(first.where(leads).withColumn("lead_block", F.lit(0)), first.where(~leads).withColumn("lead_blocks", F.lit(1)), k, percent), "links")
+    first = sets.select("grp", "node", F.col("node").alias("part"), "n", "odd", "hashes", "blocks", "lead_blocks", leads.alias("first"))
+    units = _units(first.where("first").drop("first"), first.where("not first or lead_blocks > 1").drop("first"))  # a single leader block is in every unit itself
+    links = written(units.mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), "links")
     parts = components(links, "a", "b", "parts").withColumnRenamed("component", "part")
-    # second pass: what is apart from its group's largest part against all that were no leaders
-    open_ = sets.where(F.col("m") > LEADERS).where(~leads).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    largest = open_.groupBy("grp", "part").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count("*").alias("n_parts")).where("n_parts > 1").drop("n_parts")
-    open_ = _told(open_, sets, largest)
-    apart = open_.where("part != largest")
-    per = apart.groupBy("grp").agg(F.ceil(F.sum(8 * F.col("n") + 200) / BLOCK_BYTES).cast("int").alias("lead_blocks"))
-    again = _links(_told(apart, sets, per).withColumn("lead_block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lead_blocks")).cast("int")), _told(open_, sets, per), k, percent)
+
+    # what is in another part than its bucket's largest against the whole bucket, leaders left out
+    open_ = sets.where(F.col("m") > LEADERS).where(~leads).select("grp", "salt", "node", "n", "odd").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = open_.groupBy("grp", "part").agg(F.count("*")).groupBy("grp").agg(F.count("*").alias("parts")).where("parts > 1").select("grp")
+    banded = buckets.select("node", "key").join(_told(open_, sets, several).select("node", "part", "n", "odd"), "node").withColumnRenamed("key", "grp")
+    banded = written(banded, "banded")
+    told = _split(banded, by_size=False)
+    likely = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
+    likely = written(likely.distinct(), "likely")
+    same = likely.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).groupBy("c", "s").agg(F.min("grp").alias("grp"))
+    told = _split(likely.join(same.select("grp"), "grp", "left_semi"), by_size=True).join(sets.select("node", "odd", "hashes"), "node")
+    again = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_confirmed(k, percent), "a bigint, b bigint")
     final = components(links.unionByName(again), "a", "b", "final")
+    for done in (buckets, sets, links, banded, likely):
+        forget(done)
 
-    named = known.join(classes.select("digest", "node"), "digest").join(final, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
+    lowest = written(final.join(classes.select("node", "lowest"), "node").groupBy("component").agg(F.min("lowest").alias("component_id")), "lowest")
+    named = classes.select("digest", "node", "lowest").join(final.join(lowest, "component").drop("component"), "node", "left").select("digest", F.coalesce("component_id", "lowest").alias("component_id"))
+    told = known.join(named, "digest").select("id", "n", "component_id")
     alone = rows.where("id is null or digest is null").select("id", "n", F.col("id").alias("component_id"))
-    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return told.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftpool.llm.packing import _Shard
 
@@ -162,3 +163,36 @@ def test_pipeline_keeps_a_copy_of_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
     got = sorted((r.doc_id, r.text.strip(), r.n_chars) for r in p.substring_dedup(spark, docs, "").collect())
     assert [x[:2] for x in got] == [(1, text("f")), (1, text("f")), (2, text("g"))]
+
+
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    """A class is a text's, not an id's: what shares only an id with a copy is in no group of it."""
+    from siftpool.llm.neardup import near_duplicates
+
+    def text(word, n=40):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    rows = [(2, text("a")), (4, text("a")), (4, text("b")), (5, text("b") + " end"), (6, text("c")), (6, text("c"))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(2, 36, 2), (4, 36, 2), (4, 36, 4), (5, 37, 4), (6, 36, 6), (6, 36, 6)]
+
+
+def test_chained_documents_are_compared_within_buckets(spark, monkeypatch):
+    """Each text shares about half of its shingles with the next: bands chain them to one group, but comparisons stay within buckets."""
+    from siftpool.llm import neardup
+
+    monkeypatch.setattr(neardup, "LEADERS", 4)
+    compared = []
+    units = neardup._units
+    monkeypatch.setattr(neardup, "_units", lambda a, b: (lambda df: compared.append(df) or df)(units(a, b)))
+    sizes = {}
+    for n in (200, 400):
+        rows = [(i, " ".join(f"w{j}" for j in range(20 * i, 20 * i + 64))) for i in range(n)]
+        rows += [(n + i, f"start {t} end") for i, t in rows[::40]]
+        compared.clear()
+        monkeypatch.setattr(neardup, "forget", lambda df: None)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=85).collect()}
+        assert got == {i: i for i in range(n)} | {n + i: i for i, _ in rows[:n:40]}
+        pairs = [df.groupBy("grp", "lead_block", "block").agg(F.sum(F.col("leads").cast("int")).alias("a"), F.count("*").alias("b")).agg(F.sum(F.expr("a * b"))).first()[0] or 0 for df in compared]
+        sizes[n] = sum(pairs)
+    assert sizes[400] < 3 * sizes[200]
