@@ -4,14 +4,13 @@
    sketch: the samples folded into a parity bitmap.
 2. Equal sets collapse into one class (an aggregation with partial results), so
    any number of copies costs one row per task from here on.
-3. Classes that share a band form groups (stars around each bucket's smallest
-   member, then connected components). In each group a few dozen leaders are
-   compared with all members: a large group of copies becomes one part here, in
-   time that grows with the group.
+3. Classes are grouped by the smallest member that any of their bands' buckets
+   has. In each group a few dozen leaders are compared with all members: a large
+   group of copies becomes one part here, in time that grows with the group.
 4. Pairs that share a band and are in different parts still are compared within
-   the buckets of their bands, first by odd sketches alone: XOR population counts
-   reject pairs far below the threshold. Only members that have a likely partner
-   take their full sets to a bucket, once for buckets with the same such members.
+   the bucket of the first band that they share, first by odd sketches alone: XOR
+   population counts reject pairs far below the threshold. Only members that have
+   a likely partner take their full sets to the bucket.
 
 Links are confirmed on full sets. A comparison task gets one block of leaders and
 one block of members, both of bounded size; pairs are never emitted, only links
@@ -38,7 +37,7 @@ SLACK = 0.17  # six standard deviations of the sketches' estimate near the thres
 LEADERS = 64
 BLOCK_BYTES = 4 << 20  # of sets in a block, unless a single set is larger
 BLOCK_ROWS = 512  # sets in a block
-SKETCH_ROWS = 4096  # odd sketches in a block
+SKETCH_ROWS = 512  # odd sketches in a block
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -129,42 +128,39 @@ def _confirmed(k: int, percent: int):
             leads = unit.column("leads").to_numpy(zero_copy_only=False).astype(bool)
             n, part = unit.column("n").to_numpy(), unit.column("part").to_numpy()
             odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(n), -1)
-            sets = [np.frombuffer(x, np.uint64) for x in unit.column("hashes").to_pylist()]
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
+            sets = np.array([None, *(np.frombuffer(x, np.uint64) for x in unit.column("hashes").to_pylist())], object)[1:]
+            names, at = np.unique(part, return_inverse=True)
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(leads):
-                for j in np.flatnonzero(_likely(n, odd, i, k, percent)):
-                    a, b = root(int(part[i])), root(int(part[j]))
-                    if a == b:
-                        continue
-                    at = np.minimum(np.searchsorted(sets[i], sets[j]), n[i] - 1)
-                    both = int((sets[i][at] == sets[j]).sum())
-                    if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
-                        parent[a] = b
-                        out.append((int(part[i]), int(part[j])))
+                near = np.flatnonzero(_likely(n, odd, i, k, percent) & (at != at[i]))
+                if not len(near):
+                    continue
+                every = np.concatenate(sets[near])
+                same = sets[i][np.minimum(np.searchsorted(sets[i], every), n[i] - 1)] == every
+                both = np.add.reduceat(same, np.cumsum(n[near]) - n[near], dtype=np.int64)
+                for j in near[100 * both >= percent * (n[i] + n[near] - both)]:
+                    if at[j] != at[i]:
+                        out.append((int(names[at[i]]), int(names[at[j]])))
+                        at[at == at[j]] = at[i]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _partnered(k: int, percent: int):
-    """Rows (grp, node, part, n) with a likely partner in another part, found in blocks of leaders and members."""
+    """Rows (grp, node, part, n) with a likely partner in another part with which they share no earlier band, found in blocks of leaders and members."""
 
     def run(batches):
         for unit in grouped(batches, ["grp", "lead_block", "block"]):
-            n, part = unit.column("n").to_numpy(), unit.column("part").to_numpy()
+            n, part, band = unit.column("n").to_numpy(), unit.column("part").to_numpy(), int(unit.column("band")[0].as_py())
             odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(n), -1)
+            bands = unit.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)[:, :band]
             hit = np.zeros(len(n), bool)
             for i in np.flatnonzero(unit.column("leads").to_numpy(zero_copy_only=False)):
-                near = _likely(n, odd, i, k, percent) & (part != part[i])
-                hit |= near
-                hit[i] |= near.any()
+                near = np.flatnonzero(_likely(n, odd, i, k, percent) & (part != part[i]))
+                near = near[~(bands[near] == bands[i]).any(axis=1)]
+                hit[near] = True
+                hit[i] |= len(near) > 0
             yield from unit.select(["grp", "node", "part", "n"]).filter(pa.array(hit)).to_batches()
 
     return run
@@ -183,24 +179,20 @@ def _units(leaders: DataFrame, members: DataFrame) -> DataFrame:
     return dealt(leaders, True).unionByName(dealt(members, False)).repartition(parts_for(leaders.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def _told(members: DataFrame, sets: DataFrame, facts: DataFrame) -> DataFrame:
-    """members with the facts of their group (a row each). A group's members are salted, so a large one is spread over the tasks."""
-    salts = sets.select("grp", "salt").distinct()
-    return members.join(salts.join(facts, "grp"), ["grp", "salt"])
-
-
 def _blocks(rows: str, size: str | None = None) -> Column:
     by_rows = F.ceil(F.col(rows) / (BLOCK_ROWS if size else SKETCH_ROWS))
     return F.greatest(by_rows, F.ceil(F.col(size) / BLOCK_BYTES) if size else by_rows, F.lit(1)).cast("int")
 
 
-def _split(members: DataFrame, by_size: bool) -> DataFrame:
-    """members (grp, part, n, ...) of groups of several parts, with the group's largest part and its number of blocks. The groups are written, so that a join with a large one can be split."""
-    size = F.sum(8 * F.col("n") + 200)
-    parts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), size.alias("bytes"))
+def _split(members: DataFrame, size: str | None) -> DataFrame:
+    """members (grp, part, ...) of groups of several parts, with the group's largest part and its number of blocks; size: a column of the sizes of sets.
+
+    The groups are written, so that a join with a large one can be split.
+    """
+    parts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum(8 * F.col(size) + 200 if size else F.lit(0)).alias("bytes"))
     facts = parts.groupBy("grp").agg(F.max_by(F.struct("part", "c", "bytes"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes")).where("parts > 1")
     facts = facts.withColumns({"largest": F.col("most.part"), "apart": F.col("c") - F.col("most.c"), "apart_bytes": F.col("bytes") - F.col("most.bytes")})
-    facts = facts.select("grp", "largest", _blocks("c", "bytes" if by_size else None).alias("blocks"), _blocks("apart", "apart_bytes" if by_size else None).alias("lead_blocks"))
+    facts = facts.select("grp", "largest", _blocks("c", size and "bytes").alias("blocks"), _blocks("apart", size and "apart_bytes").alias("lead_blocks"))
     return members.join(written(facts, "split"), "grp")
 
 
@@ -222,10 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("digest").agg(F.min("id").alias("lowest"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.select("node", F.explode("bands").alias("key"))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    buckets = written(keys.join(shared, "key").select("key", "node", "lead"), "buckets")
-    groups = components(buckets.select("node", "lead"), "node", "lead", "groups").withColumnRenamed("component", "grp")
+    buckets = written(keys.join(shared, "key"), "buckets")
+    groups = buckets.groupBy("node").agg(F.min("lead").alias("grp"))
 
     wanted = groups.join(classes.select("node", "lowest", "digest", "n", "odd"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(parts_for(docs.sparkSession))).cast("int"))
     dealt = wanted.groupBy("grp", "salt").agg(F.count("*").alias("m"), F.sum(8 * F.col("n") + 200).alias("bytes"))
@@ -252,19 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(units.mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), "links")
     parts = components(links, "a", "b", "parts").withColumnRenamed("component", "part")
 
-    # what is in another part than its bucket's largest against the whole bucket, leaders left out
-    open_ = sets.where(F.col("m") > LEADERS).where(~leads).select("grp", "salt", "node", "n", "odd").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    several = open_.groupBy("grp", "part").agg(F.count("*")).groupBy("grp").agg(F.count("*").alias("parts")).where("parts > 1").select("grp")
-    banded = buckets.select("node", "key").join(_told(open_, sets, several).select("node", "part", "n", "odd"), "node").withColumnRenamed("key", "grp")
-    banded = written(banded, "banded")
-    told = _split(banded, by_size=False)
-    likely = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
+    # in each bucket, what is in another part than the bucket's largest against the whole bucket
+    placed = buckets.select("node", "key", "band").join(parts, "node", "left").select(F.col("key").alias("grp"), "band", "node", F.coalesce("part", "node").alias("part"))
+    placed = _split(written(placed, "placed"), None).join(classes.select("node", "n", "odd", "bands"), "node")
+    likely = _units(placed.where("part != largest").drop("largest"), placed.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
     likely = written(likely.distinct(), "likely")
-    same = likely.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).groupBy("c", "s").agg(F.min("grp").alias("grp"))
-    told = _split(likely.join(same.select("grp"), "grp", "left_semi"), by_size=True).join(sets.select("node", "odd", "hashes"), "node")
+    told = _split(likely, "n").join(sets.select("node", "odd", "hashes"), "node")
     again = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_confirmed(k, percent), "a bigint, b bigint")
-    final = components(links.unionByName(again), "a", "b", "final")
-    for done in (buckets, sets, links, banded, likely):
+    joined = components(again, "a", "b", "joined")  # parts to the smallest of the parts that links reach
+    own = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    final = written(own.unionByName(joined.join(parts, "node", "left_anti")), "final")
+    for done in (buckets, sets, links, likely):
         forget(done)
 
     lowest = written(final.join(classes.select("node", "lowest"), "node").groupBy("component").agg(F.min("lowest").alias("component_id")), "lowest")
