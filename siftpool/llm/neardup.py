@@ -37,7 +37,7 @@ SLACK = 0.17  # six standard deviations of the sketches' estimate near the thres
 LEADERS = 64
 BLOCK_BYTES = 4 << 20  # of sets in a block, unless a single set is larger
 BLOCK_ROWS = 512  # sets in a block
-SKETCH_ROWS = 512  # odd sketches in a block
+SKETCH_ROWS = 256  # odd sketches in a block
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
