@@ -5,12 +5,16 @@
    read.
 2. A task hashes every window of a chunk (Rabin-Karp over word hashes). Equal
    windows of a chunk are combined there; the distinct hashes go, in order, to
-   buckets of hash ranges: a passage that a third of all documents share costs
-   one value per chunk.
+   buckets by their leading bits: a passage that a third of all documents share
+   costs one value per chunk. A chunk's work depends on its own windows only,
+   not on the number of buckets.
 3. Each bucket counts in how many chunks a hash occurs and answers each chunk
    with one bit per hash.
 4. Chunks put the bits to their windows and merge repeated windows into maximal
    intervals of words.
+
+Chunks and buckets grow with the square root of the input, so that a chunk's part
+of a bucket stays some dozens of hashes, but GROW times at most.
 """
 
 from __future__ import annotations
@@ -28,11 +32,20 @@ from pyspark.sql import functions as F
 
 from siftpool.llm.textops import binary, grouped, parts_for, run_starts, slices, text_bytes, window_hashes, word_hashes, words, written
 
-CHUNK_BYTES = 4 << 20  # of text; raise with the executors' memory
-BUCKET = 1 << 20  # windows of a bucket
+CHUNK_BYTES = 4 << 20  # of text, before it grows
+BUCKET = 1 << 20  # windows of a bucket, before it grows
+GROW = 16  # so many times at most; bounds a task's memory
+ROWS = 10_000  # of a batch sent to buckets
+RUN = 64  # hashes that a chunk should have in a bucket
+
+
+def _growth(size: int) -> int:
+    """How many times chunks and buckets grow for an input of so many bytes, a power of two."""
+    hashes = CHUNK_BYTES * BUCKET / max(size, 1)  # of a chunk in a bucket
+    return min(GROW, 1 << max(0, math.ceil(math.log2(RUN / hashes) / 2)))
 
 
-def _packed(docs: DataFrame, text_col: str) -> DataFrame:
+def _packed(docs: DataFrame, text_col: str, chunk_bytes: int) -> DataFrame:
     """Rows (chunk, n_words, rows): documents with all their columns as compressed Arrow data."""
 
     def run(batches):
@@ -51,10 +64,10 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([(task << 32) + k - 1], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "n_words", "rows"])
 
         for batch in batches:
-            for part in slices(batch, text_col, CHUNK_BYTES // 4):
+            for part in slices(batch, text_col, chunk_bytes // 4):
                 held.append(part)
                 size += pc.sum(pc.binary_length(part.column(text_col))).as_py() or 0
-                if size >= CHUNK_BYTES or sum(x.num_rows for x in held) >= 1 << 17:
+                if size >= chunk_bytes or sum(x.num_rows for x in held) >= 1 << 17:
                     yield out()
         if held:
             yield out()
@@ -73,25 +86,28 @@ class _Windows:
         w = window_hashes(word_hashes(self.buf, self.starts, self.ends), window)
         self.hashes, self.back, self.count = np.unique(w[self.at] if len(self.at) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
 
-    def cuts(self, n: int) -> np.ndarray:
-        """Where the hashes of each of n equal ranges begin, and the end."""
-        step = (1 << 64) // n
-        return np.append(np.searchsorted(self.hashes, np.array([i * step for i in range(n)], np.uint64)), len(self.hashes))
+    def cuts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that the hashes fall in, by their leading bits, and where each one's hashes begin, and the end."""
+        own = self.hashes >> np.uint64(64 - bits) if bits else np.zeros(len(self.hashes), np.uint64)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        return own[first].astype(np.int64), np.append(first, len(own))
 
 
 def remove_repeats(docs: DataFrame, text_col: str, window: int, schema: str, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
     """finish(rows, bytes, word starts, word ends, words of each text, removed) of each chunk of docs, as one DataFrame."""
     spark = docs.sparkSession
-    packed = written(_packed(docs, text_col), "chunks")
-    n = max(1, math.ceil((packed.agg(F.sum("n_words")).first()[0] or 0) / BUCKET))
+    grow = _growth(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    packed = written(_packed(docs, text_col, CHUNK_BYTES * grow), "chunks")
+    bits = max(0, math.ceil(math.log2(max(1, packed.agg(F.sum("n_words")).first()[0] or 0) / (BUCKET * grow))))
 
     def hashed(batches):
         for batch in batches:
             for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
                 w = _Windows(rows.as_py(), text_col, window)
-                cuts = w.cuts(n)
-                full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk), pa.int64()), binary([w.hashes[cuts[b] : cuts[b + 1]] for b in full])], ["bucket", "chunk", "hashes"])
+                full, cuts = w.cuts(bits)
+                for i in range(0, len(full), ROWS):
+                    j = min(i + ROWS, len(full))
+                    yield pa.RecordBatch.from_arrays([pa.array(full[i:j]), pa.array(np.full(j - i, chunk), pa.int64()), binary([w.hashes[a:b] for a, b in zip(cuts[i:j], cuts[i + 1 : j + 1])])], ["bucket", "chunk", "hashes"])
 
     def counted(batches):
         for bucket in grouped(batches, ["bucket"]):
@@ -103,28 +119,27 @@ def remove_repeats(docs: DataFrame, text_col: str, window: int, schema: str, fin
             again = np.zeros(len(s), bool)
             again[order[1:][same]] = again[order[:-1][same]] = True
             ends = np.cumsum([len(x) for x in blobs])
-            bits = [np.packbits(again[e - len(x) : e]) for x, e in zip(blobs, ends)]
-            yield pa.RecordBatch.from_arrays([bucket.column("chunk").combine_chunks(), bucket.column("bucket").combine_chunks(), binary(bits)], ["chunk", "bucket", "bits"])
+            answer = [np.packbits(again[e - len(x) : e]) for x, e in zip(blobs, ends)]
+            yield pa.RecordBatch.from_arrays([bucket.column("chunk").combine_chunks(), bucket.column("bucket").combine_chunks(), binary(answer)], ["chunk", "bucket", "data"])
 
-    hashes = packed.select("chunk", "rows").mapInArrow(hashed, "bucket int, chunk bigint, hashes binary")
-    answers = hashes.repartition(parts_for(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "chunk bigint, bucket int, bits binary")
-    # a chunk has one answer of each bucket at most, a bit for each of its windows
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    hashes = packed.select("chunk", "rows").mapInArrow(hashed, "bucket bigint, chunk bigint, hashes binary")
+    answers = hashes.repartition(parts_for(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "chunk bigint, bucket bigint, data binary")
 
     def merged(batches):
-        for batch in batches:
-            for rows, answers in zip(batch.column("rows"), batch.column("answers").to_pylist()):
-                w = _Windows(rows.as_py(), text_col, window)
-                cuts = w.cuts(n)
-                again = w.count > 1
-                for x in answers or []:
-                    a, b = cuts[x["bucket"]], cuts[x["bucket"] + 1]
-                    again[a:b] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a).astype(bool)
-                at = w.at[again[w.back]]
-                edge = np.bincount(at, minlength=len(w.starts) + 1) - np.bincount(at + window, minlength=len(w.starts) + 1)
-                yield finish(w.batch, w.buf, w.starts, w.ends, w.bounds, np.cumsum(edge)[:-1] > 0)
-
-    return packed.join(answers, "chunk", "left").select("rows", "answers").mapInArrow(merged, schema)
+        for chunk in grouped(batches, ["chunk"]):  # its documents first, then the answers of its buckets
+            data = chunk.column("data")
+            w = _Windows(data[0].as_py(), text_col, window)
+            again = w.count > 1
+            full, cuts = w.cuts(bits)
+            for i, told in zip(np.searchsorted(full, chunk.column("bucket").to_numpy()[1:]), data[1:]):
+                a, b = cuts[i], cuts[i + 1]
+                again[a:b] |= np.unpackbits(np.frombuffer(told.as_py(), np.uint8), count=b - a).astype(bool)
+            at = w.at[again[w.back]]
+            edge = np.bincount(at, minlength=len(w.starts) + 1) - np.bincount(at + window, minlength=len(w.starts) + 1)
+            yield finish(w.batch, w.buf, w.starts, w.ends, w.bounds, np.cumsum(edge)[:-1] > 0)
+
+    rows = packed.select("chunk", F.lit(-1).cast("bigint").alias("bucket"), F.col("rows").alias("data")).unionByName(answers)
+    return rows.repartition(parts_for(spark), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(merged, schema)
 
 
 def _spans(bounds: np.ndarray, removed: np.ndarray) -> Iterator[list[tuple[int, int]]]:

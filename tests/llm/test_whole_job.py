@@ -196,3 +196,17 @@ def test_chained_documents_are_compared_within_buckets(spark, monkeypatch):
         pairs = [df.groupBy("grp", "lead_block", "block").agg(F.sum(F.col("leads").cast("int")).alias("a"), F.count("*").alias("b")).agg(F.sum(F.expr("a * b"))).first()[0] or 0 for df in compared]
         sizes[n] = sum(pairs)
     assert sizes[400] < 3 * sizes[200]
+
+
+def test_a_chunks_work_does_not_grow_with_the_buckets():
+    """Buckets by leading bits: cuts are as many as the hashes fall in, and each hash is in the bucket of its range."""
+    from siftpool.llm import substring
+
+    w = substring._Windows.__new__(substring._Windows)
+    w.hashes = np.unique(np.random.default_rng(0).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for bits in (0, 1, 7, 20, 40):
+        full, cuts = w.cuts(bits)
+        assert len(full) <= 5000 and len(cuts) == len(full) + 1 and (np.diff(cuts) > 0).all()
+        for b, i, j in zip(full.tolist(), cuts, cuts[1:]):
+            assert all(int(h) >> (64 - bits) == b for h in w.hashes[i:j])
+    assert [substring._growth(x) for x in (0, 10**9, 10**11, 10**14)] == [1, 1, 2, 16]
