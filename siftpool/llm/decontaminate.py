@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from siftpool.llm.textops import ALNUM, fresh, mix, slices, text_bytes, window_hashes, word_hashes, words, written
 
 MISS = 1e-7  # chance that the search misses an item that a document holds
-BLOCK_BYTES = 64 << 20  # of a bit map at most; with more items it lets more values through, none less
-_BITS = 16  # of a bit map for each value, while there is room
+BLOCK_BYTES = 64 << 20  # of a bit map at most; with very many items it lets more values through, never fewer
+_BITS = 64  # of a bit map for each value, while there is room
 _TILES = 1 << 16  # shingles of the tiles that are hashed at a time
 
 
@@ -78,20 +78,37 @@ def _halves(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
+def _slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of a bit map that stand for each value, four arrays of them."""
+    more = mix(keys)
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (keys, keys >> np.uint64(32), more, more >> np.uint64(32))]
+
+
 class BitMap:
     """Which values may be among some: never says no to one of them."""
 
     def __init__(self, keys: DataFrame, count: int):
         """keys: rows (key). The bits are set by an aggregation; BLOCK_BYTES at most come to the driver."""
-        self.bits = 1 << min(max(10, (_BITS * count - 1).bit_length()), max(6, (8 * BLOCK_BYTES).bit_length() - 1))
-        slot = F.col("key").bitwiseAND(F.lit(self.bits - 1))
-        got = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {min(63, self.bits - 1)} as int))")).alias("set")).toArrow()
-        self.words = np.zeros(max(1, self.bits >> 6), np.uint64)
+        self.bits = bits = 1 << min(max(10, (_BITS * count - 1).bit_length()), (8 * BLOCK_BYTES).bit_length() - 1)
+
+        def slots(batches):
+            for batch in batches:
+                for part in _slots(batch.column("key").to_numpy().view(np.uint64), bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(part >> 6), pa.array(part & 63)], ["word", "bit"])
+
+        got = keys.mapInArrow(slots, "word bigint, bit bigint").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, int(bit))")).alias("set")).toArrow()
+        self.words = np.zeros(bits + 63 >> 6, np.uint64)
         self.words[got.column("word").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys & np.uint64(self.bits - 1)
-        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the values that may be among them."""
+        at = np.flatnonzero(self._set((keys & np.uint64(self.bits - 1)).astype(np.int64)))  # most go by their first bit
+        for i in (1, 2, 3):
+            at = at[self._set(_slots(keys[at], self.bits)[i])]
+        return at
+
+    def _set(self, slot: np.ndarray) -> np.ndarray:
+        return (self.words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _tiles(first: np.ndarray, last: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +139,16 @@ class Search:
             for i in range(0, len(start), step):
                 at = np.minimum(start[i : i + step] + np.arange(p.high)[:, None], end[i : i + step] - 1)
                 got = p.keys(half[at])
-                f, t = np.nonzero(self.sketches.has(got))
-                rows.append(row[i + t])
-                keys.append(got[f, t])
+                hit = self.sketches.among(got.ravel())
+                rows.append(row[i + hit % got.shape[1]])
+                keys.append(got.ravel()[hit])
         both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)], axis=1), axis=0) if rows else np.zeros((0, 2), np.uint64)
         hit, cut = np.unique(both[:, 0], return_index=True)
         hit = hit.astype(np.int64).tolist()
         shingles = []
         for r in hit:
             own = np.concatenate([w[a[r] : b[r]] for w, _, a, b in runs.values()])
-            shingles.append(np.unique(own[self.shingles.has(own)]))
+            shingles.append(np.unique(own[self.shingles.among(own)]))
         return hit, np.split(both[:, 1], cut[1:]) if hit else [], shingles
 
 
