@@ -210,3 +210,26 @@ def test_a_chunks_work_does_not_grow_with_the_buckets():
         for b, i, j in zip(full.tolist(), cuts, cuts[1:]):
             assert all(int(h) >> (64 - bits) == b for h in w.hashes[i:j])
     assert [substring._growth(x) for x in (0, 10**9, 10**11, 10**14)] == [1, 1, 2, 16]
+
+
+def test_license_rules_tell_notices_and_later_versions_apart():
+    from siftpool.llm.licenses import Scanner
+
+    s = Scanner()
+    every = {w for r in s.rules for group in r.gate for w in group}
+    for text, want in {
+        "some rights reserved": "some-rights",
+        "no rights reserved": "no-rights",
+        "all rights reserved": "reserved",
+        "gpl 2 or later": "gpl-2.0-or-later",
+        "licensed under the gpl v2 or later": "gpl-2.0-or-later",
+        "gnu lesser general public license version 2 1 or at your option any later version": "lgpl-2.1-or-later",
+        "spdx license identifier gpl 3 0 or later": "gpl-3.0-or-later",
+        "mozilla public license 2 0": "mpl-2.0",
+    }.items():
+        n = len(text.split())
+        assert [(a, b, r.label) for a, b, r in s.detections(text.split(), every)] == [(0, n, want)]
+    # of two rules for the same words, the first by priority and then by place in the table stays
+    labels = [(a, b, r.label) for a, b, r in s.detections("this work is in the public domain".split(), every)]
+    assert labels == [(0, 7, "public-domain")]
+    assert len({(r.label, r.pattern.pattern) for r in s.rules}) == len(s.rules) > 250
