@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
-    return with_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return with_toxicity(docs, model, spans="spans").select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def vocabulary() -> str:

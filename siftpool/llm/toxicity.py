@@ -1,10 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Training reads a bounded sample of labelled documents. Words and word beginnings
-that favour toxic documents become evidence classes; in toxic documents, tokens
-of strong evidence are the labelled tokens on which the chain is trained
-(gradient ascent on the exact likelihood). A document's score is a logistic
-regression on sums of the chain's forward-backward marginals.
+that favour toxic documents become evidence classes, which the chain observes. Its
+labelled tokens come from the documents' labels and from nothing that it observes:
+all tokens of a document that is not toxic are labelled so; of a toxic document it
+is known only that one token at least is toxic, and which ones is latent. The chain
+is trained by gradient ascent on the exact likelihood of that. A document's score
+is a logistic regression on sums of the chain's forward-backward marginals.
 
 Scoring reads whole texts. Almost all tokens show no evidence; a run of them is
 a power of one 2x2 matrix, so forward and backward steps are taken at evidence
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from siftpool.llm.textops import ALNUM, fresh, slices, text_bytes, window_hashes, word_hashes, words, written
 
 SAMPLE = 20_000  # labelled documents that training reads at most, about
-CHAIN_DOCS, CHAIN_WORDS = 1000, 500  # of those, documents and longest document that train the chain
+CHAIN_DOCS, CHAIN_WORDS = 1000, 2000  # of those, documents that train the chain, and their longest; all of them train the rest
+_SEGMENT = 250  # tokens of a document that the chain's training takes at a time
 FEATURES = 50_000  # words and beginnings kept at most
 PREFIXES = (4, 5)  # bytes of a longer word's beginnings
 BINS = (1.0, 2.5, 4.0)  # log odds of the evidence classes
@@ -138,28 +141,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.doc[:-1] + self.doc[-1], -40, 40)))
 
 
-def _train_chain(seqs: list[np.ndarray], gold: list[np.ndarray], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights by gradient ascent (Adam) on the penalised likelihood of labelled token sequences."""
-    n, width = len(seqs), max(map(len, seqs))
-    lens = np.array([len(s) for s in seqs])
-    obs, y = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
-    for i, (s, g) in enumerate(zip(seqs, gold)):
-        obs[i, : len(s)], y[i, : len(s)] = s, g
-    real = np.arange(width)[None] < lens[:, None]
+def _train_chain(docs: list[np.ndarray], toxic: list[bool], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights by gradient ascent (Adam) on the penalised likelihood of the documents' labels.
+
+    docs: the classes of each document's tokens. No token is toxic in documents
+    that are not, one at least in those that are. Documents are cut into
+    segments; the condition holds for all segments of a document together.
+    """
+    cut = [(i, d[j : j + _SEGMENT]) for i, d in enumerate(docs) for j in range(0, len(d), _SEGMENT)]
+    doc = np.array([i for i, _ in cut])
+    n, width = len(cut), max(len(c) for _, c in cut)
+    lens = np.array([len(c) for _, c in cut])
+    obs = np.zeros((n, width), np.int64)
+    for k, (_, c) in enumerate(cut):
+        obs[k, : len(c)] = c
+    real, y = np.arange(width)[None] < lens[:, None], np.array(toxic, bool)[doc]
     pair = real[:, 1:]
-    want_e = np.bincount(obs[real], y[real], 16)
-    want_t = np.zeros((2, 2))
-    np.add.at(want_t, (y[:, :-1][pair], y[:, 1:][pair]), 1)
-    theta = np.concatenate([np.full(16, -1.0), np.zeros(4)])
+    classes = np.arange(16)
+    theta = np.concatenate([2.0 * np.maximum(classes // 4, classes % 4) - 5, np.zeros(4)])
     m, v = np.zeros(20), np.zeros(20)
     for r in range(1, rounds + 1):
         emit, t = np.exp(theta[:16]), np.exp(theta[16:].reshape(2, 2))
         own = np.stack([np.ones((n, width)), emit[obs]], axis=2)
-        fore, back = np.empty((n, width, 2)), np.ones((n, width, 2))
-        fore[:, 0] = own[:, 0] / own[:, 0].sum(axis=1, keepdims=True)
-        for k in range(1, width):
-            a = (fore[:, k - 1] @ t) * own[:, k]
-            fore[:, k] = a / a.sum(axis=1, keepdims=True)
+        fore, back, scale = np.empty((n, width, 2)), np.ones((n, width, 2)), np.empty((n, width))
+        for k in range(width):
+            a = (fore[:, k - 1] @ t) * own[:, k] if k else own[:, 0]
+            scale[:, k] = a.sum(axis=1)
+            fore[:, k] = a / scale[:, k, None]
         for k in range(width - 2, -1, -1):
             b = (own[:, k + 1] * back[:, k + 1]) @ t.T
             b /= b.sum(axis=1, keepdims=True)
@@ -168,7 +176,13 @@ def _train_chain(seqs: list[np.ndarray], gold: list[np.ndarray], rounds: int = 6
         p1 = both[..., 1] / both.sum(axis=2)
         joint = fore[:, :-1, :, None] * t * (own * back)[:, 1:, None, :]
         joint /= joint.sum(axis=(2, 3), keepdims=True)
-        grad = np.concatenate([want_e - np.bincount(obs[real], p1[real], 16), (want_t - joint[pair].sum(axis=0)).ravel()]) / n - 0.001 * theta
+        clear = theta[16] * (lens - 1) - np.where(real, np.log(scale), 0).sum(axis=1)  # log chance that no token of a segment is toxic
+        none = np.exp(np.minimum(np.bincount(doc, clear, len(docs)), -1e-6))[doc]  # of its document
+        some = 1 / (1 - none)
+        want = np.where(y[:, None], p1 * some[:, None], 0.0)
+        want2 = np.where(y[:, None, None, None], joint * some[:, None, None, None], 0.0)
+        want2[..., 0, 0] = np.where(y[:, None], (joint[..., 0, 0] - none[:, None]) * some[:, None], 1.0)
+        grad = np.concatenate([np.bincount(obs[real], (want - p1)[real], 16), (want2 - joint)[pair].sum(axis=0).ravel()]) / len(docs) - 0.001 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += 0.25 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     return theta[:16], theta[16:].reshape(2, 2)
@@ -206,9 +220,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     """A model from labelled documents; train is a condition on the labels' rows.
 
     About SAMPLE labelled rows are read, chosen by a hash of their id; nothing
-    but texts and labels is learned from. Rows with a null id or label are left
-    out. Where a class is missing, every score is the share of toxic rows (0 if
-    there are none).
+    but texts and labels is learned from. Of copies and near copies (rows of one
+    label whose smallest hash of three words is the same) one is learned from.
+    The chain is trained on CHAIN_DOCS of them, half of them toxic if there are
+    so many, none longer than CHAIN_WORDS. Words and beginnings count from three
+    toxic documents on, the FEATURES strongest at most. Rows with a null id or
+    label are left out; rows that repeat an id are toxic if any of them is. Where
+    a class is missing, every score is the share of toxic rows (0 if there are
+    none).
     """
     spark = docs.sparkSession
     known = labels if train is None else labels.where(train)
@@ -256,7 +275,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     got = [r for y in (0, 1) for r in codes.where(F.col("y") == y).limit(CHAIN_DOCS // 2).collect()]
     seqs = [np.frombuffer(bytes(r.cls), np.uint8) for r in got]
     if seqs:
-        model.emit, model.step = _train_chain(seqs, [((s >= 12) | (s % 4 == 3)) & bool(r.y) for s, r in zip(seqs, got)])
+        model.emit, model.step = _train_chain(seqs, [bool(r.y) for r in got])
 
     def aggregated(batches):
         for batch in batches:
