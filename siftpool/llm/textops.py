@@ -151,10 +151,12 @@ def binary(parts: list[np.ndarray | bytes]) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is set."""
+    """The checkpoint folder that the cluster names; on one machine, one of our own where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")), "checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
