@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import batched
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,15 @@ REFERENCES = 20_000  # rows of one array of references at most, about
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder; cuts the lineage of a loop."""
+    """The rows of df, written to the folder that spark.checkpoint.dir names, on one machine beside the warehouse if it is unset; cuts the lineage of a loop."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")), "checkpoints")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        sc.setCheckpointDir(named or own)
     return df.checkpoint()
 
 
@@ -81,3 +87,28 @@ def arrays(df: DataFrame, cols: list[str]) -> Iterator[DataFrame]:
 def beside(df: DataFrame, refs: DataFrame) -> DataFrame:
     """Each row of df with the one row of refs."""
     return df.crossJoin(F.broadcast(refs))
+
+
+def blocks(df: DataFrame, cols: list[Column], order: list[Column]) -> Iterator[np.ndarray]:
+    """The values of cols, cast to double (nulls as NaN), of all rows in that order, in arrays of REFERENCES rows at most."""
+    rows = df.orderBy(*order).select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
+    for part in batched(rows.toLocalIterator(prefetchPartitions=True), REFERENCES):
+        yield np.array([[np.nan if x is None else x for x in r] for r in part], float).reshape(len(part), len(cols))
+
+
+def over_block(block: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cols: list[Column], spark: SparkSession, kind: str = "double") -> Column:
+    """kernel(rows' values of cols, block) in the tasks, for so many rows at a time that rows x block stays bounded. It returns a value for each row, or a row of values for a struct."""
+    sent, step = spark.sparkContext.broadcast(block), max(1, (1 << 21) // max(1, len(block)))
+
+    def every(values: tuple[pd.Series, ...]) -> list[np.ndarray]:
+        x = np.column_stack([v.to_numpy(float) for v in values])
+        return [kernel(x[i : i + step], sent.value) for i in range(0, len(x), step)]
+
+    def number(*values: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.zeros(0), *every(values)]))
+
+    def struct(*values: pd.Series) -> pd.DataFrame:
+        names = [f.split()[0] for f in kind.split(", ")]
+        return pd.DataFrame(np.concatenate([np.zeros((0, len(names))), *every(values)]), columns=names)
+
+    return F.pandas_udf(number if kind == "double" else struct, kind)(*(c.cast("double") for c in cols))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,8 @@ class IGS(DistanceAcquisition):
 
     def score(self, cands, out="score"):
         self._refs()
+        if self.distance.geometric:
+            return self.distance.blocked(cands, out, lambda d2, mean, y: np.fmin.reduce(np.sqrt(d2) * np.abs(mean - y.T), axis=1), F.least, ("mean",))
         return self.distance.fold(cands, out, lambda refs: F.array_min(F.transform(refs, lambda r: self.distance.between(r) * F.abs(F.col("mean") - r["ref_y"]))), F.least)
 
 
@@ -89,6 +92,20 @@ class GSy(Acquisition):
         return cands
 
 
+def _sums(tolerance: float):
+    """Exact matches, their residuals, the largest log weight, and sums relative to it, of a block of squared distances."""
+
+    def of(d2: np.ndarray, mean: np.ndarray, y: np.ndarray) -> np.ndarray:
+        exact, res = d2 <= tolerance, (mean - y.T) ** 2
+        with np.errstate(divide="ignore"):
+            lw = np.where(exact, -1e308, -d2 - np.log(d2))
+        m = lw.max(axis=1)
+        w = np.where(exact, 0.0, np.exp(lw - m[:, None]))
+        return np.column_stack([exact.sum(axis=1), np.where(exact, res, 0.0).sum(axis=1), m, w.sum(axis=1), (w * res).sum(axis=1)])
+
+    return of
+
+
 class Ideal(DistanceAcquisition):
     """Inverse-distance weighted residuals plus delta times a distance term, in log space.
 
@@ -111,8 +128,7 @@ class Ideal(DistanceAcquisition):
 
     def _partial(self, refs: Column) -> Column:
         """(exact matches, their residuals, largest log weight, sums relative to it) of one array."""
-        d2 = (lambda r: self.distance.squared(r)) if self.distance.geometric else (lambda r: F.pow(self.distance.between(r), 2))
-        seen = F.transform(refs, lambda r: F.struct(d2(r).alias("d2"), F.pow(F.col("mean") - r["ref_y"], 2).alias("res")))
+        seen = F.transform(refs, lambda r: F.struct(F.pow(self.distance.between(r), 2).alias("d2"), F.pow(F.col("mean") - r["ref_y"], 2).alias("res")))
         zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("e"), F.lit(-1e308).alias("m"), F.lit(0.0).alias("s"), F.lit(0.0).alias("r"))
 
         def add(acc: Column, x: Column) -> Column:
@@ -131,7 +147,10 @@ class Ideal(DistanceAcquisition):
 
     def score(self, cands, out="score"):
         self._refs()
-        cands = self.distance.fold(cands, "ideal_sums", self._partial, self._join)
+        if self.distance.geometric:
+            cands = self.distance.blocked(cands, "ideal_sums", _sums(self.tolerance), self._join, ("mean",), "n double, e double, m double, s double, r double")
+        else:
+            cands = self.distance.fold(cands, "ideal_sums", self._partial, self._join)
         x = F.col("ideal_sums")
         z = F.lit(2 / math.pi) * F.atan(F.exp(-(x["m"] + F.ln(x["s"]))))
         plain = F.when(x["n"] > 0, x["e"] / F.greatest(x["n"], F.lit(1.0))).when(x["s"] > 0, x["r"] / F.greatest(x["s"], F.lit(1e-300)) + F.lit(float(self.delta)) * z).otherwise(F.lit(float(self.delta)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import arrays, beside
+from siftpool.functions.frames import arrays, beside, blocks, by_key, over_block
 from siftpool.space import Space
 
 
@@ -108,6 +109,31 @@ class Geometry(Distance):
     def embedded(self, rows: DataFrame, out: str = "embedding") -> DataFrame:
         return rows.withColumn(out, F.array(*self.embedding()))
 
+    def blocked(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[Column, Column], Column], extra: tuple[str, ...] = (), kind: str = "double") -> DataFrame:
+        """As fold(), in Arrow batches: kernel(squared distances of rows and a block of references, the rows' extra columns, the references' carried columns); null without references."""
+        self._ready()
+        n, spark, own = self.dimension, rows.sparkSession, [*self.embedding(), *(F.col(c) for c in extra)]
+
+        def at(x: np.ndarray, block: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(x), len(block)))
+            for k in range(n):
+                apart = x[:, k, None] - block[None, :, k]
+                total += apart * apart
+            return kernel(total, x[:, n:], block[:, n:])
+
+        new = [over_block(b, at, own, spark, kind) for b in blocks(self.references, [*self.embedding(), *map(F.col, self._carried)], by_key([*self.space.ids, *self._carried]))]
+        if not new:
+            return rows.withColumn(out, F.lit(None).cast(kind if kind == "double" else f"struct<{kind.replace(' ', ': ')}>".replace(",: ", ", ")))
+        names = [f"{out}__{k}" for k in range(len(new))]
+        rows = rows.select("*", *(c.alias(x) for c, x in zip(new, names)))
+        total = F.col(names[0])
+        for x in names[1:]:
+            total = join(total, F.col(x))
+        return rows.withColumn(out, total).drop(*names)
+
+    def nearest(self, rows, out="distance"):
+        return self.blocked(rows, out, lambda d2, *_: np.sqrt(d2.min(axis=1)), F.least)
+
     def squared(self, ref) -> Column:
         parts = [(a - b) * (a - b) for a, b in zip(self.embedding(), self.embedding(lambda c: ref[c]))]
         out = parts[0]

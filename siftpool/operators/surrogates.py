@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import by_key
+from siftpool.functions.frames import by_key, checkpointed
 from siftpool.operators.distance import Distance, Standardize, distance
 from siftpool.space import Space
 
@@ -91,10 +91,42 @@ class NearestNeighbours(Surrogate):
     def neighbours(self, rows: DataFrame) -> DataFrame:
         """rows with their neighbours' outputs, nearest first."""
         d = self.distance
+        if d.geometric:
+            return self._blocked(rows)
         one = lambda r: F.struct(F.round(d.between(r), 9).alias("d"), *(r[c].alias(f"k{i}") for i, c in enumerate(self.ids)), r["ref_y"].alias("y"))
         first = lambda a: F.slice(F.array_sort(a), 1, self.k)
         return d.fold(rows, "near", lambda refs: first(F.transform(refs, one)), lambda a, b: first(F.concat(a, b))).withColumn("near", F.transform("near", lambda x: x["y"]))
 
+    def _blocked(self, rows: DataFrame) -> DataFrame:
+        """The same by blocks of references, which are in the order of their ids: k places and distances of each block, then the k first of all."""
+        k, d = self.k, self.distance
+
+        def first(d2: np.ndarray, _, y: np.ndarray) -> np.ndarray:
+            m = min(k, d2.shape[1])
+            near = np.round(np.sqrt(d2), 9)
+            row, place = np.nonzero(near <= np.partition(near, m - 1, axis=1)[:, m - 1 : m])  # with all ties
+            order = np.lexsort((place, near[row, place], row))
+            row, place = row[order], place[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            out = np.full((d2.shape[0], 2 * k), np.nan)
+            out[row[rank < m], rank[rank < m]] = near[row, place][rank < m]
+            out[row[rank < m], k + rank[rank < m]] = y[place[rank < m], 0]
+            return out
+
+        kind = ", ".join([f"d{i} double" for i in range(k)] + [f"y{i} double" for i in range(k)])
+        entries = lambda c, b: [F.when(c[f"d{i}"].isNotNull(), F.struct(c[f"d{i}"].alias("d"), F.lit(b + i).alias("place"), c[f"y{i}"].alias("y"))) for i in range(k)]
+        count = [0]
+
+        def join(a, b):
+            count[0] += 1
+            if count[0] == 1:
+                a = F.array(*entries(a, 0))
+            return F.concat(a, F.array(*entries(b, count[0] * k)))
+
+        rows = d.blocked(rows, "near", first, join, (), kind)
+        every = F.col("near") if count[0] else F.array(*entries(F.col("near"), 0))
+        return rows.withColumn("near", F.transform(F.slice(F.array_sort(F.filter(every, lambda x: x.isNotNull())), 1, k), lambda x: x["y"]))
+
     def predict(self, rows):
         near, n = F.col("near"), F.size("near")
         mean = F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / n
@@ -213,7 +245,8 @@ class Bootstrap(Surrogate):
         self.base, self.n, self.seed = base, n, seed
 
     def fit(self, archive, space, target):
-        self.models = [self.base().fit(resample(archive, [*space.ids, target], b, self.seed), space, target) for b in range(self.n)]
+        rows = placed(archive, [*space.ids, target])
+        self.models = [self.base().fit(_drawn(rows, b, self.seed), space, target) for b in range(self.n)]
         return self
 
     def predict(self, rows):
@@ -225,13 +258,29 @@ class Bootstrap(Surrogate):
         return rows.withColumn("mean", mean).withColumn("se", F.sqrt(square / (self.n - 1))).drop(*(f"mean__{b}" for b in range(self.n)))
 
 
+def placed(archive: DataFrame, order: list[str]) -> DataFrame:
+    """archive with each row's place in that order, from 0: sorted by ranges, each range's count added to the places of the next."""
+    keys = by_key(order)
+    rows = archive.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"range__": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    rows = checkpointed(rows)
+    counts, before = rows.groupBy("range__").count().orderBy("range__").collect(), 0  # a row for each partition
+    first = []
+    for r in counts:
+        first.append((r["range__"], before - (r["range__"] << 33)))
+        before += r["count"]
+    starts = archive.sparkSession.createDataFrame(first, "range__ int, first__ bigint")
+    return rows.join(F.broadcast(starts), "range__").withColumn("place", F.col("place") + F.col("first__")).drop("range__", "first__")
+
+
+def _drawn(rows: DataFrame, b: int, seed: int) -> DataFrame:
+    n = rows.count()
+    slots = rows.sparkSession.range(n).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place"))
+    return rows.join(slots, "place").drop("place")
+
+
 def resample(archive: DataFrame, order: list[str], b: int, seed: int = 1) -> DataFrame:
     """As many rows as the archive has, drawn with replacement: the slot's MD5 picks a row by its place in order."""
-    n = archive.count()
-    # an archive holds what was evaluated, which is few beside the pool
-    placed = archive.withColumn("place", F.row_number().over(Window.orderBy(*by_key(order))) - 1)
-    slots = archive.sparkSession.range(n).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place"))
-    return placed.join(slots, "place").drop("place")
+    return _drawn(placed(archive, order), b, seed)
 
 
 def ensemble_summary(draws: DataFrame, ids: list[str], mean: str = "mu", variance: str = "s2") -> DataFrame:
