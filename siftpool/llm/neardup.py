@@ -37,7 +37,7 @@ SLACK = 0.17  # six standard deviations of the sketches' estimate near the thres
 LEADERS = 64
 BLOCK_BYTES = 4 << 20  # of sets in a block, unless a single set is larger
 BLOCK_ROWS = 512  # sets in a block
-SKETCH_ROWS = 256  # odd sketches in a block
+SKETCH_ROWS = 128, 4096  # odd sketches in a block: a sixteenth of the bucket within these bounds, so that small buckets spread and large ones are not sent too often
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -180,8 +180,12 @@ def _units(leaders: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: str, size: str | None = None) -> Column:
-    by_rows = F.ceil(F.col(rows) / (BLOCK_ROWS if size else SKETCH_ROWS))
-    return F.greatest(by_rows, F.ceil(F.col(size) / BLOCK_BYTES) if size else by_rows, F.lit(1)).cast("int")
+    """Number of blocks for so many sets of that size together, or odd sketches."""
+    if size:
+        by_rows, by_size = F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_BYTES)
+        return F.greatest(by_rows, by_size, F.lit(1)).cast("int")
+    low, high = SKETCH_ROWS
+    return F.ceil(F.col(rows) / F.greatest(F.lit(low), F.least(F.lit(high), F.col(rows) / 16))).cast("int")
 
 
 def _split(members: DataFrame, size: str | None) -> DataFrame:
@@ -243,19 +247,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = _units(first.where("first").drop("first"), first.where("not first or lead_blocks > 1").drop("first"))  # a single leader block is in every unit itself
     links = written(units.mapInArrow(_confirmed(k, percent), "a bigint, b bigint"), "links")
     parts = components(links, "a", "b", "parts").withColumnRenamed("component", "part")
+    forget(links)
 
     # in each bucket, what is in another part than the bucket's largest against the whole bucket
     placed = buckets.select("node", "key", "band").join(parts, "node", "left").select(F.col("key").alias("grp"), "band", "node", F.coalesce("part", "node").alias("part"))
-    placed = _split(written(placed, "placed"), None).join(classes.select("node", "n", "odd", "bands"), "node")
-    likely = _units(placed.where("part != largest").drop("largest"), placed.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
+    placed = written(placed, "placed")
+    forget(buckets)
+    told = _split(placed, None).join(classes.select("node", "n", "odd", "bands"), "node")
+    likely = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
     likely = written(likely.distinct(), "likely")
+    forget(placed)
     told = _split(likely, "n").join(sets.select("node", "odd", "hashes"), "node")
     again = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_confirmed(k, percent), "a bigint, b bigint")
     joined = components(again, "a", "b", "joined")  # parts to the smallest of the parts that links reach
     own = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("component"))
     final = written(own.unionByName(joined.join(parts, "node", "left_anti")), "final")
-    for done in (buckets, sets, links, likely):
-        forget(done)
+    forget(sets)
+    forget(likely)
 
     lowest = written(final.join(classes.select("node", "lowest"), "node").groupBy("component").agg(F.min("lowest").alias("component_id")), "lowest")
     named = classes.select("digest", "node", "lowest").join(final.join(lowest, "component").drop("component"), "node", "left").select("digest", F.coalesce("component_id", "lowest").alias("component_id"))
