@@ -51,7 +51,8 @@ def fingerprints(column: pa.Array) -> list[tuple[int, bytes, bytes]]:
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
         n = b - a - WINDOW + 1
         if n < 1:
-            sign = bytes([SYMBOLS[xxhash.xxh32_intdigest(buf[a:b].tobytes()) & 63]]) if b > a else b""
+            whole = xxhash.xxh64_intdigest(buf[a:b].tobytes())  # no window fits: all of a hash, so that only equal texts are equal
+            sign = bytes(int(SYMBOLS[whole >> 6 * i & 63]) for i in range(11)) if b > a else b""
             out.append((0, sign, sign))
             continue
         own = level[a : a + n]

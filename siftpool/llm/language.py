@@ -97,14 +97,22 @@ class Model:
 
 
 def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from documents of the condition train whose language and text are not null; about SAMPLE of them are read, chosen by a hash of their id."""
+    """A model from documents of the condition train whose language and text are not null.
+
+    About SAMPLE of them are read, as many of each language if it has so many,
+    chosen by a hash of their id and text. Words and n-grams that occur twice at
+    least are kept, KEEP at most of each length: those that are most frequent in
+    any one language, so that a frequent language can't push out the others.
+    Rows that repeat count as often. No rows give a model that tells nothing.
+    """
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()  # one row for each language
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    totals = known.groupBy("lang").count().collect()  # one row for each language
     langs = sorted(r["lang"] for r in totals)
     count = sum(r["count"] for r in totals)
     prior = np.log(np.array([next(r["count"] for r in totals if r["lang"] == x) for x in langs], float) / max(count, 1))
-    share = min(1 << 20, int((1 << 20) * SAMPLE / max(count, 1)))
-    sample = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 20, int((1 << 20) * SAMPLE / len(langs) / r["count"]))) for r in totals], "lang string, share bigint")
+    sample = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
     n = len(langs)
 
     def counted(batches):
@@ -136,8 +144,12 @@ def fit_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
         seen = sample.mapInArrow(counted, ", ".join(["kind int", "key bigint", *(f"{c} bigint" for c in cols)])).groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in cols))
         total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
         seen = seen.withColumn("total", total).where("total > 1").persist()
+        sums = {r["kind"]: r for r in seen.groupBy("kind").agg(*(F.sum(c).alias(c) for c in cols)).collect()}
         for k, most in KEEP.items():
-            top = seen.where(F.col("kind") == k).orderBy(F.desc("total"), "key").limit(most).toPandas()
+            if k not in sums:
+                continue
+            often = F.array_max(F.array(*(F.col(c) / F.lit(max(sums[k][c], 1)) for c in cols)))
+            top = seen.where(F.col("kind") == k).orderBy(F.desc(often), "key").limit(most).toPandas()
             own = top["key"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(own)
             c = top[cols].to_numpy(float)[order]

@@ -233,3 +233,91 @@ def test_license_rules_tell_notices_and_later_versions_apart():
     labels = [(a, b, r.label) for a, b, r in s.detections("this work is in the public domain".split(), every)]
     assert labels == [(0, 7, "public-domain")]
     assert len({(r.label, r.pattern.pattern) for r in s.rules}) == len(s.rules) > 250
+
+
+def plain_signature(text):
+    """Chunk signatures by the definition, byte by byte."""
+    from siftpool.llm.fingerprint import SYMBOLS, WINDOW, _rolling
+
+    raw = text.encode()
+    h = [int(_rolling(np.frombuffer(raw[i : i + WINDOW], np.uint8))[0]) for i in range(len(raw) - WINDOW + 1)]
+    ones = lambda x: next(i for i in range(33) if not x >> i & 1)
+    k = next(e for e in range(33) if sum(ones(x) >= e for x in h) < 64)
+    out = []
+    for e in (k, k + 1):
+        sign, total = "", 0
+        for i, x in enumerate(h):
+            total += x
+            if ones(x) >= e or i == len(h) - 1:
+                sign += chr(SYMBOLS[(total * 0x9E3779B97F4A7C15 % 2**64) >> 58])
+                total = 0
+        out.append(sign)
+    return (k, *(x.encode() for x in out))
+
+
+def test_signatures_by_the_definition():
+    import pyarrow as pa
+
+    from siftpool.llm.fingerprint import fingerprints
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc dé\n"), n)) for n in (7, 8, 40, 300, 3000, 9000)]
+    assert fingerprints(pa.array(texts)) == [plain_signature(t) for t in texts]
+
+
+def test_short_texts_have_fingerprints_of_their_own():
+    import pyarrow as pa
+
+    from siftpool.llm.fingerprint import fingerprints, likeness
+
+    texts = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in range(10)]
+    found = fingerprints(pa.array([*texts, *texts, "", None]))
+    assert len(set(found[:200])) == 200 and found[:200] == found[200:400] and found[400] == found[401]
+    assert likeness(found[:199], found[1:200]).mean() < 0.1
+
+
+def test_words_are_scored_first_then_shorter_grams(spark):
+    """The score of each word is that of the word, else the mean of its longest known n-grams, by plain dictionaries over the model's tables."""
+    import pyarrow as pa
+
+    from siftpool.llm import language
+    from siftpool.llm.textops import text_bytes, window_hashes, word_hashes
+
+    docs = [(i, "the cat sat on the mat" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)]
+    model = language.fit_language(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), F.lit(True))
+    tables = [dict(zip(model.keys[k].tolist(), model.logs[k].tolist())) for k in range(6)]
+
+    def gram(word, k):
+        points, _ = language._grams([word])
+        return [int(window_hashes(points[i : i + k], k, 1)[0]) for i in range(len(points) - k + 1)]
+
+    def plain(word):
+        buf, offs = text_bytes(pa.array([word]))
+        own = int(word_hashes(buf, offs[:-1], offs[1:])[0])
+        if own in tables[0]:
+            return tables[0][own]
+        for k in range(5, 0, -1):
+            found = [tables[k][h] for h in gram(word, k) if h in tables[k]]
+            if found:
+                return np.mean(found, axis=0).tolist()
+        return [0.0] * len(model.langs)
+
+    words = ["the", "hund", "catze", "hunde", "undthe", "xq", "mat", "zzkatz"]
+    own, keys, _, _ = language._distinct(pa.array([" ".join(words)]))
+    assert sorted(own) == sorted(words)
+    assert np.allclose(model.word_scores(own, keys), [plain(w) for w in own])
+    odd = [(1, "the katze"), (1, "the katze"), (2, None), (3, "12 !"), (4, "cat " * 200_000), (5, "und")]
+    got = sorted((r.doc_id, r.lang_pred) for r in language.with_language(spark.createDataFrame(odd, "doc_id bigint, text string"), model).collect())
+    assert got[2:] == [(2, "und"), (3, "und"), (4, "en"), (5, "de")] and got[0] == got[1]
+
+
+def test_a_frequent_language_leaves_room_for_others(spark, monkeypatch):
+    from siftpool.llm import language
+
+    monkeypatch.setattr(language, "KEEP", {k: 30 for k in language.KEEP})
+    rng = np.random.default_rng(1)
+    much = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 40)), "aa") for i in range(300)]
+    few = [(1000 + i, " ".join(["pan", "lin", "tor"]), "bb") for i in range(6)]
+    model = language.fit_language(spark.createDataFrame(much + few, "doc_id bigint, text string, lang string"), F.lit(True))
+    got = language.with_language(spark.createDataFrame([(1, "pan tor lin pan tor lin pan tor lin")], "doc_id bigint, text string"), model).first()
+    assert got.lang_pred == "bb"
