@@ -6,12 +6,12 @@ front, and pack what remains (its tail), cutting freely and losing nothing.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from siftpool.llm.tokens import encoder
 
 END = 0  # id after each document
 BLOCK_TOKENS = 1 << 21  # packed together, at most about so many
+TASKS = 1 << 14  # with more shards, a task packs several, one after another
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -244,17 +245,37 @@ def _fill(tails: list[np.ndarray], shard: _Shard, size: int) -> Iterator[list[tu
         yield window
 
 
+def _deal(loads: dict[int, int], block: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each rarest token the first of its shards and their number, and the number of all shards.
+
+    Tokens of less than a block, in order, share a shard until it has a block;
+    each other token has shards of its own, of less than two blocks each.
+    """
+    out, shards, shared, room = {}, 0, -1, 0
+    for token, load in sorted(loads.items()):
+        if load >= block:
+            out[token], shards = (shards, load // block), shards + load // block
+            continue
+        if room <= 0:
+            shared, shards, room = shards, shards + 1, block
+        out[token] = shared, 1
+        room -= load
+    return out, shards
+
+
 def retrieval_packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024) -> DataFrame:
     """Rows (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece.
 
     Whole windows of a document are sequences of their own. Tails are dealt to
-    shards by their rarest token, so that documents with common rare words meet,
-    and then by id, so that no token is too frequent for a shard. A shard has a
-    BM25 inverted index with document frequencies of the whole corpus; a window
-    begins with a seed and is filled with the seed's best unused neighbours,
-    scored on all of the seed's distinct tokens. Only a shard's last window can be short; callers pad it. Null and empty
-    texts are an end id; null ids stay null; repeated rows are packed each. An
-    empty table gives no rows. Other columns are not read.
+    shards by their rarest token, so that documents with common rare words meet;
+    a token with too many tails for one shard has several, among which its tails
+    are dealt by a hash. A shard has a BM25 inverted index with document
+    frequencies of the whole corpus; a window begins with a seed and is filled
+    with the seed's best unused neighbours, scored on all of the seed's distinct
+    tokens. Only a shard's last window can be short; callers pad it. The result
+    depends on the documents alone, not on files, partitions or tasks. Null and
+    empty texts are an end id; null ids stay null; repeated rows are packed
+    each. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = written(_tokenized(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), tokenizer, size), "tokenized")
@@ -266,29 +287,43 @@ def retrieval_packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     freq = np.array([df.get(i, 0) for i in range(vocab)], np.int64)
     idf = np.log1p((n_docs - freq + 0.5) / (freq + 0.5))
     mean = (tail_tokens or 0) / max(n_docs, 1)
-    sent = spark.sparkContext.broadcast((freq, idf))
     wide = encoder(tokenizer).dtype
+    sent = spark.sparkContext.broadcast((freq, idf))
 
-    def keyed(batches):
+    def rarest(column: pa.Array) -> list[int]:
         freq, _ = sent.value
+        tails = (np.frombuffer(t.as_py(), wide) for t in column)
+        return [_rarest(ids, freq) if len(ids) else -1 for ids in tails]
+
+    def loaded(batches):
         for batch in batches:
-            rare = []
-            for t in batch.column("tail"):
-                ids = np.frombuffer(t.as_py(), wide)
-                rare.append(_rarest(ids, freq) if len(ids) else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(rare, pa.int64()), *batch.columns], ["rare", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(rarest(batch.column("tail")), pa.int64()), batch.column("load")], ["rare", "load"])
+
+    # One number for each id of the vocabulary. A window's checksum is held as four bytes.
+    loads = rows.select("tail", (F.pmod("n", F.lit(size)) + 4 * F.floor(F.col("n") / size)).alias("load")).mapInArrow(loaded, "rare bigint, load bigint").groupBy("rare").agg(F.sum("load").alias("load"))
+    places, shards = _deal({r.rare: r.load for r in loads.collect()}, BLOCK_TOKENS)
+    dealt_to = spark.sparkContext.broadcast(places)
+
+    def keyed(batches):
+        places = dealt_to.value
+        for batch in batches:
+            rare, shard = rarest(batch.column("tail")), []
+            for token, doc, tail in zip(rare, batch.column("id").to_pylist(), batch.column("tail")):
+                first, n = places[token]
+                shard.append(first if n == 1 else first + xxhash.xxh3_64_intdigest(tail.as_py(), (doc or 0) & (1 << 64) - 1) % n)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(rare, pa.int64()), *batch.columns], ["shard", "rare", *batch.schema.names])
 
     def packed(batches):
         _, idf = sent.value
-        shard, seq, held, tokens = TaskContext.get().partitionId() << 32, 0, [], 0
+        shard, seq, held, tokens = -1, 0, [], 0
 
         def flush():
-            nonlocal seq
+            nonlocal seq, tokens
             out = []
             tails, owner = [], []
             for k, (doc, n, whole, tail) in enumerate(held):
                 for i, crc in enumerate(np.frombuffer(whole, "<u4").tolist()):
-                    out.append((doc, i * size, size, crc, n, shard + seq, 0))
+                    out.append((doc, i * size, size, crc, n, (shard << 32) + seq, 0))
                     seq += 1
                 if tail:
                     tails.append(np.frombuffer(tail, wide))
@@ -298,24 +333,26 @@ def retrieval_packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     offset = 0
                     for t, a, n in window:
                         doc, total, _, _ = held[owner[t]]
-                        out.append((doc, total - len(tails[t]) + a, n, _crc(tails[t][a : a + n]), total, shard + seq, offset))
+                        out.append((doc, total - len(tails[t]) + a, n, _crc(tails[t][a : a + n]), total, (shard << 32) + seq, offset))
                         offset += n
                     seq += 1
             held.clear()
+            tokens = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "whole", "tail"))):
+            for at, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "n", "whole", "tail"))):
+                if held and (at != shard or tokens >= 2 * BLOCK_TOKENS):
+                    yield flush()
+                if at != shard:
+                    shard, seq = at, 0
                 held.append(row)
                 tokens += len(row[3]) // wide.itemsize + len(row[2])
-                if tokens >= 2 * BLOCK_TOKENS:
-                    yield flush()
-                    tokens = 0
         if held:
             yield flush()
 
-    shards = max(1, math.ceil((tail_tokens or 0) / BLOCK_TOKENS))
-    dealt = rows.mapInArrow(keyed, "rare bigint, id bigint, n bigint, whole binary, tail binary").repartitionByRange(shards, "rare", "id", "n").sortWithinPartitions("rare", "id", "n", "tail")
+    dealt = rows.mapInArrow(keyed, "shard bigint, rare bigint, id bigint, n bigint, whole binary, tail binary")
+    dealt = dealt.repartitionById(min(max(shards, 1), TASKS), F.pmod("shard", F.lit(TASKS)).cast("int")).sortWithinPartitions("shard", "rare", "id", "n", "tail", "whole")
     out = dealt.mapInArrow(packed, "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from siftpool.llm.packing import best_fit_decreasing, packed_ids, retrieval_packed
+from siftpool.llm import packing
+from siftpool.llm.packing import _deal, best_fit_decreasing, packed_ids, retrieval_packed
 from siftpool.llm.registry import vocabulary
 from siftpool.llm.textops import text_bytes
 from siftpool.llm.tokens import Encoder
@@ -83,6 +85,31 @@ def test_retrieval_packing(spark, rows):
     assert retrieval_packed(spark.createDataFrame([], "doc_id bigint, text string"), vocabulary()).count() == 0
 
 
+@given(st.dictionaries(st.integers(-1, 40), st.integers(1, 400), max_size=30))
+def test_shards_hold_a_block_to_two(loads):
+    places, shards = _deal(loads, 100)
+    held = [0.0] * shards
+    for token, load in loads.items():
+        first, n = places[token]
+        assert load < 100 and n == 1 or n == load // 100
+        for k in range(first, first + n):
+            held[k] += load / n
+    assert all(h < 200 for h in held) and sum(h < 100 for h in held) <= 1
+
+
+def test_packing_depends_on_documents_alone(spark, monkeypatch):
+    """The same pieces from any partitioning, with several shards in a task, repeated rows and null ids."""
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(packing, "TASKS", 3)
+    data = [(i, t) for i, t in corpus(n=60)] + [(None, "river mountain"), (None, "river mountain"), (7, "again"), (7, "again")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    runs = [retrieval_packed(d, vocabulary(), size=64).toPandas() for d in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("doc_id")))]
+    order = runs[0].columns.tolist()
+    first, *others = (r.sort_values(["sequence_id", "offset"]).reset_index(drop=True)[order] for r in runs)
+    assert first.sequence_id.nunique() > 10 and not first.duplicated(["sequence_id", "offset"]).any()
+    assert all(first.equals(o) for o in others)
+
+
 def test_neighbours_share_words(spark):
     """Windows are filled with documents of the same rare words."""
     rng = np.random.default_rng(1)
