@@ -139,8 +139,8 @@ class SequentialReference(Score):
         archive = context.archive if waits is None else context.archive.unionByName(waits, allowMissingColumns=True)
         acq = self.acquisition.fit(context.pool, space)
         acq.update(archive, context.target)
-        rows = context.surrogate.predict(cands) if acq.needs_surrogate else cands
-        rows = checkpointed(acq.score(rows, UTILITY))
+        base = checkpointed(context.surrogate.predict(cands)) if acq.needs_surrogate else cands
+        rows = checkpointed(acq.score(base, UTILITY))
         while len(picked) < n and (row := self.best(rows, ids, picked)) is not None:
             picked.append(row)
             if isinstance(acq, GSxScore):
@@ -148,7 +148,7 @@ class SequentialReference(Score):
                 rows = checkpointed(rows) if len(picked) % CHECKPOINT == 0 else rows
             else:
                 acq.update(archive.unionByName(picked_rows(context.spark, picked, space), allowMissingColumns=True), context.target)
-                rows = acq.score(rows.drop(UTILITY), UTILITY)
+                rows = acq.score(base, UTILITY)
         return picked_rows(context.spark, picked, space) if picked else space.empty(context.spark)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftpool.functions.frames import anti, by_key, checkpointed, seeded
@@ -147,6 +147,11 @@ def representatives(pool: DataFrame, space: Space, dist: Geometry, centres: list
     return picked
 
 
+def _least(values: list[Column]) -> Column:
+    """The number of the least value (to twelve digits), the first of equal ones."""
+    return F.array_min(F.array(*(F.struct(F.round(v, 12).alias("v"), F.lit(k).alias("k")) for k, v in enumerate(values))))["k"]
+
+
 class KMeans(Sampler):
     """Centres of MLlib's k-means over pool and known rows, each represented by the nearest pool row."""
 
@@ -183,8 +188,10 @@ class RelationalKMeans(KMeans):
 
     For a distance with an embedding, the mean squared distance to a cluster
     less half its mean inner one is the squared distance to the cluster's mean,
-    so a step is one aggregation and no matrix of distances is made. Emptied
-    clusters take the point farthest from its cluster.
+    so a step is one aggregation and no matrix of distances is made. With other
+    distances, such as Gower's, a step compares the rows with each other, in
+    arrays of bounded size and for all starts at once. Emptied clusters take the
+    point farthest from its cluster.
     """
 
     key, label = "relational_kmeans", "Relational k-means"
@@ -193,6 +200,86 @@ class RelationalKMeans(KMeans):
         super().__init__(dist, starts, seed)
         self.steps = steps
 
+    def _sample(self, n, space, pool, known, spark):
+        if isinstance(self.distance, Geometry):
+            return super()._sample(n, space, pool, known, spark)
+        return picked_rows(spark, self._by_distances(n, space, pool, known), space)
+
+    def _by_distances(self, n: int, space: Space, pool: DataFrame, known: DataFrame | None) -> list[dict]:
+        d, ids, starts = _fitted(self.distance, space, pool, known), space.ids, self.starts if n > 1 else 1
+        rows = pool.withColumn("own__", F.lit(True))
+        if known is not None:
+            rows = rows.unionByName(known.withColumn("own__", F.lit(False)))
+        rows = checkpointed(rows.withColumn("row__", F.monotonically_increasing_id()))
+        first = []
+        for s in range(starts):
+            seeds = rows.select(ids).distinct().orderBy(F.xxhash64(*ids, F.lit(self.seed + s)), *by_key(ids)).limit(n).collect()
+            if len(seeds) < n:
+                raise SamplerError("more centres than distinct points")
+            first.append(_least([F.pow(d.to(r.asDict()), 2) for r in seeds]))
+        told = checkpointed(rows.withColumn("labels__", F.array(*first)))
+        for step in range(self.steps + 1):
+            told = checkpointed(self._sums(told, d, n, starts))
+            held = told.select(F.posexplode("labels__").alias("s", "k"), "sums__").groupBy("s", "k").agg(F.count("*").alias("size"), F.sum(F.get("sums__", F.col("s") * n + F.col("k"))).alias("inner")).collect()
+            held = {(r.s, r.k): (r["size"], r["inner"]) for r in held}
+            apart = [[self._apart(held.get((s, k)), s * n + k) for k in range(n)] for s in range(starts)]
+            if step == self.steps:
+                break
+            moved = checkpointed(told.withColumn("new__", F.array(*map(_least, apart))))
+            for s in range(starts):
+                moved = self._repaired(moved, apart[s], s, n)
+            if moved.where("new__ <> labels__").isEmpty():
+                break
+            told = moved.drop("labels__", "sums__").withColumnRenamed("new__", "labels__")
+        cost = [sum(inner / (2 * size) for (t, _), (size, inner) in held.items() if t == s) for s in range(starts)]
+        best = min(range(starts), key=lambda s: (round(cost[s], 12), s))
+        picked: list[dict] = []
+        for k in range(n):
+            row = anti_literals(told.where("own__"), ids, picked).orderBy(F.round(apart[best][k], 9), *by_key(ids)).limit(1).select(*ids).collect()
+            picked += [r.asDict() for r in row]
+        return picked
+
+    @staticmethod
+    def _sums(told: DataFrame, d: Distance, n: int, starts: int) -> DataFrame:
+        """told with the sum of squared distances to each cluster of each start."""
+        d.references, d._carried = told.select(*d.space.ids, "labels__"), ["labels__"]
+
+        def one(seen: Column, s: int, k: int) -> Column:
+            return F.aggregate(seen, F.lit(0.0), lambda a, x: a + F.when(x["labels"][s] == k, x["d2"]).otherwise(0.0))
+
+        def of(refs: Column) -> Column:
+            seen = F.transform(refs, lambda r: F.struct(r["labels__"].alias("labels"), F.pow(d.between(r), 2).alias("d2")))
+            return F.transform(F.array(seen), lambda x: F.array(*(one(x, s, k) for s in range(starts) for k in range(n))))[0]  # distances are taken once
+
+        return d.fold(told, "sums__", of, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+    @staticmethod
+    def _apart(held: tuple[int, float] | None, at: int) -> Column:
+        """Squared distance of a row to a cluster of that size and sum of inner squared distances."""
+        return F.lit(float("inf")) if held is None else F.col("sums__")[at] / F.lit(float(held[0])) - F.lit(held[1] / (2 * held[0] ** 2))
+
+    @staticmethod
+    def _repaired(moved: DataFrame, apart: list[Column], s: int, n: int) -> DataFrame:
+        label = F.col("new__")[s]
+        size = {r.k: r["count"] for r in moved.groupBy(label.alias("k")).count().collect()}
+        lost = [k for k in range(n) if k not in size]
+        if not lost:
+            return moved
+        far = F.element_at(F.array(*apart), label + 1)
+        # each cluster keeps one row, so at most n of the farthest rows can't move
+        worst = moved.select("row__", label.alias("k"), far.alias("far")).orderBy(F.desc(F.round("far", 12)), "row__").limit(2 * n).collect()
+        to = {}
+        for k in lost:
+            r = next((r for r in worst if r["row__"] not in to and size[r.k] > 1), None)
+            if r is None:
+                raise SamplerError("an emptied cluster finds no row")
+            size[r.k] -= 1
+            to[r["row__"]] = k
+        new = label
+        for row, k in to.items():
+            new = F.when(F.col("row__") == row, F.lit(k)).otherwise(new)
+        return checkpointed(moved.withColumn("new__", F.transform("new__", lambda x, i: F.when(i == s, new).otherwise(x))))
+
     def _centres(self, n, rows):
         if n == 1:
             return super()._centres(n, rows)

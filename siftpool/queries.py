@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftpool.functions import metrics as M
 from siftpool.functions.frames import anti, by_key, top
+from siftpool.functions.metrics import Tracker
 from siftpool.functions.resampling import holdout, window_folds
 from siftpool.operators import acquisition as acq
 from siftpool.operators import proposers as P
@@ -22,7 +23,7 @@ from siftpool.operators.modifiers import Diversity, LocalPenalization
 from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
 from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, QuantileNeighbours, Trees, ensemble_summary
 from siftpool.operators.vectors import nearest_vector
-from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, pool_active_learning
+from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, optimize_active, pool_active_learning
 from siftpool.plans.search import Evals, Search
 from siftpool.sources.objectives import Dataset, PoolWrapper, RowFunction, lookup
 from siftpool.space import Codomain, Needs, Space, p_dbl, p_fct, p_int, p_lgl
@@ -191,6 +192,22 @@ def ideal_density(spark, sf_dir):
     return acq.density(s, Affine().fit(s, SUPPLIER), SUPPLIER).select("s_acctbal", "s_nationkey", r6("density"))
 
 
+@query(
+    "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier), st AS (SELECT (max(s_acctbal) - min(s_acctbal)) / 2 ra, (max(s_nationkey) - min(s_nationkey)) / 2.0 rn FROM p), "
+    "al AS (SELECT x.s_acctbal, x.s_nationkey, y.s_acctbal ya, y.s_nationkey yn, sqrt(pow((x.s_acctbal - y.s_acctbal) / ra, 2) + pow((x.s_nationkey - y.s_nationkey) / rn, 2)) d FROM p x, p y, st), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY s_acctbal, s_nationkey ORDER BY d) n FROM al WHERE (s_acctbal, s_nationkey) <> (ya, yn)), q AS (SELECT s_acctbal, s_nationkey, pow(avg(d), 2) m FROM k WHERE n <= 2 GROUP BY ALL), "
+    "de AS (SELECT s_acctbal, s_nationkey, CASE WHEN m > 0 THEN (SELECT min(m) FROM q WHERE m > 0) / m ELSE 1 END density FROM q), "
+    "pr AS (SELECT s_acctbal, s_nationkey, d, (SELECT avg(s_acctbal * 0.5 + s_nationkey) FROM p WHERE s_nationkey < 5) - (ya * 0.5 + yn) r FROM al WHERE yn < 5 AND s_nationkey >= 5), "
+    "w AS (SELECT s_acctbal, s_nationkey, count(*) FILTER (d * d <= 1e-12) n, sum(r * r) FILTER (d * d <= 1e-12) ex, sum(exp(-d * d) / (d * d)) FILTER (d * d > 1e-12) s, sum(exp(-d * d) / (d * d) * r * r) FILTER (d * d > 1e-12) sr FROM pr GROUP BY ALL) "
+    "SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round((CASE WHEN n > 0 THEN ex / n ELSE sr / s + 2 / pi() * atan(1 / s) END) * (1 + 2 * density), 2) score FROM w JOIN de USING (s_acctbal, s_nationkey)"
+)
+def acq_ideal_density(spark, sf_dir):
+    pool = _suppliers(spark, sf_dir)
+    done = pool.where("s_nationkey < 5").withColumn("y", F.col("s_acctbal") * 0.5 + F.col("s_nationkey"))
+    score = acq.Ideal("affine", omega=2.0).fit(pool, SUPPLIER).update(done, "y")
+    return score.score(Constant().fit(done, SUPPLIER, "y").predict(pool.where("s_nationkey >= 5"))).select("s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"), F.round("score", 2).alias("score"))
+
+
 # --- batches
 
 _CAND = f"cand AS (SELECT DISTINCT p_size, p_retailprice FROM part WHERE (p_size, p_retailprice) NOT IN (SELECT (p_size, p_retailprice) FROM part WHERE p_brand = '{EVALUATED}'))"
@@ -252,6 +269,12 @@ def propose_diversity(spark, sf_dir):
     return _proposed(spark, sf_dir, lambda a: P.SequentialScore(a, Diversity(0.5)), 4)
 
 
+@query(_SCORED + ", few AS (SELECT * FROM cand ORDER BY md5('3:' || p_size || ':' || p_retailprice), p_size, p_retailprice LIMIT 50) SELECT p_size::BIGINT p_size, p_retailprice FROM s0 WHERE (p_size, p_retailprice) IN (SELECT (p_size, p_retailprice) FROM few) ORDER BY u DESC, p_size, p_retailprice LIMIT 5")
+def propose_few_candidates(spark, sf_dir):
+    """A sampler first reduces the pool to 50 candidates, as large pools need it; those are scored."""
+    return _proposed(spark, sf_dir, lambda a: P.Score(a, sampler("uniform", seed=3), 50), 5)
+
+
 _NEARER = "SELECT s.p_size, s.p_retailprice, least(any_value(s.u), min(sqrt(pow((s.p_size - q.p_size) / ss, 2) + pow((s.p_retailprice - q.p_retailprice) / sr, 2)))) u FROM s0 s, {} q, st GROUP BY ALL"
 
 
@@ -393,12 +416,21 @@ def sampler_kmedoids(spark, sf_dir):
 
 @query()
 def sampler_kmeans(spark, sf_dir):
-    return _told(sampler("kmeans", starts=3).sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
+    return _told(sampler("kmeans").sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
 
 
 @query()
 def sampler_relational_kmeans(spark, sf_dir):
-    return _told(sampler("relational_kmeans", starts=2).sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
+    return _told(sampler("relational_kmeans").sample(4, SUPPLIER, _suppliers(spark, sf_dir)))
+
+
+@query()
+def sampler_relational_gower(spark, sf_dir):
+    """Mixed columns: balance and the name of the nation."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    pool = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("s_acctbal", "n_name").distinct()
+    levels = [r.n_name for r in nations.orderBy("n_name").collect()]  # levels of a space
+    return sampler("relational_kmeans", dist="gower").sample(3, Space((p_dbl("s_acctbal", -1000, 10000), p_fct("n_name", levels))), pool).select("s_acctbal", "n_name")
 
 
 @query()
@@ -572,12 +604,16 @@ def _found(instance: Search) -> DataFrame:
     return instance.rows().select("s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"), r6("y"), F.col("batch_nr").cast("bigint").alias("batch_nr"))
 
 
-def _random_run(batches: int, size: int) -> str:
+def _random_batches(batches: int, size: int) -> str:
     out = "WITH p AS (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier)"
     for k in range(1, batches + 1):
         seen = "".join(f" AND (s_acctbal, s_nationkey) NOT IN (SELECT (s_acctbal, s_nationkey) FROM b{j})" for j in range(1, k))
         out += f", b{k} AS (SELECT * FROM p WHERE true{seen} ORDER BY md5('1:{k}:' || s_acctbal || ':' || s_nationkey), s_acctbal, s_nationkey LIMIT {size})"
-    return out + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round(s_acctbal * 0.5 + s_nationkey, 6) y, {k}::BIGINT batch_nr FROM b{k}" for k in range(1, batches + 1))
+    return out
+
+
+def _random_run(batches: int, size: int) -> str:
+    return _random_batches(batches, size) + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round(s_acctbal * 0.5 + s_nationkey, 6) y, {k}::BIGINT batch_nr FROM b{k}" for k in range(1, batches + 1))
 
 
 @query(_random_run(3, 2))
@@ -597,7 +633,18 @@ def al_gsx_run(spark, sf_dir):
     return _found(instance)
 
 
-@query()
+@query(_random_batches(3, 2) + ", h AS (" + " UNION ALL ".join(f"SELECT {k}::BIGINT batch_nr, s_acctbal * 0.5 + s_nationkey y FROM b{k}" for k in range(1, 4)) + ") SELECT b batch_nr, count(*) n_evals, round(min(y), 6) best_y, round(max(y), 6) worst_y FROM range(1, 4) t(b), h WHERE batch_nr <= b GROUP BY ALL")
+def tracker_history(spark, sf_dir):
+    """The tracker's table over a random search of three batches."""
+    log = Tracker({"best_y": M.best_y, "worst_y": M.worst_y})
+    optimize_active(_search(spark, sf_dir, 5).objective, n_evals=5, tracker=log, optimizer=PoolRandom(batch_size=2))
+    return log.data(spark).select(F.col("batch_nr").cast("bigint").alias("batch_nr"), "n_evals", r6("best_y"), r6("worst_y"))
+
+
+_SIX = _S0.format("p") + _farthest(6, "SELECT s_acctbal, s_nationkey FROM p, st ORDER BY round(pow((s_acctbal - ma) / ra, 2) + pow((s_nationkey - mn) / rn, 2), 9), s_acctbal, s_nationkey LIMIT 1").rpartition(" SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM t0")[0]
+
+
+@query(_SIX + " " + " UNION ALL ".join(f"SELECT s_acctbal, s_nationkey::BIGINT s_nationkey, round(s_acctbal * 0.5 + s_nationkey, 6) y, {1 + k // 3}::BIGINT batch_nr FROM t{k}" for k in range(6)))
 def pool_sample_run(spark, sf_dir):
     instance = _search(spark, sf_dir, 6)
     PoolSample(sampler("gsx"), 3).optimize(instance)

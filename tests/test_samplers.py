@@ -41,6 +41,42 @@ def test_kmeans(spark):
     assert got[0] == got[1] == [(0.0, 0.0), (10.0, 10.0)]
 
 
+def test_relational_kmeans_on_mixed_columns(spark):
+    """The best of all partitions into two, by brute force; known rows count but are not picked."""
+    space = Space((p_dbl("x", 0, 10), p_lgl("flag")))
+    rows = [(0.0, False), (1.0, False), (2.5, False), (3.0, True), (8.0, True), (9.0, True), (10.0, True), (7.5, None)]
+    known = [(9.5, True)]
+    frame = lambda r: spark.createDataFrame(r, "x double, flag boolean")
+
+    def squared(a, b):
+        parts = [abs(a[0] - b[0]) / 10] + ([float(a[1] != b[1])] if a[1] is not None and b[1] is not None else [])
+        return (sum(parts) / len(parts)) ** 2
+
+    for more in ([], known):
+        every = rows + more
+
+        def apart(x, group):
+            return sum(squared(x, y) for y in group) / len(group) - sum(squared(y, z) for y in group for z in group) / (2 * len(group) ** 2)
+
+        splits = []
+        for mask in range(1, 2 ** (len(every) - 1)):
+            groups = [[r for i, r in enumerate(every) if (mask >> i & 1) == k] for k in (0, 1)]
+            splits.append((sum(apart(x, g) for g in groups for x in g), groups))
+        groups = min(splits, key=lambda s: s[0])[1]
+        want = sorted(min(rows, key=lambda x: apart(x, g)) for g in groups)
+        got = sampler("relational_kmeans", dist="gower").sample(2, space, frame(rows), frame(more) if more else None).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_relational_kmeans_repairs_lost_clusters(spark):
+    own = sampler("relational_kmeans", dist="gower")
+    rows = spark.createDataFrame([(0, [0], [0.0, 9.0]), (1, [0], [4.0, 9.0]), (2, [0], [1.0, 9.0])], "row__ long, new__ array<int>, sums__ array<double>")
+    from pyspark.sql import functions as F
+
+    got = own._repaired(rows, [F.col("sums__")[0], F.lit(float("inf"))], 0, 2).orderBy("row__").collect()
+    assert [r["new__"] for r in got] == [[0], [1], [0]]
+
+
 def test_kmedoids(spark):
     assert pick(spark, sampler("kmedoids", dist="affine"), [0, 1, 2, 8, 9, 10], 2) == [1, 9]
     assert pick(spark, sampler("kmedoids", dist="affine"), [0, 1, 2, 8, 9, 10], 1, [0.5]) == [9]
