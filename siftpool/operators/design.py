@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from itertools import count, islice
+from random import Random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,61 +97,93 @@ def random_design(spark: SparkSession, space: Space, n: int, seed: int = 1) -> D
     return space.apply_design(df.select(*(p.quantile(_uniform("id", seed, k)).alias(p.id) for k, p in enumerate(space.params))))
 
 
-def _multiplier(n: int, k: int, seed: int) -> int:
-    """A number without a common divisor with n, about a golden section of it."""
-    a = max(1, int(n * ((math.sqrt(5) - 1) / 2 * (k + 1) + seed * math.sqrt(2)) % n))
-    while math.gcd(a, n) > 1:
-        a = a % n + 1
-    return a
+def _dealt(n: int, seed: int, k: int):
+    """The slot of each row number: a permutation of 0 to n - 1 keyed by seed and k, by Feistel rounds over the next power of four, repeated while a number is n or more."""
+    half = max(1, (max(n - 1, 0).bit_length() + 1) // 2)
+    keys = np.random.default_rng([seed & (1 << 63) - 1, k]).integers(0, 1 << 63, 6).astype(np.uint64)
+
+    def rounds(x):
+        left, right = x >> np.uint64(half), x & np.uint64((1 << half) - 1)
+        for key in keys:
+            h = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ (h >> np.uint64(64 - half))
+        return left << np.uint64(half) | right
+
+    def slot(ids):
+        x = rounds(ids.to_numpy().astype(np.uint64))
+        while (far := x >= np.uint64(n)).any():
+            x[far] = rounds(x[far])
+        return pd.Series(x.astype(np.int64))
+
+    return F.pandas_udf(slot, "long", F.PandasUDFType.SCALAR)
 
 
 def lhs_design(spark: SparkSession, space: Space, n: int, seed: int = 1) -> DataFrame:
-    """A Latin hypercube: each of n equal slices of each parameter holds one point. Slices are dealt by (a*i + b) mod n, so no order over all rows is needed."""
+    """A Latin hypercube: each of n equal slices of each parameter holds one point. Each parameter's slices are dealt by a permutation of its own, computed from the row number, so no order over all rows is needed."""
     df = spark.range(n)
     cols = []
     for k, p in enumerate(space.params):
-        slot = F.pmod(F.col("id") * _multiplier(n, k, seed) + (seed * 7919 + k * 104729) % max(n, 1), F.lit(max(n, 1)))
-        cols.append(p.quantile((slot + _uniform("id", seed, k)) / F.lit(float(max(n, 1)))).alias(p.id))
+        cols.append(p.quantile((_dealt(n, seed, k)("id") + _uniform("id", seed, k)) / F.lit(float(max(n, 1)))).alias(p.id))
     return space.apply_design(df.select(*cols))
 
 
-#: Primitive polynomials (degree, coefficients) and first direction numbers of the Sobol sequence, from the second dimension on.
+#: First direction numbers of the Sobol sequence, from the second dimension on.
 SOBOL = [
-    (1, 0, (1,)),
-    (2, 1, (1, 3)),
-    (3, 1, (1, 3, 1)),
-    (3, 2, (1, 1, 1)),
-    (4, 1, (1, 1, 3, 3)),
-    (4, 4, (1, 3, 5, 13)),
-    (5, 2, (1, 1, 5, 5, 17)),
-    (5, 4, (1, 1, 5, 5, 5)),
-    (5, 7, (1, 1, 7, 11, 19)),
+    (1,),
+    (1, 3),
+    (1, 3, 1),
+    (1, 1, 1),
+    (1, 1, 3, 3),
+    (1, 3, 5, 13),
+    (1, 1, 5, 5, 17),
+    (1, 1, 5, 5, 5),
+    (1, 1, 7, 11, 19),
 ]
 _BITS = 32
 
 
-def _directions(dim: int) -> list[int]:
-    if dim == 0:
-        return [1 << (_BITS - 1 - i) for i in range(_BITS)]
-    s, a, m = SOBOL[dim - 1]
-    v = [m[i] << (_BITS - 1 - i) for i in range(s)]
-    for i in range(s, _BITS):
-        x = v[i - s] ^ (v[i - s] >> s)
-        for k in range(1, s):
-            x ^= ((a >> (s - 1 - k)) & 1) * v[i - k]
-        v.append(x)
-    return v
+def _primitive(degree: int, poly: int) -> bool:
+    """Whether x has order 2^degree - 1 modulo the polynomial of these bits."""
+    x, order = 1, (1 << degree) - 1
+    for step in range(1, order + 1):
+        x <<= 1
+        if x >> degree:
+            x ^= poly
+        if x == 1:
+            return step == order
+    return False
+
+
+def _polynomials() -> Iterator[tuple[int, int]]:
+    """Degree and inner coefficients of all primitive polynomials, by degree and value."""
+    for degree in count(1):
+        yield from ((degree, a) for a in range(1 << degree - 1) if _primitive(degree, 1 << degree | a << 1 | 1))
+
+
+def _directions(dims: int) -> list[list[int]]:
+    """Direction numbers of each dimension. Beyond the fixed ones the first numbers are odd by a seeded draw, which any Sobol sequence allows."""
+    out = [[1 << (_BITS - 1 - i) for i in range(_BITS)]]
+    for dim, (s, a) in enumerate(islice(_polynomials(), max(0, dims - 1))):
+        draw = Random(dim)
+        m = SOBOL[dim] if dim < len(SOBOL) else [2 * draw.randrange(1 << i) + 1 for i in range(s)]
+        v = [m[i] << (_BITS - 1 - i) for i in range(s)]
+        for i in range(s, _BITS):
+            x = v[i - s] ^ (v[i - s] >> s)
+            for k in range(1, s):
+                x ^= ((a >> (s - 1 - k)) & 1) * v[i - k]
+            v.append(x)
+        out.append(v)
+    return out[:dims]
 
 
 def sobol_design(spark: SparkSession, space: Space, n: int, skip: int = 1) -> DataFrame:
     """Points skip to skip + n - 1 of the Sobol sequence, each from the bits of its own number."""
-    if len(space.params) > len(SOBOL) + 1:
-        raise SpaceError(f"Sobol points are known for {len(SOBOL) + 1} parameters")
     df = spark.range(skip, skip + n)
     cols = []
-    for k, p in enumerate(space.params):
+    for p, directions in zip(space.params, _directions(len(space.params))):
         x = F.lit(0).cast("long")
-        for bit, v in enumerate(_directions(k)[: max(1, (skip + n).bit_length())]):
+        for bit, v in enumerate(directions[: max(1, (skip + n).bit_length())]):
             x = x.bitwiseXOR(F.shiftright("id", bit).bitwiseAND(F.lit(1)) * F.lit(v))
         cols.append(p.quantile(x / F.lit(float(1 << _BITS))).alias(p.id))
     return space.apply_design(df.select(*cols))

@@ -68,3 +68,22 @@ def test_volume_and_codomain():
     assert (out.targets, out.goals, out.sign()) == (["y"], ["maximize"], 1)
     with pytest.raises(SpaceError):
         Codomain({"note": None})
+
+
+def test_latin_hypercube_slots_are_independent_permutations(spark):
+    space = Space(tuple(p_dbl(f"x{k}", 0, 1) for k in range(3)))
+    for n in (0, 1, 2, 37, 257):
+        slots = lhs_design(spark, space, n, seed=4).select(*(F.floor(F.col(f"x{k}") * n).alias(f"x{k}") for k in range(3))).collect()
+        assert all(sorted(r[k] for r in slots) == list(range(n)) for k in range(3))
+    steps = {(b.x0 - a.x0) % 257 for a, b in zip(slots, slots[1:])}
+    assert len(steps) > 50 and len({r.x0 == r.x1 for r in slots}) == 2  # no lattice
+    again, other = (lhs_design(spark, space, 257, seed=s).collect() for s in (4, 5))
+    assert again == lhs_design(spark, space, 257, seed=4).collect() != other
+
+
+def test_sobol_of_many_parameters(spark):
+    space = Space(tuple(p_dbl(f"x{k}", 0, 1) for k in range(24)))
+    rows = sobol_design(spark, space, 64, skip=64).collect()
+    for k in range(24):
+        assert sorted(int(r[k] * 64) for r in rows) == list(range(64))
+    assert len({tuple(r[k] for r in rows) for k in range(24)}) == 24
