@@ -110,13 +110,13 @@ def _dealt(n: int, seed: int, k: int):
             left, right = right, left ^ (h >> np.uint64(64 - half))
         return left << np.uint64(half) | right
 
-    def slot(ids):
+    def slot(ids: pd.Series) -> pd.Series:
         x = rounds(ids.to_numpy().astype(np.uint64))
         while (far := x >= np.uint64(n)).any():
             x[far] = rounds(x[far])
         return pd.Series(x.astype(np.int64))
 
-    return F.pandas_udf(slot, "long", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(slot, "long")
 
 
 def lhs_design(spark: SparkSession, space: Space, n: int, seed: int = 1) -> DataFrame:
