@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -183,59 +182,6 @@ class Trees(Surrogate):
         return self.model.transform(self._vectors(rows)).drop("features_vec").withColumn("se", F.lit(None).cast("double"))
 
 
-class GaussianProcess(Surrogate):
-    """Matern 5/2 kernel and a noise term, on the numeric columns scaled to the unit cube; constant columns are dropped.
-
-    Fitted on at most limit archive rows, the first by a hash of their ids;
-    length and noise are the best of a small grid by likelihood. Predictions run
-    in the tasks.
-    """
-
-    def __init__(self, limit: int = 500):
-        self.limit = limit
-
-    @staticmethod
-    def _kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
-        d = np.sqrt(5 * ((a[:, None] - b[None]) ** 2).sum(axis=2)) / length
-        return (1 + d + d**2 / 3) * np.exp(-d)
-
-    def fit(self, archive, space, target):
-        ids = [p.id for p in space.params if p.numeric]
-        rows = archive.dropna(subset=[*ids, target]).orderBy(F.xxhash64(*ids), *ids).limit(self.limit).select(*ids, target).toPandas().astype(float)
-        span = rows[ids].max() - rows[ids].min()
-        self.ids = [c for c in ids if span[c] > 0]
-        if not self.ids:
-            raise SurrogateError("all columns are constant")
-        self.low, self.span = rows[self.ids].min().to_numpy(), span[self.ids].to_numpy()
-        x, y = (rows[self.ids].to_numpy() - self.low) / self.span, rows[target].to_numpy()
-        self.center, self.scale = y.mean(), y.std() or 1.0
-        y, best = (y - self.center) / self.scale, None
-        for length, noise in itertools.product((0.1, 0.2, 0.4, 0.8, 1.6), (1e-6, 1e-3, 1e-1)):
-            chol = np.linalg.cholesky(self._kernel(x, x, length) + noise * np.eye(len(x)))
-            w = np.linalg.solve(chol, y)
-            s2 = float(w @ w) / len(y)
-            fit = -len(y) / 2 * np.log(max(s2, 1e-300)) - np.log(np.diag(chol)).sum()
-            if best is None or fit > best[0]:
-                best = (fit, length, noise, chol, s2)
-        _, self.length, self.noise, chol, self.s2 = best
-        self.x, self.inverse = x, np.linalg.inv(chol)
-        self.weights = self.inverse.T @ (self.inverse @ y)
-        return self
-
-    def predict(self, rows):
-        x, low, span, length, inverse, weights, s2, center, scale, noise, kernel = self.x, self.low, self.span, self.length, self.inverse, self.weights, self.s2, self.center, self.scale, self.noise, self._kernel
-
-        @F.pandas_udf("mean double, se double")
-        def at(*cols: pd.Series) -> pd.DataFrame:
-            q = (np.column_stack([c.to_numpy(float) for c in cols]) - low) / span
-            k = kernel(q, x, length)
-            var = s2 * (1 + noise - ((k @ inverse.T) ** 2).sum(axis=1))
-            return pd.DataFrame({"mean": center + scale * (k @ weights), "se": scale * np.sqrt(np.maximum(var, 0))})
-
-        own = rows.withColumn("gp", at(*(F.col(c).cast("double") for c in self.ids)))
-        return own.withColumn("mean", F.col("gp.mean")).withColumn("se", F.col("gp.se")).drop("gp")
-
-
 class Bootstrap(Surrogate):
     """Mean and deviation over models fitted on resamples of the archive, drawn with replacement by a hash."""
 

@@ -18,6 +18,7 @@ from siftpool.functions.resampling import holdout, window_folds
 from siftpool.operators import acquisition as acq
 from siftpool.operators import proposers as P
 from siftpool.operators.design import grid, grid_size, lhs_design, sobol_design
+from siftpool.operators.gaussian import GaussianProcess, HeteroskedasticProcess, Kernel, normal_sums
 from siftpool.operators.distance import DISTANCES, Affine, Gower, Standardize
 from siftpool.operators.modifiers import Diversity, LocalPenalization
 from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
@@ -564,6 +565,48 @@ def metrics_history_cumulative(spark, sf_dir):
     return days.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("batch"), F.min("lo").over(w).alias("best_y"), F.max("hi").over(w).alias("worst_y"), F.sum("n").over(w).alias("n_evals"))
 
 
+_QUANTITY = Space((p_dbl("l_quantity", 1, 50), p_dbl("l_discount", 0, 0.1)))
+_CORNERS = [(0.0, 0.0), (0.0, 1.0), (0.5, 0.5), (1.0, 0.0), (1.0, 1.0)]
+
+
+def _matern(z: str) -> str:
+    r = f"sqrt(5 * (pow((a - {z}.a) / 0.5, 2) + pow((b - {z}.b) / 0.8, 2)))"
+    return f"(1 + {r} + {r} * {r} / 3) * exp(-{r})"
+
+
+@query(
+    f"""WITH x AS (SELECT (l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()) a, (l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ()) b,
+            (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () y FROM lineitem),
+        p AS (SELECT a, b, count(*) n, sum(y) sy FROM x GROUP BY ALL), z AS (FROM (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_CORNERS))}) v(i, a, b)),
+        k AS (SELECT z.i, p.a, p.b, n, sy, {_matern('z').replace('(a -', '(p.a -').replace('(b -', '(p.b -')} k FROM p, z)
+        SELECT u.i::BIGINT i, v.i::BIGINT j, round(sum(u.n * u.k * v.k), 4) products, round(sum(CASE WHEN u.i = v.i THEN u.sy * u.k ELSE 0 END), 4) told FROM k u JOIN k v ON u.a = v.a AND u.b = v.b GROUP BY ALL"""
+)
+def gp_normal_sums(spark, sf_dir):
+    """What a Gaussian process reads of all rows: sums of products of kernel values with five inducing points, and of those with the target."""
+    import numpy as np
+
+    points = GaussianProcess()._prepared(table(spark, sf_dir, "lineitem"), _QUANTITY, "l_extendedprice").withColumn("noise", F.lit(1.0))
+    got = normal_sums(points, np.array(_CORNERS), [np.array([0.5, 0.8])], Kernel(), slopes=False)[0]
+    rows = [(i, j, float(got.a[i, j]), float(got.b[i]) if i == j else 0.0) for i in range(len(_CORNERS)) for j in range(len(_CORNERS))]
+    return spark.createDataFrame(rows, "i bigint, j bigint, products double, told double").select("i", "j", F.round("products", 4).alias("products"), F.round("told", 4).alias("told"))
+
+
+@query()
+def surrogate_gp(spark, sf_dir):
+    """Prices of all line items by quantity and discount, from a process on all of them."""
+    items = table(spark, sf_dir, "lineitem")
+    model = GaussianProcess(inducing=60, steps=6).fit(items, _QUANTITY, "l_extendedprice")
+    return model.predict(items.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")).select("l_orderkey", "l_linenumber", "mean", "se")
+
+
+@query()
+def surrogate_het_gp(spark, sf_dir):
+    """The same with noise that depends on the place: prices spread more with the quantity."""
+    items = table(spark, sf_dir, "lineitem")
+    model = HeteroskedasticProcess(inducing=60, steps=4, rounds=1).fit(items, _QUANTITY, "l_extendedprice")
+    return model.predict(items.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")).select("l_orderkey", "l_linenumber", "mean", "se")
+
+
 @query("SELECT l_returnflag, round(avg((l_quantity BETWEEN l_discount * 100 AND 40)::INT), 6) coverage, round(avg(40 - l_discount * 100 + CASE WHEN l_quantity < l_discount * 100 THEN (l_discount * 100 - l_quantity) * 20 WHEN l_quantity > 40 THEN (l_quantity - 40) * 20 ELSE 0 END), 6) winkler FROM lineitem GROUP BY ALL")
 def metrics_intervals(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("lower", F.col("l_discount") * 100).withColumn("upper", F.lit(40.0))
