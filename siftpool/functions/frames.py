@@ -6,7 +6,6 @@ import math
 import os
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -89,16 +88,20 @@ def beside(df: DataFrame, refs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(refs))
 
 
-def blocks(df: DataFrame, cols: list[Column], order: list[Column]) -> Iterator[np.ndarray]:
-    """The values of cols, cast to double (nulls as NaN), of all rows in that order, in arrays of REFERENCES rows at most."""
-    rows = df.orderBy(*order).select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
-    for part in batched(rows.toLocalIterator(prefetchPartitions=True), REFERENCES):
-        yield np.array([[np.nan if x is None else x for x in r] for r in part], float).reshape(len(part), len(cols))
+def few(df: DataFrame) -> bool:
+    """Whether df has REFERENCES rows at most, so that it may be sent to all tasks at once."""
+    return df.limit(REFERENCES + 1).count() <= REFERENCES
 
 
-def over_block(block: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cols: list[Column], spark: SparkSession, kind: str = "double") -> Column:
-    """kernel(rows' values of cols, block) in the tasks, for so many rows at a time that rows x block stays bounded. It returns a value for each row, or a row of values for a struct."""
-    sent, step = spark.sparkContext.broadcast(block), max(1, (1 << 21) // max(1, len(block)))
+def block(df: DataFrame, cols: list[Column], order: list[Column]) -> np.ndarray:
+    """The values of cols, cast to double (nulls as NaN), of all rows in that order; for a frame of few() rows."""
+    rows = df.orderBy(*order).select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(cols))).toPandas()
+    return rows.to_numpy(float).reshape(len(rows), len(cols))
+
+
+def over_block(refs: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], cols: list[Column], spark: SparkSession, kind: str = "double") -> Column:
+    """kernel(rows' values of cols, refs) in the tasks, for so many rows at a time that rows x refs stays bounded. It returns a value for each row, or a row of values for a struct."""
+    sent, step = spark.sparkContext.broadcast(refs), max(1, (1 << 21) // max(1, len(refs)))
 
     def every(values: tuple[pd.Series, ...]) -> list[np.ndarray]:
         x = np.column_stack([v.to_numpy(float) for v in values])

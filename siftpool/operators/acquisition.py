@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import anti, arrays, beside
+from siftpool.functions.frames import anti, arrays, beside, checkpointed
 from siftpool.operators.distance import Distance, distance
 from siftpool.space import Space
 
@@ -73,7 +73,8 @@ class IGS(DistanceAcquisition):
     def score(self, cands, out="score"):
         self._refs()
         if self.distance.geometric:
-            return self.distance.blocked(cands, out, lambda d2, mean, y: np.fmin.reduce(np.sqrt(d2) * np.abs(mean - y.T), axis=1), F.least, ("mean",))
+            own = self.distance.over_references(cands, "least__", lambda d2, mean, y: np.fmin.reduce(np.sqrt(d2) * np.abs(mean - y.T), axis=1), np.fmin, ["d"], ("mean",))
+            return own.withColumn(out, F.col("least__.d")).drop("least__")
         return self.distance.fold(cands, out, lambda refs: F.array_min(F.transform(refs, lambda r: self.distance.between(r) * F.abs(F.col("mean") - r["ref_y"]))), F.least)
 
 
@@ -106,6 +107,13 @@ def _sums(tolerance: float):
     return of
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of two blocks, relative to the larger weight."""
+    m = np.maximum(a[:, 2], b[:, 2])
+    fa, fb = np.exp(a[:, 2] - m), np.exp(b[:, 2] - m)
+    return np.column_stack([a[:, 0] + b[:, 0], a[:, 1] + b[:, 1], m, a[:, 3] * fa + b[:, 3] * fb, a[:, 4] * fa + b[:, 4] * fb])
+
+
 class Ideal(DistanceAcquisition):
     """Inverse-distance weighted residuals plus delta times a distance term, in log space.
 
@@ -148,7 +156,7 @@ class Ideal(DistanceAcquisition):
     def score(self, cands, out="score"):
         self._refs()
         if self.distance.geometric:
-            cands = self.distance.blocked(cands, "ideal_sums", _sums(self.tolerance), self._join, ("mean",), "n double, e double, m double, s double, r double")
+            cands = self.distance.over_references(cands, "ideal_sums", _sums(self.tolerance), _added, ["n", "e", "m", "s", "r"], ("mean",))
         else:
             cands = self.distance.fold(cands, "ideal_sums", self._partial, self._join)
         x = F.col("ideal_sums")
@@ -186,8 +194,8 @@ class Uncertainty(Acquisition):
 def density(pool: DataFrame, dist: Distance, space: Space) -> DataFrame:
     """Rows (ids, density) of the distinct pool rows: 1 for the densest, less with the mean distance to the nearest others, to the power of the dimension.
 
-    Takes a distance between all pairs of pool rows, as the definition does; the
-    pool is met in arrays of bounded size.
+    Geometric distances find the nearest by pivots, without a distance between
+    all pairs; others meet the pool in arrays of bounded size.
     """
     rows = space.project(pool).distinct()
     n = rows.count()
@@ -197,10 +205,13 @@ def density(pool: DataFrame, dist: Distance, space: Space) -> DataFrame:
         return rows.withColumn("density", F.lit(1.0))
     kept = dist.references, dist._carried
     dist.set_references(rows)
-    near = dist.fold(rows, "near", lambda refs: F.slice(F.array_sort(F.transform(refs, dist.between)), 1, k + 1), lambda a, b: F.slice(F.array_sort(F.concat(a, b)), 1, k + 1))
+    if dist.geometric:
+        near = dist.neighbours(rows, k + 1).withColumn("near", F.transform("near", lambda x: x["d"]))
+    else:
+        near = dist.fold(rows, "near", lambda refs: F.slice(F.array_sort(F.transform(refs, dist.between)), 1, k + 1), lambda a, b: F.slice(F.array_sort(F.concat(a, b)), 1, k + 1))
     dist.references, dist._carried = kept
     power = F.pow(F.aggregate(F.slice("near", 2, k), F.lit(0.0), lambda a, x: a + x) / k, F.lit(dim))
-    near = near.select(*space.ids, power.alias("power")).persist()
+    near = checkpointed(near.select(*space.ids, power.alias("power")))
     least = near.agg(F.min(F.when(F.col("power") > 0, F.col("power")))).first()[0]
     value = F.when(F.col("power") > 0, F.lit(least) / F.col("power")).otherwise(1.0) if least is not None else F.lit(1.0)
     return near.select(*space.ids, value.alias("density"))

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import arrays, beside, blocks, by_key, over_block
+from siftpool.functions.frames import arrays, beside, block, by_key, few, over_block
+from siftpool.operators.nearest import nearest, over_all
 from siftpool.space import Space
 
 
@@ -109,30 +110,47 @@ class Geometry(Distance):
     def embedded(self, rows: DataFrame, out: str = "embedding") -> DataFrame:
         return rows.withColumn(out, F.array(*self.embedding()))
 
-    def blocked(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[Column, Column], Column], extra: tuple[str, ...] = (), kind: str = "double") -> DataFrame:
-        """As fold(), in Arrow batches: kernel(squared distances of rows and a block of references, the rows' extra columns, the references' carried columns); null without references."""
+    def coordinates(self) -> list[Column]:
+        """The embedding, NaN as 0."""
+        return [F.nanvl(c.cast("double"), F.lit(0.0)) for c in self.embedding()]
+
+    def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+        """rows with a struct out: kernel(squared distances of rows and a block of references, the rows' extra columns, the references' carried columns), blocks put together by join(); null without references.
+
+        Few references are sent to all tasks; more meet the rows in blocks.
+        """
         self._ready()
-        n, spark, own = self.dimension, rows.sparkSession, [*self.embedding(), *(F.col(c) for c in extra)]
+        n, own = self.dimension, [*self.coordinates(), *(F.col(c) for c in extra)]
 
-        def at(x: np.ndarray, block: np.ndarray) -> np.ndarray:
-            total = np.zeros((len(x), len(block)))
+        def at(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(x), len(refs)))
             for k in range(n):
-                apart = x[:, k, None] - block[None, :, k]
+                apart = x[:, k, None] - refs[None, :, k]
                 total += apart * apart
-            return kernel(total, x[:, n:], block[:, n:])
-
-        new = [over_block(b, at, own, spark, kind) for b in blocks(self.references, [*self.embedding(), *map(F.col, self._carried)], by_key([*self.space.ids, *self._carried]))]
-        if not new:
-            return rows.withColumn(out, F.lit(None).cast(kind if kind == "double" else f"struct<{kind.replace(' ', ': ')}>".replace(",: ", ", ")))
-        names = [f"{out}__{k}" for k in range(len(new))]
-        rows = rows.select("*", *(c.alias(x) for c, x in zip(new, names)))
-        total = F.col(names[0])
-        for x in names[1:]:
-            total = join(total, F.col(x))
-        return rows.withColumn(out, total).drop(*names)
+            return kernel(total, x[:, n:], refs[:, n:])
+
+        told = [*self.coordinates(), *map(F.col, self._carried)]
+        if not few(self.references):
+            return over_all(rows, own, self.references, told, at, join, names, out)
+        refs = block(self.references, told, by_key([*self.space.ids, *self._carried]))
+        if not len(refs):
+            return rows.withColumn(out, F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in names)}>"))
+        if len(names) == 1:  # a struct of one double would come back as a series
+            one = over_block(refs, lambda x, y: at(x, y).reshape(-1), own, rows.sparkSession)
+            return rows.withColumn(out, F.struct(one.alias(names[0])))
+        return rows.withColumn(out, over_block(refs, at, own, rows.sparkSession, ", ".join(f"{c} double" for c in names)))
+
+    def neighbours(self, rows: DataFrame, k: int, out: str = "near", carry: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+        """rows with the k nearest references as in nearest.nearest(); carry are carried columns."""
+        self._ready()
+        return nearest(rows, self.coordinates(), self.references, self.coordinates(), k, carry, ordered, out)
 
     def nearest(self, rows, out="distance"):
-        return self.blocked(rows, out, lambda d2, *_: np.sqrt(d2.min(axis=1)), F.least)
+        self._ready()
+        if few(self.references):
+            own = self.over_references(rows, "least__", lambda d2, *_: np.sqrt(d2.min(axis=1)), np.minimum, ["d"])
+            return own.withColumn(out, F.col("least__.d")).drop("least__")
+        return self.neighbours(rows, 1, "least__").withColumn(out, F.col("least__")[0]["d"]).drop("least__")
 
     def squared(self, ref) -> Column:
         parts = [(a - b) * (a - b) for a, b in zip(self.embedding(), self.embedding(lambda c: ref[c]))]

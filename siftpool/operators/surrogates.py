@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import by_key, checkpointed
+from siftpool.functions.frames import by_key, checkpointed, few
 from siftpool.operators.distance import Distance, Standardize, distance
+from siftpool.operators.nearest import nearest
 from siftpool.space import Space
 
 
@@ -97,8 +98,12 @@ class NearestNeighbours(Surrogate):
         return d.fold(rows, "near", lambda refs: first(F.transform(refs, one)), lambda a, b: first(F.concat(a, b))).withColumn("near", F.transform("near", lambda x: x["y"]))
 
     def _blocked(self, rows: DataFrame) -> DataFrame:
-        """The same by blocks of references, which are in the order of their ids: k places and distances of each block, then the k first of all."""
+        """The same for few references, sent to all tasks in the order of their ids; more are met by pivots."""
         k, d = self.k, self.distance
+        if not few(d.references):
+            refs = placed(d.references, [*self.ids, "ref_y"])
+            own = nearest(rows, d.coordinates(), refs, d.coordinates(), k, ("place", "ref_y"), True)
+            return own.withColumn("near", F.transform("near", lambda x: x["ref_y"]))
 
         def first(d2: np.ndarray, _, y: np.ndarray) -> np.ndarray:
             m = min(k, d2.shape[1])
@@ -112,19 +117,9 @@ class NearestNeighbours(Surrogate):
             out[row[rank < m], k + rank[rank < m]] = y[place[rank < m], 0]
             return out
 
-        kind = ", ".join([f"d{i} double" for i in range(k)] + [f"y{i} double" for i in range(k)])
-        entries = lambda c, b: [F.when(c[f"d{i}"].isNotNull(), F.struct(c[f"d{i}"].alias("d"), F.lit(b + i).alias("place"), c[f"y{i}"].alias("y"))) for i in range(k)]
-        count = [0]
-
-        def join(a, b):
-            count[0] += 1
-            if count[0] == 1:
-                a = F.array(*entries(a, 0))
-            return F.concat(a, F.array(*entries(b, count[0] * k)))
-
-        rows = d.blocked(rows, "near", first, join, (), kind)
-        every = F.col("near") if count[0] else F.array(*entries(F.col("near"), 0))
-        return rows.withColumn("near", F.transform(F.slice(F.array_sort(F.filter(every, lambda x: x.isNotNull())), 1, k), lambda x: x["y"]))
+        rows = d.over_references(rows, "found__", first, lambda a, b: a, [f"{c}{i}" for c in "dy" for i in range(k)])
+        found = F.array(*(F.when(F.col(f"found__.d{i}").isNotNull(), F.struct(F.col(f"found__.y{i}").alias("y"))) for i in range(k)))
+        return rows.withColumn("near", F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: x["y"])).drop("found__")
 
     def predict(self, rows):
         near, n = F.col("near"), F.size("near")

@@ -20,6 +20,7 @@ from siftpool.operators import proposers as P
 from siftpool.operators.design import grid, grid_size, lhs_design, sobol_design
 from siftpool.operators.gaussian import GaussianProcess, HeteroskedasticProcess, Kernel, normal_sums
 from siftpool.operators.distance import DISTANCES, Affine, Gower, Standardize
+from siftpool.operators.nearest import nearest
 from siftpool.operators.modifiers import Diversity, LocalPenalization
 from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
 from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, QuantileNeighbours, Trees, ensemble_summary
@@ -565,6 +566,34 @@ def metrics_history_cumulative(spark, sf_dir):
     return days.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("batch"), F.min("lo").over(w).alias("best_y"), F.max("hi").over(w).alias("worst_y"), F.sum("n").over(w).alias("n_evals"))
 
 
+@query(
+    "WITH st AS (SELECT stddev_samp(s_acctbal) ra, stddev_samp(s_nationkey) rn FROM supplier), pr AS (SELECT c_custkey, s_suppkey, round(sqrt(pow((c_acctbal - s_acctbal) / ra, 2) + pow((c_nationkey - s_nationkey) / rn, 2)), 9) d FROM customer, supplier, st), "
+    "kn AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) k FROM pr) SELECT c_custkey, k, s_suppkey, round(d, 6) distance FROM kn WHERE k <= 3"
+)
+def nearest_by_pivots(spark, sf_dir):
+    """The three nearest suppliers of every customer, by balls that the triangle inequality leaves."""
+    archive, asked = _near(spark, sf_dir)
+    d = Standardize().fit(archive, SUPPLIER)
+    got = nearest(asked, d.coordinates(), archive.withColumn("place", F.col("s_suppkey")), d.coordinates(), 3, ("place",), True)
+    rows = got.select("c_custkey", F.posexplode("near").alias("k", "x"))
+    return rows.select("c_custkey", (F.col("k") + 1).cast("bigint").alias("k"), F.col("x.place").cast("bigint").alias("s_suppkey"), r6("x.d", "distance"))
+
+
+_WHERE = Space((p_dbl("c_acctbal", -1000, 10000), p_int("c_nationkey", 0, 24)))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT c_acctbal, c_nationkey FROM customer), st AS (SELECT (max(c_acctbal) - min(c_acctbal)) / 2 ra, (max(c_nationkey) - min(c_nationkey)) / 2.0 rn FROM p), "
+    "pr AS (SELECT x.c_acctbal, x.c_nationkey, sqrt(pow((x.c_acctbal - y.c_acctbal) / ra, 2) + pow((x.c_nationkey - y.c_nationkey) / rn, 2)) d FROM p x, p y, st WHERE (x.c_acctbal, x.c_nationkey) <> (y.c_acctbal, y.c_nationkey)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY c_acctbal, c_nationkey ORDER BY d) n FROM pr), q AS (SELECT c_acctbal, c_nationkey, pow(avg(d), 2) m FROM k WHERE n <= 2 GROUP BY ALL) "
+    "SELECT c_acctbal, c_nationkey, round(CASE WHEN m > 0 THEN (SELECT min(m) FROM q WHERE m > 0) / m ELSE 1 END, 6) density FROM q"
+)
+def customer_density(spark, sf_dir):
+    """The density of all customers, by nearest neighbours within the table itself."""
+    pool = table(spark, sf_dir, "customer")
+    return acq.density(pool, Affine().fit(pool, _WHERE), _WHERE).select("c_acctbal", "c_nationkey", r6("density"))
+
+
 _QUANTITY = Space((p_dbl("l_quantity", 1, 50), p_dbl("l_discount", 0, 0.1)))
 _CORNERS = [(0.0, 0.0), (0.0, 1.0), (0.5, 0.5), (1.0, 0.0), (1.0, 1.0)]
 
