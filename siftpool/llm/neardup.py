@@ -11,6 +11,12 @@
    the bucket of the first band that they share, first by odd sketches alone: XOR
    population counts reject pairs far below the threshold. Only members that have
    a likely partner take their full sets to the bucket.
+5. Where more than CROWD members of a bucket are apart, as texts of one template
+   that are similar but not linked, the bucket's members are dealt anew by their
+   rarest shingles: with all shingles in one order, rare ones first, linked sets
+   share one among the first (1 - t) n + 1 of each, and among the first
+   (1 - 2t / (1 + t)) n + 1 of the smaller. What a template shares comes last in
+   that order, so its texts meet only where more than the template is shared.
 
 Links are confirmed on full sets. A comparison task gets one block of leaders and
 one block of members, both of bounded size; pairs are never emitted, only links
@@ -37,6 +43,8 @@ SLACK = 0.17  # six standard deviations of the sketches' estimate near the thres
 LEADERS = 64
 BLOCK_BYTES = 4 << 20  # of sets in a block, unless a single set is larger
 BLOCK_ROWS = 512  # sets in a block
+CROWD = 256  # members of a bucket outside its largest part, beyond which they are dealt by rare shingles
+SLOTS = 1 << 20  # counters of shingles, which give their order; any order is right
 SKETCH_ROWS = 128, 4096  # odd sketches in a block: a sixteenth of the bucket within these bounds, so that small buckets spread and large ones are not sent too often
 
 
@@ -147,14 +155,14 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _partnered(k: int, percent: int):
-    """Rows (grp, node, part, n) with a likely partner in another part with which they share no earlier band, found in blocks of leaders and members."""
+def _partnered(k: int, percent: int, banded: bool):
+    """Rows (grp, node, part, n) with a likely partner in another part (with which they share no earlier band, if banded), found in blocks of leaders and members."""
 
     def run(batches):
         for unit in grouped(batches, ["grp", "lead_block", "block"]):
-            n, part, band = unit.column("n").to_numpy(), unit.column("part").to_numpy(), int(unit.column("band")[0].as_py())
+            n, part = unit.column("n").to_numpy(), unit.column("part").to_numpy()
             odd = np.frombuffer(b"".join(unit.column("odd").to_pylist()), np.uint64).reshape(len(n), -1)
-            bands = unit.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)[:, :band]
+            bands = unit.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)[:, : int(unit.column("band")[0].as_py())] if banded else np.zeros((len(n), 0))
             hit = np.zeros(len(n), bool)
             for i in np.flatnonzero(unit.column("leads").to_numpy(zero_copy_only=False)):
                 near = np.flatnonzero(_likely(n, odd, i, k, percent) & (part != part[i]))
@@ -188,16 +196,96 @@ def _blocks(rows: str, size: str | None = None) -> Column:
     return F.ceil(F.col(rows) / F.greatest(F.lit(low), F.least(F.lit(high), F.col(rows) / 16))).cast("int")
 
 
+def _facts(members: DataFrame, size: str | None) -> DataFrame:
+    """Groups of several parts among members (grp, part, ...): the largest part, how many are apart from it, and numbers of blocks, written once; size: a column of the sizes of sets."""
+    parts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum(8 * F.col(size) + 200 if size else F.lit(0)).alias("bytes"))
+    facts = parts.groupBy("grp").agg(F.max_by(F.struct("part", "c", "bytes"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    facts = facts.withColumns({"largest": F.col("most.part"), "apart": F.col("c") - F.col("most.c"), "apart_bytes": F.col("bytes") - F.col("most.bytes")})
+    return written(facts.select("grp", "largest", "apart", _blocks("c", size and "bytes").alias("blocks"), _blocks("apart", size and "apart_bytes").alias("lead_blocks")), "split")
+
+
 def _split(members: DataFrame, size: str | None) -> DataFrame:
-    """members (grp, part, ...) of groups of several parts, with the group's largest part and its number of blocks; size: a column of the sizes of sets.
+    """members of groups of several parts, with the group's largest part and its numbers of blocks.
 
     The groups are written, so that a join with a large one can be split.
     """
-    parts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum(8 * F.col(size) + 200 if size else F.lit(0)).alias("bytes"))
-    facts = parts.groupBy("grp").agg(F.max_by(F.struct("part", "c", "bytes"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes")).where("parts > 1")
-    facts = facts.withColumns({"largest": F.col("most.part"), "apart": F.col("c") - F.col("most.c"), "apart_bytes": F.col("bytes") - F.col("most.bytes")})
-    facts = facts.select("grp", "largest", _blocks("c", size and "bytes").alias("blocks"), _blocks("apart", size and "apart_bytes").alias("lead_blocks"))
-    return members.join(written(facts, "split"), "grp")
+    return members.join(_facts(members, size).drop("apart"), "grp")
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of these sets fall to each of SLOTS counters."""
+    ranges = 16
+    width = SLOTS // ranges
+
+    def counted(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("hashes"):
+                total += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        for r in range(ranges):
+            at = np.flatnonzero(total[r * width : (r + 1) * width]).astype(np.int32)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), binary([at]), binary([total[r * width + at]])], ["r", "at", "c"])
+
+    def added(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for r, at, c in zip(*(batch.column(x).to_pylist() for x in ("r", "at", "c"))):
+                total[r * width + np.frombuffer(at, np.int32)] += np.frombuffer(c, np.int64)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.minimum(total[at], 2**31 - 1).astype(np.int32))], ["at", "c"])
+
+    got = sets.select("hashes").mapInArrow(counted, "r int, at binary, c binary").repartition(ranges, "r").mapInArrow(added, "at bigint, c int").toPandas()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int32)
+    out[got["at"].to_numpy(np.int64)] = got["c"].to_numpy()
+    return out
+
+
+def rare_prefixes(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set that a linked set may share first, and how many of them count if the set is the smaller one."""
+    n = len(hashes)
+    order = np.lexsort((hashes, counts[(hashes >> np.uint64(44)).astype(np.int64)]))
+    probe = n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
+    index = n + (-2 * percent * n // (100 + percent)) + 1
+    return hashes[order[:probe]], index
+
+
+def _by_rare_shingles(sets: DataFrame, crowd: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (grp, node, part, n) with a likely partner in another part, for the nodes of crowd (node, part), in groups by a rare shingle."""
+    own = written(sets.select("node", "n", "hashes").join(crowd, "node"), "crowd")
+    sent = sets.sparkSession.sparkContext.broadcast(_shingle_counts(own))
+
+    def keyed(batches):
+        counts = sent.value
+        for batch in batches:
+            nodes, parts, keys, small = [], [], [], []
+            for node, part, x in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), batch.column("hashes")):
+                first, index = rare_prefixes(np.frombuffer(x.as_buffer(), np.uint64), counts, percent)
+                shared = np.flatnonzero(counts[(first >> np.uint64(44)).astype(np.int64)] > 1)
+                nodes.append(np.full(len(shared), node))
+                parts.append(np.full(len(shared), part))
+                keys.append(first[shared].view(np.int64))
+                small.append(shared < index)
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, parts, small)], ["grp", "node", "part", "index"])
+
+    members = written(own.mapInArrow(keyed, "grp bigint, node bigint, part bigint, index boolean"), "keys")
+    forget(own)
+    met = members.groupBy("grp").agg(F.max("index").alias("any"), F.min("part").alias("a"), F.max("part").alias("b")).where("any and a < b").select("grp")
+    members = written(members.join(met, "grp"), "members")
+    counts = members.groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum(F.col("index").cast("bigint")).alias("i"))
+    facts = counts.groupBy("grp").agg(F.max_by(F.struct("part", "c", "i"), F.struct("c", "part")).alias("most"), F.sum("c").alias("c"), F.sum("i").alias("i"))
+    facts = facts.select("grp", F.col("most.part").alias("largest"), "c", (F.col("c") - F.col("most.c")).alias("apart"), F.col("most.i").alias("inside"), (F.col("i") - F.col("most.i")).alias("outside"))
+    told = members.join(written(facts, "facts"), "grp").join(classes.select("node", "n", "odd"), "node")
+    # the smaller of a linked pair leads, by its index: if it is outside the largest part, against all; if inside, against those outside
+    told = told.withColumns({"blocks": _blocks("c"), "lead_blocks": _blocks("outside")})
+    columns = ["grp", "node", "part", "n", "odd", "blocks", "lead_blocks"]
+    outside = _units(told.where("index and part != largest").select(columns), told.where("outside > 0").select(columns))
+    other = told.where("inside > 0").withColumns({"grp": F.xxhash64("grp", F.lit(1)), "blocks": _blocks("apart"), "lead_blocks": _blocks("inside")})
+    inside = _units(other.where("index and part = largest").select(columns), other.where("part != largest").select(columns))
+    likely = [u.mapInArrow(_partnered(k, percent, False), "grp bigint, node bigint, part bigint, n bigint") for u in (outside, inside)]
+    return likely[0].unionByName(likely[1])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -253,10 +341,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = buckets.select("node", "key", "band").join(parts, "node", "left").select(F.col("key").alias("grp"), "band", "node", F.coalesce("part", "node").alias("part"))
     placed = written(placed, "placed")
     forget(buckets)
-    told = _split(placed, None).join(classes.select("node", "n", "odd", "bands"), "node")
-    likely = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_partnered(k, percent), "grp bigint, node bigint, part bigint, n bigint")
-    likely = written(likely.distinct(), "likely")
+    told = written(placed.join(_facts(placed, None), "grp"), "told")
     forget(placed)
+    crowd = written(told.where(F.col("apart") > CROWD).select("node", "part").distinct(), "crowded")
+    told_small = told.where(F.col("apart") <= CROWD).drop("apart").join(classes.select("node", "n", "odd", "bands"), "node")
+    likely = _units(told_small.where("part != largest").drop("largest"), told_small.drop("largest")).mapInArrow(_partnered(k, percent, True), "grp bigint, node bigint, part bigint, n bigint")
+    if not crowd.isEmpty():
+        likely = likely.unionByName(_by_rare_shingles(sets, crowd, classes, k, percent))
+    likely = written(likely.distinct(), "likely")
+    forget(told)
     told = _split(likely, "n").join(sets.select("node", "odd", "hashes"), "node")
     again = _units(told.where("part != largest").drop("largest"), told.drop("largest")).mapInArrow(_confirmed(k, percent), "a bigint, b bigint")
     joined = components(again, "a", "b", "joined")  # parts to the smallest of the parts that links reach
