@@ -68,6 +68,37 @@ class Distance:
         """Distance to the nearest reference."""
         return self.fold(rows, out, lambda refs: F.array_min(F.transform(refs, self.between)), F.least)
 
+    def coordinates(self) -> list[Column]:
+        """What kernel() takes of a row, as doubles (an embedding's NaN counts as 0)."""
+        raise NotImplementedError
+
+    def kernel(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Distances of rows' coordinates and references' in arrays; squared ones if the distance is geometric."""
+        raise NotImplementedError
+
+    def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+        """rows with a struct out: kernel(distances of rows and a block of references, squared if geometric, the rows' extra columns, the references' carried columns), blocks put together by join(); null without references.
+
+        Few references are sent to all tasks; more meet the rows in blocks.
+        """
+        self._ready()
+        at_rows, apart = self.coordinates(), self.kernel()
+        n, own = len(at_rows), [*at_rows, *(F.col(c) for c in extra)]
+
+        def at(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+            return kernel(apart(x[:, :n], refs[:, :n]), x[:, n:], refs[:, n:])
+
+        told = [*at_rows, *map(F.col, self._carried)]
+        if not few(self.references):
+            return over_all(rows, own, self.references, told, at, join, names, out)
+        refs = block(self.references, told, by_key([*self.space.ids, *self._carried]))
+        if not len(refs):
+            return rows.withColumn(out, F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in names)}>"))
+        if len(names) == 1:  # a struct of one double would come back as a series
+            one = over_block(refs, lambda x, y: at(x, y).reshape(-1), own, rows.sparkSession)
+            return rows.withColumn(out, F.struct(one.alias(names[0])))
+        return rows.withColumn(out, over_block(refs, at, own, rows.sparkSession, ", ".join(f"{c} double" for c in names)))
+
     def pairs(self, rows: DataFrame, ids: dict[str, str], out: str = "distance") -> DataFrame:
         """All pairs of a row and a reference; ids maps carried columns of the references to their names in the result."""
         self._ready()
@@ -110,35 +141,19 @@ class Geometry(Distance):
     def embedded(self, rows: DataFrame, out: str = "embedding") -> DataFrame:
         return rows.withColumn(out, F.array(*self.embedding()))
 
-    def coordinates(self) -> list[Column]:
-        """The embedding, NaN as 0."""
+    def coordinates(self):
         return [F.nanvl(c.cast("double"), F.lit(0.0)) for c in self.embedding()]
 
-    def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-        """rows with a struct out: kernel(squared distances of rows and a block of references, the rows' extra columns, the references' carried columns), blocks put together by join(); null without references.
-
-        Few references are sent to all tasks; more meet the rows in blocks.
-        """
-        self._ready()
-        n, own = self.dimension, [*self.coordinates(), *(F.col(c) for c in extra)]
+    @staticmethod
+    def _summed(x, refs):
+        total = np.zeros((len(x), len(refs)))
+        for k in range(x.shape[1]):
+            apart = x[:, k, None] - refs[None, :, k]
+            total += apart * apart
+        return total
 
-        def at(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
-            total = np.zeros((len(x), len(refs)))
-            for k in range(n):
-                apart = x[:, k, None] - refs[None, :, k]
-                total += apart * apart
-            return kernel(total, x[:, n:], refs[:, n:])
-
-        told = [*self.coordinates(), *map(F.col, self._carried)]
-        if not few(self.references):
-            return over_all(rows, own, self.references, told, at, join, names, out)
-        refs = block(self.references, told, by_key([*self.space.ids, *self._carried]))
-        if not len(refs):
-            return rows.withColumn(out, F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in names)}>"))
-        if len(names) == 1:  # a struct of one double would come back as a series
-            one = over_block(refs, lambda x, y: at(x, y).reshape(-1), own, rows.sparkSession)
-            return rows.withColumn(out, F.struct(one.alias(names[0])))
-        return rows.withColumn(out, over_block(refs, at, own, rows.sparkSession, ", ".join(f"{c} double" for c in names)))
+    def kernel(self):
+        return self._summed
 
     def neighbours(self, rows: DataFrame, k: int, out: str = "near", carry: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
         """rows with the k nearest references as in nearest.nearest(); carry are carried columns."""
@@ -268,6 +283,39 @@ class Gower(Distance):
             row = pool.agg(F.lit(0).alias("none"), *(of(p.id).cast("double").alias(p.id) for p in numbers)).first()
             self.spread = {p.id: row[p.id] or 0.0 for p in numbers}
 
+    def coordinates(self):
+        out = []
+        for p in self.space.params:
+            if p.numeric:
+                out.append(F.col(p.id).cast("double"))
+                continue
+            code = F.pmod(F.xxhash64(p.id), F.lit(1 << 50)) + 1000  # of what is not a declared level
+            if p.kind == "fct":
+                place = F.array_position(F.array(*(F.lit(v) for v in p.levels)), F.col(p.id))
+                code = F.when(place > 0, place).otherwise(code)
+            out.append(F.when(F.col(p.id).isNotNull(), code).cast("double"))
+        return out
+
+    def kernel(self):
+        spreads = [self.spread[p.id] if p.numeric else None for p in self.space.params]
+
+        def apart(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+            total, known = np.zeros((len(x), len(refs))), np.zeros((len(x), len(refs)))
+            for k, spread in enumerate(spreads):
+                if spread is not None and spread <= 0:
+                    continue
+                a, b = x[:, k, None], refs[None, :, k]
+                both = ~np.isnan(a) & ~np.isnan(b)
+                total += np.where(both, a != b if spread is None else np.abs(a - b) / spread, 0.0)
+                known += both
+            return np.where(known > 0, total / np.maximum(known, 1), 0.0)
+
+        return apart
+
+    def nearest(self, rows, out="distance"):
+        own = self.over_references(rows, "least__", lambda d, *_: d.min(axis=1), np.minimum, ["d"])
+        return own.withColumn(out, F.col("least__.d")).drop("least__")
+
     def between(self, ref):
         parts, known = [], []
         for p in self.space.params:

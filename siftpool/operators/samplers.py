@@ -319,8 +319,10 @@ class KMedoids(Sampler):
     """Partitioning around medoids: greedy building, then the best exchange while one lowers the cost; known rows are medoids that stay.
 
     The cost of a candidate is a sum over all rows, so each step compares the
-    pool with itself, in arrays of bounded size; nothing is shuffled, and no
-    matrix is kept.
+    pool with itself, in blocks of bounded size; no matrix is kept. Rows carry
+    their distances to the nearest and the second nearest medoid and which the
+    nearest is: one pass then gives the cost of every exchange of a medoid and a
+    candidate.
     """
 
     key, label, deterministic, needs_pool = "kmedoids", "k-medoids (PAM)", True, True
@@ -328,38 +330,59 @@ class KMedoids(Sampler):
     def __init__(self, dist: Distance | str = "gower"):
         self.distance = distance(dist) if isinstance(dist, str) else dist
 
-    def _costs(self, cands: DataFrame, rows: DataFrame, base: str, out: str) -> DataFrame:
-        """What the cost would be with each candidate as a further medoid: rows carry their distance to the medoids there are in base."""
+    def _summed(self, cands: DataFrame, rows: DataFrame, carry: list[str], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
+        """cands with a struct sums: kernel(distances of candidates and rows, the rows' carried columns), added up over all rows."""
         d = self.distance
-        d.references, d._carried = rows.select(*d.space.ids, F.col(base).alias("base")), ["base"]
-        one = lambda r: F.when(r["base"].isNull(), d.between(r)).otherwise(F.least(r["base"], d.between(r)))
-        return d.fold(cands, out, lambda refs: F.aggregate(F.transform(refs, one), F.lit(0.0), lambda a, x: a + x), lambda a, b: a + b)
+        d.references, d._carried = rows.select(*d.space.ids, *carry), carry
+        plain = (lambda apart, _, y: kernel(np.sqrt(apart), y)) if d.geometric else (lambda apart, _, y: kernel(apart, y))
+        return d.over_references(cands, "sums", plain, np.add, names)
 
-    def _with_base(self, rows: DataFrame, medoids: list[dict]) -> DataFrame:
-        near = [self.distance.to(m) for m in medoids]
-        return rows.withColumn("base", F.least(*near) if len(near) > 1 else near[0] if near else F.lit(None).cast("double"))
+    def _costs(self, cands: DataFrame, rows: DataFrame) -> DataFrame:
+        """cands with the cost that each would bring as a further medoid: rows carry their distance to the medoids there are in base."""
+        return self._summed(cands, rows, ["base"], lambda d, y: np.fmin(d, y[None, :, 0]).sum(axis=1), ["cost"]).withColumn("cost", F.col("sums.cost")).drop("sums")
+
+    def _exchanges(self, cands: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+        """cands with the costs of exchanging each of n medoids for them: rows carry first, second and owner."""
+
+        def kernel(d: np.ndarray, y: np.ndarray) -> np.ndarray:
+            one = np.fmin(d, y[None, :, 0])
+            more = np.fmin(d, y[None, :, 1]) - one  # if the nearest medoid goes
+            return np.column_stack([one.sum(axis=1), *(more[:, y[:, 2] == k].sum(axis=1) for k in range(n))])
+
+        told = self._summed(cands, rows, ["first", "second", "owner"], kernel, ["all", *(f"x{k}" for k in range(n))])
+        return told.select(*cands.columns, *((F.col("sums.all") + F.col(f"sums.x{k}")).alias(f"cost{k}") for k in range(n)))
+
+    def _near(self, rows: DataFrame, picked: list[dict]) -> DataFrame:
+        """rows with their nearest medoid (owner; -1 is a known one), the distance to it and to the second nearest."""
+        every = F.array(F.struct(F.col("fixed").alias("d"), F.lit(-1).alias("k")), *(F.struct(self.distance.to(m).alias("d"), F.lit(k).alias("k")) for k, m in enumerate(picked)))
+        order = F.array_sort(F.filter(every, lambda x: x["d"].isNotNull()))
+        return rows.withColumns({"first": F.get(order, F.lit(0))["d"], "second": F.get(order, F.lit(1))["d"], "owner": F.get(order, F.lit(0))["k"].cast("double")})
 
     def _sample(self, n, space, pool, known, spark):
         _fitted(self.distance, space, pool, known)
-        fixed = [] if known is None else [r.asDict() for r in known.distinct().collect()]  # medoids already, few beside the pool
-        rows = checkpointed(pool if known is None else pool.unionByName(known))
-        pool = checkpointed(pool)
+        rows, none = pool.withColumn("fixed", F.lit(None).cast("double")), known is None or known.isEmpty()
+        if not none:
+            self.distance.set_references(known.distinct())
+            rows = self.distance.nearest(pool.unionByName(known), "fixed")
+        rows, pool = checkpointed(rows), checkpointed(pool)
         ids, picked = space.ids, []
         while len(picked) < n:
-            costs = self._costs(anti_literals(pool, ids, picked), self._with_base(rows, fixed + picked), "base", "cost")
+            base = rows.withColumn("base", F.least("fixed", *(self.distance.to(m) for m in picked)) if picked else F.col("fixed"))
+            costs = self._costs(anti_literals(pool, ids, picked), base)
             picked.append(costs.orderBy(F.round("cost", 9), *by_key(ids)).limit(1).select(*ids).first().asDict())
-        cost = self._with_base(rows, fixed + picked).agg(F.sum("base")).first()[0]
         while True:
+            near = checkpointed(self._near(rows, picked))
+            cost = near.agg(F.sum("first")).first()[0]
+            told = self._exchanges(anti_literals(pool, ids, picked), near, n)
+            least = told.agg(*(F.min(F.struct(F.round(f"cost{k}", 9).alias("rounded"), *ids, F.col(f"cost{k}").alias("cost"))).alias(f"best{k}") for k in range(n))).first()
             best = None
             for k in range(n):
-                left = picked[:k] + picked[k + 1 :]
-                costs = self._costs(anti_literals(pool, ids, picked), self._with_base(rows, fixed + left), "base", "cost")
-                row = costs.orderBy(F.round("cost", 9), *by_key(ids)).limit(1).first()
+                row = least[f"best{k}"]
                 if row is not None and (best is None or row["cost"] < best[0] - 1e-9):
                     best = (row["cost"], k, {c: row[c] for c in ids})
             if best is None or best[0] >= cost - 1e-9:
                 return picked_rows(spark, picked, space)
-            cost, picked[best[1]] = best[0], best[2]
+            picked[best[1]] = best[2]
 
 
 def stage_sizes(pool_size: int | None, n: int, stages: int) -> list[int]:

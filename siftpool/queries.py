@@ -411,7 +411,24 @@ def sampler_kmedoids_single(spark, sf_dir):
     return _told(sampler("kmedoids").sample(1, SUPPLIER, _suppliers(spark, sf_dir)))
 
 
-@query()
+def _medoids(n: int, rounds: int) -> str:
+    """Building and so many rounds of exchanges; a round without a better exchange changes nothing."""
+    sql = (
+        "WITH p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_acctbal, s_nationkey) i, * FROM (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier)), st AS (SELECT max(s_acctbal) - min(s_acctbal) ra, max(s_nationkey) - min(s_nationkey) rn FROM p), "
+        "d AS MATERIALIZED (SELECT x.i i, y.i j, (abs(x.s_acctbal - y.s_acctbal) / ra + abs(x.s_nationkey - y.s_nationkey) / rn) / 2 d FROM p x, p y, st), m0 AS (SELECT 0 k, 0 j WHERE false)"
+    )
+    for b in range(n):
+        sql += f", w{b} AS (SELECT d.i, min(d.d) base FROM m{b} m JOIN d USING (j) GROUP BY 1), m{b + 1} AS MATERIALIZED (SELECT * FROM m{b} UNION ALL (SELECT {b} k, j FROM d LEFT JOIN w{b} w USING (i) WHERE j NOT IN (SELECT j FROM m{b}) GROUP BY j ORDER BY round(sum(least(d, coalesce(base, d))), 9), j LIMIT 1))"
+    for r in range(n, n + rounds):
+        sql += (
+            f", c{r} AS (SELECT sum(x) cost FROM (SELECT min(d) x FROM m{r} JOIN d USING (j) GROUP BY i)), o{r} AS (SELECT g.k, d.i, min(d.d) base FROM m{r} g, m{r} m, d WHERE m.k <> g.k AND d.j = m.j GROUP BY ALL), "
+            f"e{r} AS (SELECT o.k, d.j, sum(least(d.d, o.base)) cost FROM o{r} o JOIN d USING (i) WHERE d.j NOT IN (SELECT j FROM m{r}) GROUP BY ALL ORDER BY round(cost, 9), k, j LIMIT 1), "
+            f"m{r + 1} AS MATERIALIZED (SELECT m.k, CASE WHEN e.k = m.k AND e.cost < c.cost - 1e-9 THEN e.j ELSE m.j END j FROM m{r} m, e{r} e, c{r} c)"
+        )
+    return sql + f" SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM m{n + rounds} m JOIN p ON p.i = m.j"
+
+
+@query(_medoids(3, 8))
 def sampler_kmedoids(spark, sf_dir):
     return _told(sampler("kmedoids").sample(3, SUPPLIER, _suppliers(spark, sf_dir)))
 
