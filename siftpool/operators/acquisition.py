@@ -33,6 +33,14 @@ class Acquisition:
     def score(self, cands: DataFrame, out: str = "score") -> DataFrame:
         raise NotImplementedError
 
+    def begin(self, cands: DataFrame, out: str = "score") -> DataFrame:
+        """score(), with what absorb() needs of the references that there are."""
+        return self.score(cands, out)
+
+    def absorb(self, rows: DataFrame, row: dict, out: str = "score") -> DataFrame:
+        """rows of begin() with their scores after one more reference: values of the ids and, in mean, of its output."""
+        raise AcquisitionError(f"acquisition '{self.key}' takes no references one by one")
+
 
 class DistanceAcquisition(Acquisition):
     """Scores by distance to all archive rows, repeats included."""
@@ -64,6 +72,9 @@ class GSx(DistanceAcquisition):
         self._refs()
         return self.distance.nearest(cands, out)
 
+    def absorb(self, rows, row, out="score"):
+        return rows.withColumn(out, F.least(out, self.distance.to(row)))
+
 
 class IGS(DistanceAcquisition):
     """The smallest product of distance and difference of the predicted from an evaluated output."""
@@ -77,6 +88,9 @@ class IGS(DistanceAcquisition):
             return own.withColumn(out, F.col("least__.d")).drop("least__")
         return self.distance.fold(cands, out, lambda refs: F.array_min(F.transform(refs, lambda r: self.distance.between(r) * F.abs(F.col("mean") - r["ref_y"]))), F.least)
 
+    def absorb(self, rows, row, out="score"):
+        return rows.withColumn(out, F.least(out, self.distance.to(row) * F.abs(F.col("mean") - F.lit(row["mean"]))))
+
 
 class GSy(Acquisition):
     """The smallest difference of the predicted from an evaluated output."""
@@ -92,6 +106,9 @@ class GSy(Acquisition):
             cands = cands.withColumn(out, F.least(out, new) if k else new).drop("refs")
         return cands
 
+    def absorb(self, rows, row, out="score"):
+        return rows.withColumn(out, F.least(out, F.abs(F.col("mean") - F.lit(row["mean"]))))
+
 
 def _sums(tolerance: float):
     """Exact matches, their residuals, the largest log weight, and sums relative to it, of a block of squared distances."""
@@ -154,20 +171,37 @@ class Ideal(DistanceAcquisition):
         return F.struct((a["n"] + b["n"]).alias("n"), (a["e"] + b["e"]).alias("e"), m.alias("m"), (a["s"] * fa + b["s"] * fb).alias("s"), (a["r"] * fa + b["r"] * fb).alias("r"))
 
     def score(self, cands, out="score"):
+        return self.begin(cands, out).drop("ideal_sums", "density")
+
+    def begin(self, cands, out="score"):
         self._refs()
         if self.distance.geometric:
             cands = self.distance.over_references(cands, "ideal_sums", _sums(self.tolerance), _added, ["n", "e", "m", "s", "r"], ("mean",))
         else:
             cands = self.distance.fold(cands, "ideal_sums", self._partial, self._join)
-        x = F.col("ideal_sums")
-        z = F.lit(2 / math.pi) * F.atan(F.exp(-(x["m"] + F.ln(x["s"]))))
-        plain = F.when(x["n"] > 0, x["e"] / F.greatest(x["n"], F.lit(1.0))).when(x["s"] > 0, x["r"] / F.greatest(x["s"], F.lit(1e-300)) + F.lit(float(self.delta)) * z).otherwise(F.lit(float(self.delta)))
         if self.omega > 0:
             if self.density is None and self.pooled:
                 raise AcquisitionError("call fit_pool first")
             cands = self._with_density(cands)
-            plain = plain * (F.lit(1.0) + F.lit(float(self.omega)) * F.col("density"))
-        return cands.withColumn(out, plain).drop("ideal_sums", "density")
+        return cands.withColumn(out, self._value())
+
+    def absorb(self, rows, row, out="score"):
+        d2 = F.pow(self.distance.to(row), 2)
+        exact, left = d2 <= self.tolerance, F.pow(F.col("mean") - F.lit(row["mean"]), 2)
+        one = F.struct(
+            exact.cast("double").alias("n"),
+            F.when(exact, left).otherwise(0.0).alias("e"),
+            F.when(exact, F.lit(-1e308)).otherwise(-d2 - F.ln(F.when(exact, F.lit(1.0)).otherwise(d2))).alias("m"),
+            F.when(exact, 0.0).otherwise(1.0).alias("s"),
+            F.when(exact, 0.0).otherwise(left).alias("r"),
+        )
+        return rows.withColumn("ideal_sums", self._join(F.col("ideal_sums"), one)).withColumn(out, self._value())
+
+    def _value(self) -> Column:
+        x = F.col("ideal_sums")
+        z = F.lit(2 / math.pi) * F.atan(F.exp(-(x["m"] + F.ln(x["s"]))))
+        plain = F.when(x["n"] > 0, x["e"] / F.greatest(x["n"], F.lit(1.0))).when(x["s"] > 0, x["r"] / F.greatest(x["s"], F.lit(1e-300)) + F.lit(float(self.delta)) * z).otherwise(F.lit(float(self.delta)))
+        return plain * (F.lit(1.0) + F.lit(float(self.omega)) * F.col("density")) if self.omega > 0 else plain
 
     def _with_density(self, cands: DataFrame) -> DataFrame:
         if self.density is None:

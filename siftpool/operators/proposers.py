@@ -101,10 +101,10 @@ class Score(Proposer):
         return top(context.scored(self.acquisition, cands), UTILITY, n, context.space.ids)
 
     @staticmethod
-    def best(rows: DataFrame, ids: list[str], picked: list[dict]) -> dict | None:
-        """The first row of the highest utility (to nine digits) not yet picked; null and -inf are never."""
+    def best(rows: DataFrame, ids: list[str], picked: list[dict], also: list[str] = []) -> dict | None:  # noqa: B006
+        """The first row (ids and also) of the highest utility (to nine digits) not yet picked; null and -inf are never."""
         u = usable(F.col(UTILITY))
-        got = anti_literals(rows, ids, picked).where(u.isNotNull() & (u > float("-inf"))).orderBy(F.desc(F.round(UTILITY, 9)), *by_key(ids)).limit(1).select(*ids).collect()
+        got = anti_literals(rows, ids, picked).where(u.isNotNull() & (u > float("-inf"))).orderBy(F.desc(F.round(UTILITY, 9)), *by_key(ids)).limit(1).select(*ids, *also).collect()
         return got[0].asDict() if got else None
 
 
@@ -131,25 +131,27 @@ class SequentialScore(Score):
 
 
 class SequentialReference(Score):
-    """Each pick becomes a reference of the score. For the distance to the nearest reference only that one column is lowered."""
+    """Each pick becomes a reference of the score, with its predicted output where the score takes outputs; so do rows that wait.
+
+    The archive is met once. A pick changes what a row carries of that by one
+    distance, so its cost does not depend on the archive.
+    """
 
     def _pick(self, context, cands, n):
         space, ids, picked = context.space, context.space.ids, []
-        waits = context.pending_rows()
-        archive = context.archive if waits is None else context.archive.unionByName(waits, allowMissingColumns=True)
-        acq = self.acquisition.fit(context.pool, space)
+        acq, archive, waits = self.acquisition.fit(context.pool, space), context.archive, context.pending_rows()
+        if waits is not None:
+            told = context.surrogate.predict(waits).withColumn(context.target, F.col("mean")).select(*ids, context.target) if acq.needs_surrogate else waits
+            archive = archive.unionByName(told, allowMissingColumns=True)
         acq.update(archive, context.target)
-        base = checkpointed(context.surrogate.predict(cands)) if acq.needs_surrogate else cands
-        rows = checkpointed(acq.score(base, UTILITY))
-        while len(picked) < n and (row := self.best(rows, ids, picked)) is not None:
+        rows = context.surrogate.predict(cands) if acq.needs_surrogate else cands
+        rows = checkpointed(acq.begin(rows, UTILITY))
+        also = ["mean"] if acq.needs_surrogate else []
+        while len(picked) < n and (row := self.best(rows, ids, picked, also)) is not None:
             picked.append(row)
-            if isinstance(acq, GSxScore):
-                rows = rows.withColumn(UTILITY, F.least(UTILITY, acq.distance.to(row)))
-                rows = checkpointed(rows) if len(picked) % CHECKPOINT == 0 else rows
-            else:
-                acq.update(archive.unionByName(picked_rows(context.spark, picked, space), allowMissingColumns=True), context.target)
-                rows = acq.score(base, UTILITY)
-        return picked_rows(context.spark, picked, space) if picked else space.empty(context.spark)
+            rows = acq.absorb(rows, row, UTILITY)
+            rows = checkpointed(rows) if len(picked) % CHECKPOINT == 0 else rows
+        return picked_rows(context.spark, [{c: r[c] for c in ids} for r in picked], space) if picked else space.empty(context.spark)
 
 
 class PseudoLabel(Score):

@@ -285,6 +285,32 @@ def propose_seq_reference(spark, sf_dir):
     return _proposed(spark, sf_dir, lambda a: P.SequentialReference(a), 5)
 
 
+_LINE = f"ln AS (SELECT regr_slope(p_retailprice, p_size) b, regr_intercept(p_retailprice, p_size) a FROM part WHERE p_brand = '{EVALUATED}')"
+_IGS = f"WITH {_STATS}, {_CAND}, {_LINE}, s0 AS (SELECT c.p_size, c.p_retailprice, min({_D} * abs(a + b * c.p_size - e.p_retailprice)) u FROM cand c, part e, st, ln WHERE e.p_brand = '{EVALUATED}' GROUP BY ALL)"
+_IGS_NEXT = "SELECT s.p_size, s.p_retailprice, least(any_value(s.u), min(sqrt(pow((s.p_size - q.p_size) / ss, 2) + pow((s.p_retailprice - q.p_retailprice) / sr, 2)) * abs(b * (s.p_size - q.p_size)))) u FROM s0 s, {} q, st, ln GROUP BY ALL"
+
+
+class _LineBySize(Linear):
+    """A line of the price by size alone."""
+
+    def fit(self, archive, space, target):
+        return super().fit(archive, SIZE, target)
+
+
+@query(_IGS + _picks(4, lambda k: "SELECT * FROM s0" if not k else _IGS_NEXT.format(_chosen(k))) + " " + _all(4))
+def propose_seq_igs(spark, sf_dir):
+    """Each pick is a reference of the next, at its predicted price."""
+    part, done, _ = _parts(spark, sf_dir)
+
+    class OverAllParts(acq.IGS):
+        def fit(self, pool, space):
+            return super().fit(part, space)
+
+    pool = part.select("p_size", "p_retailprice").distinct()
+    context = P.Context(spark, PART, done.select("p_size", "p_retailprice", "y"), "y", pool, surrogate=_LineBySize())
+    return P.SequentialReference(OverAllParts()).propose(context, 4).select(F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice")
+
+
 @query(_SCORED + _picks(4, lambda k: "SELECT p_size, p_retailprice, " + ("u" if k % 2 == 0 else "p_retailprice * 1.0 AS u") + " FROM s0") + " " + _all(4))
 def portfolio_round_robin(spark, sf_dir):
     class Dear(acq.Acquisition):
