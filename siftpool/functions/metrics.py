@@ -17,19 +17,65 @@ from siftpool.space import Space
 Metric = Callable[..., float | None]
 
 
-def best_y(archive: DataFrame, surrogate: Surrogate | None = None, target: str = "y", **_) -> float:
-    """The smallest output, whatever the goal."""
-    return archive.agg(F.min(target)).first()[0]
+class Mergeable:
+    """A metric of the archive by a state that batches add to.
 
+    parts(target) are aggregates of any rows, merge() puts the states of two
+    sets of rows together, value(state, arguments) is the metric. Called as any
+    metric, it aggregates the whole archive.
+    """
 
-def worst_y(archive: DataFrame, surrogate: Surrogate | None = None, target: str = "y", **_) -> float:
-    return archive.agg(F.max(target)).first()[0]
+    def __init__(self, parts: Callable[[str], dict[str, Column]], merge: Callable[[dict, dict], dict], value: Callable[[dict, dict], float | None], doc: str = "", fixed: dict | None = None):
+        self.parts, self.merge, self.value, self.fixed = parts, merge, value, fixed or {}
+        self.__doc__ = doc or self.__doc__
 
+    def filled(self, **fixed) -> Mergeable:
+        return Mergeable(self.parts, self.merge, self.value, self.__doc__, self.fixed | fixed)
 
-def regret(archive: DataFrame, surrogate: Surrogate | None = None, optimum: float = 0.0, target: str = "y", **_) -> float:
-    return best_y(archive, target=target) - optimum
+    def columns(self, args: dict) -> dict[str, Column]:
+        return self.parts((self.fixed | args).get("target", "y"))
 
+    def result(self, state: dict, args: dict) -> float | None:
+        return self.value(state, self.fixed | args)
 
+    def __call__(self, archive: DataFrame, surrogate: Surrogate | None = None, **args) -> float | None:
+        return self.result(archive.agg(*(c.alias(n) for n, c in self.columns(args).items())).first().asDict(), args)
+
+
+def _extreme(choose: Callable) -> Callable[[dict, dict], dict]:
+    def merge(a: dict, b: dict) -> dict:
+        return {n: b[n] if a[n] is None else a[n] if b[n] is None else choose(a[n], b[n]) for n in a}
+
+    return merge
+
+
+def _moments(a: dict, b: dict) -> dict:
+    """States with a count n, a mean and a sum of squares about it of outputs, and a sum of squared residuals."""
+    if not a["n"] or not b["n"]:
+        return a if a["n"] else b
+    n, apart = a["n"] + b["n"], b["mean_y"] - a["mean_y"]
+    return {"n": n, "mean_y": a["mean_y"] + apart * b["n"] / n, "about": a["about"] + b["about"] + apart * apart * a["n"] * b["n"] / n, "left": a["left"] + b["left"], "size": a["size"] + b["size"]}
+
+
+def _residual_parts(target: str) -> dict[str, Column]:
+    known = F.col(target).isNotNull() & F.col("mean").isNotNull()
+    y = F.when(known, F.col(target).cast("double"))
+    off = y - F.col("mean")
+    return {"n": F.count(y), "mean_y": F.avg(y), "about": F.var_pop(y) * F.count(y), "left": F.coalesce(F.sum(off * off), F.lit(0.0)), "size": F.coalesce(F.sum(F.abs(off)), F.lit(0.0))}
+
+
+def _r2(s: dict, _) -> float | None:
+    if not s["n"]:
+        return None
+    return 1 - s["left"] / s["about"] if s["about"] > 0 else 1.0 if s["left"] == 0 else float("-inf")
+
+
+best_y = Mergeable(lambda y: {"least": F.min(y)}, _extreme(min), lambda s, _: s["least"], "The smallest output, whatever the goal.")
+worst_y = Mergeable(lambda y: {"most": F.max(y)}, _extreme(max), lambda s, _: s["most"], "The largest output, whatever the goal.")
+regret = Mergeable(lambda y: {"least": F.min(y)}, _extreme(min), lambda s, args: None if s["least"] is None else s["least"] - args.get("optimum", 0.0), "The smallest output less the optimum.")
+archive_rmse = Mergeable(_residual_parts, _moments, lambda s, _: (s["left"] / s["n"]) ** 0.5 if s["n"] else None, "Extension: root mean squared residual of evaluated rows that carry their prediction in mean.")
+archive_mae = Mergeable(_residual_parts, _moments, lambda s, _: s["size"] / s["n"] if s["n"] else None, "Extension: mean absolute residual of evaluated rows that carry their prediction in mean.")
+archive_r2 = Mergeable(_residual_parts, _moments, _r2, "Extension: share of the outputs' spread that predictions in mean explain.")
 simple_regret = regret
 
 
@@ -78,6 +124,8 @@ def integrated_variance(archive: DataFrame, surrogate: Surrogate, space: Space,
 
 def make_metric(fun: Metric, **fixed) -> Metric:
     """A metric with arguments filled in; those of the call win."""
+    if isinstance(fun, Mergeable):
+        return fun.filled(**fixed)
 
     @functools.wraps(fun)
     def metric(archive, surrogate=None, **args):
@@ -101,7 +149,12 @@ RESERVED = ("batch_nr", "n_evals", "timestamp")
 
 
 class Tracker:
-    """Metrics of the whole archive after each batch, one row a batch. A metric that fails or gives no number is null, with a warning."""
+    """Metrics of the whole archive after each batch, one row a batch. A metric that fails or gives no number is null, with a warning.
+
+    Where a batch comes with its rows, mergeable metrics and the number of
+    evaluations follow from those and the state so far, in one aggregation of
+    the batch; only other metrics read the archive.
+    """
 
     def __init__(self, metrics: dict[str, Metric], extra: dict | None = None):
         if any(m in RESERVED for m in metrics):
@@ -111,12 +164,44 @@ class Tracker:
 
     def clear(self) -> None:
         self._rows: list[dict] = []
-
-    def log_batch(self, batch_nr: int, archive: DataFrame, surrogate: Surrogate | None = None, **args) -> dict:
-        row = {"batch_nr": batch_nr, "n_evals": archive.count(), "timestamp": datetime.now(timezone.utc)}
+        self._states: dict[str, dict] = {}  # of mergeable metrics, by name
+        self._n: int | None = None  # rows that the states stand for
+
+    def _told(self, rows: DataFrame, args: dict) -> tuple[int, dict[str, dict]]:
+        """The number of rows and the states of all mergeable metrics, in one aggregation; of each alone, with a warning, if that fails."""
+        parts = {n: f.columns(args) for n, f in self.metrics.items() if isinstance(f, Mergeable)}
+        try:
+            row = rows.agg(F.count("*").alias("n"), *(c.alias(f"{i}_{k}") for i, cols in enumerate(parts.values()) for k, c in cols.items())).first()
+            return row["n"], {n: {k: row[f"{i}_{k}"] for k in cols} for i, (n, cols) in enumerate(parts.items())}
+        except Exception:  # noqa: BLE001  a metric must not end a search
+            states = {}
+            for n, cols in parts.items():
+                try:
+                    states[n] = rows.agg(*(c.alias(k) for k, c in cols.items())).first().asDict()
+                except Exception as e:  # noqa: BLE001
+                    warnings.warn(f"metric {n}: {e}", stacklevel=3)
+            return rows.count(), states
+
+    def log_batch(self, batch_nr: int, archive: DataFrame, surrogate: Surrogate | None = None, batch: DataFrame | None = None, **args) -> dict:
+        """A row of metrics of the archive, which holds the batch; without batch, all of the archive is read."""
+        args = self.extra | args
+        if batch is None or self._n is None:  # also a tracker without a state yet
+            self._n, self._states = self._told(archive, args)
+        else:
+            n, states = self._told(batch, args)
+            late = [m for m, f in self.metrics.items() if isinstance(f, Mergeable) and m in states and m not in self._states]
+            self._n += n
+            self._states = {m: self.metrics[m].merge(self._states[m], s) for m, s in states.items() if m in self._states}
+            if late:  # added since: once from the whole archive
+                own = self._told(archive, args)[1]
+                self._states |= {m: own[m] for m in late if m in own}
+        row = {"batch_nr": batch_nr, "n_evals": self._n, "timestamp": datetime.now(timezone.utc)}
         for name, fun in self.metrics.items():
             try:
-                got = fun(archive, surrogate, **self.extra | args)
+                if isinstance(fun, Mergeable):
+                    got = fun.result(self._states[name], args) if name in self._states else None
+                else:
+                    got = fun(archive, surrogate, **args)
                 row[name] = None if got is None else float(got)
             except Exception as e:  # noqa: BLE001  a metric must not end a search
                 warnings.warn(f"metric {name}: {e}", stacklevel=2)
@@ -128,7 +213,8 @@ class Tracker:
         model = instance.surrogate
         if model is not None:
             model = model.fit(instance.rows(), instance.space, instance.target)
-        self.log_batch(instance.n_batches, instance.rows(), model, **{"target": instance.target, "space": instance.space} | self.extra)
+        known = self._n is not None and self.latest is not None and self.latest["batch_nr"] == instance.n_batches - 1
+        self.log_batch(instance.n_batches, instance.rows(), model, instance.last_batch() if known else None, **{"target": instance.target, "space": instance.space} | self.extra)
 
     def add_metric(self, name: str, fun: Metric, backfill: bool = False) -> None:
         if name in RESERVED or name in self.metrics:

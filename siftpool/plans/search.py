@@ -109,4 +109,8 @@ class Search:
         self.n_evals, self.n_batches = self.n_evals + n, self.n_batches + 1
         for f in self.after:
             f(self)
-        return self.archive.where(F.col("batch_nr") == self.n_batches)
+        return self.last_batch()
+
+    def last_batch(self) -> DataFrame:
+        """The evaluated rows of the last batch."""
+        return self.rows().where(F.col("batch_nr") == self.n_batches)

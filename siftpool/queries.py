@@ -756,6 +756,20 @@ def tracker_history(spark, sf_dir):
     return log.data(spark).select(F.col("batch_nr").cast("bigint").alias("batch_nr"), "n_evals", r6("best_y"), r6("worst_y"))
 
 
+@query(
+    "WITH e AS (SELECT date_trunc('day', ts) d, value y, value * 0.9 + 1 mean FROM events), b AS (SELECT DISTINCT d, dense_rank() OVER (ORDER BY d) batch_nr FROM e) "
+    "SELECT batch_nr, (SELECT count(*) FROM e WHERE e.d <= b.d) n_evals, (SELECT round(min(y), 6) FROM e WHERE e.d <= b.d) best_y, (SELECT round(sqrt(avg(pow(y - mean, 2))), 6) FROM e WHERE e.d <= b.d) rmse, (SELECT round(1 - sum(pow(y - mean, 2)) / (var_pop(y) * count(y)), 6) FROM e WHERE e.d <= b.d) r2 FROM b"
+)
+def tracker_merged(spark, sf_dir):
+    """Metrics of all events up to each day, each day's rows read once: states of batches are merged."""
+    rows = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("d"), F.col("value").alias("y"), (F.col("value") * 0.9 + 1).alias("mean"))
+    log = Tracker({"best_y": M.best_y, "rmse": M.archive_rmse, "r2": M.archive_r2})
+    days = [r.d for r in rows.select("d").distinct().orderBy("d").collect()]
+    for k, day in enumerate(days, 1):
+        log.log_batch(k, rows.where(F.col("d") <= day), batch=rows.where(F.col("d") == day))
+    return log.data(spark).select(F.col("batch_nr").cast("bigint").alias("batch_nr"), "n_evals", r6("best_y"), r6("rmse"), r6("r2"))
+
+
 _SIX = _S0.format("p") + _farthest(6, "SELECT s_acctbal, s_nationkey FROM p, st ORDER BY round(pow((s_acctbal - ma) / ra, 2) + pow((s_nationkey - mn) / rn, 2), 9), s_acctbal, s_nationkey LIMIT 1").rpartition(" SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM t0")[0]
 
 

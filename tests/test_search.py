@@ -9,7 +9,8 @@ from siftpool.operators import acquisition as acq
 from siftpool.operators import proposers as P
 from siftpool.operators.modifiers import Diversity, LocalPenalization
 from siftpool.operators.samplers import Lhs, Sampler
-from siftpool.operators.surrogates import Bootstrap, Constant, GaussianProcess, Linear, NearestNeighbours, NoSurrogate, QuantileNeighbours, SurrogateError, Trees, ensemble_summary
+from siftpool.operators.gaussian import GaussianProcess
+from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, NoSurrogate, QuantileNeighbours, SurrogateError, Trees, ensemble_summary
 from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, optimize_active, pool_active_learning
 from siftpool.plans.search import Combined, Evals, Search, Terminated
 from siftpool.sources.objectives import Dataset, Function, Learned, NotInPool, PoolFunction, PoolWrapper
