@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import anti, arrays, beside, checkpointed
+from siftpool.functions.frames import anti, block, checkpointed, few, over_block, usable
 from siftpool.operators.distance import Distance, distance
+from siftpool.operators.nearest import nearest
 from siftpool.space import Space
 
 
@@ -93,18 +94,27 @@ class IGS(DistanceAcquisition):
 
 
 class GSy(Acquisition):
-    """The smallest difference of the predicted from an evaluated output."""
+    """The smallest difference of the predicted from an evaluated output, by binary search among the sorted outputs; null without any."""
 
     key, needs_surrogate = "gsy", True
 
     def score(self, cands, out="score"):
         if self.archive.isEmpty():
             raise AcquisitionError("no reference points")
-        for k, refs in enumerate(arrays(self.archive.select(F.col(self.target).cast("double").alias("ref_y")), ["ref_y"])):
-            cands = beside(cands, refs)
-            new = F.array_min(F.transform("refs", lambda r: F.abs(F.col("mean") - r["ref_y"])))
-            cands = cands.withColumn(out, F.least(out, new) if k else new).drop("refs")
-        return cands
+        told = self.archive.select(usable(F.col(self.target)).alias("y")).where("y is not null").distinct()
+        if not few(told):  # outputs as points of a line, met by ranges of them
+            mean = F.coalesce(usable(F.col("mean")), F.lit(0.0))
+            near = nearest(cands, [mean], told, [F.col("y")], 1, (), False, "least__")
+            return near.withColumn(out, F.when(usable(F.col("mean")).isNotNull(), F.col("least__")[0]["d"])).drop("least__")
+        refs = block(told, [F.col("y")], [F.col("y")])
+
+        def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            if not len(y):
+                return np.full(len(x), np.nan)
+            at = np.searchsorted(y[:, 0], x[:, 0])
+            return np.minimum(np.abs(x[:, 0] - y[np.maximum(at - 1, 0), 0]), np.abs(x[:, 0] - y[np.minimum(at, len(y) - 1), 0]))
+
+        return cands.withColumn(out, usable(over_block(refs, least, [F.col("mean")], cands.sparkSession)))
 
     def absorb(self, rows, row, out="score"):
         return rows.withColumn(out, F.least(out, F.abs(F.col("mean") - F.lit(row["mean"]))))

@@ -103,6 +103,22 @@ def test_density_takes_no_nested_loop(spark, small):
         assert np.isclose(got[tuple(p)], v)
 
 
+def test_output_distance_by_search(spark, monkeypatch, small):
+    rng = np.random.default_rng(9)
+    y = np.concatenate([np.round(rng.normal(0, 10, 400), 2), [5.0, 5.0]])
+    done = frame(spark, rng.random((402, 2)), y).unionByName(spark.createDataFrame([(0.1, 0.1, None), (0.2, 0.2, float("nan"))], "a double, b double, y double"))
+    asked = [float(v) for v in rng.normal(0, 15, 300)] + [5.0, None, float("nan"), 1e6, -1e6]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(asked)], "id int, mean double").repartition(3)
+    for limit in (20_000, 50):
+        monkeypatch.setattr(frames, "REFERENCES", limit)
+        got = {r.id: r.score for r in acquisition.GSy().fit(None, BOX).update(done, "y").score(rows).collect()}
+        assert len(got) == len(asked)
+        for i, m in enumerate(asked):
+            assert got[i] is None if m is None or np.isnan(m) else np.isclose(got[i], np.abs(y - m).min(), atol=1e-9)
+    nothing = acquisition.GSy().fit(None, BOX).update(done.where("a < 0.15 and y is null"), "y").score(rows)
+    assert nothing.where("score is not null").count() == 0
+
+
 def test_null_and_nan_coordinates_are_the_middle(spark, many):
     refs = frame(spark, np.random.default_rng(3).random((300, 2)))
     d = Affine().fit(refs, BOX).set_references(refs)
