@@ -8,12 +8,12 @@ from siftpool.llm.registry import queries
 
 ROOT = Path(__file__).resolve().parents[2]
 SMALL = "/root/testdata/sf0.001"
-NAMES = {1: "substring", 2: "chat", 3: "license", 4: "toxicity", 5: "token", 6: "retrieval", 7: "fingerprints", 8: "decontamination", 9: "language", 10: "near"}
+NAMES = {1: "substring", 2: "chat", 3: "license", 4: "toxicity", 5: "token", 6: "retrieval", 7: "fingerprints", 8: "decontamination", 9: "language", 10: "near", 11: "ball", 12: "quality", 13: "repaired"}
 
 
 def test_every_operator_has_a_query():
     names = list(queries())
-    assert all(any(q.startswith(f"op{n}_{x}") for q in names) for n, x in NAMES.items()) and len(names) == 10
+    assert all(any(q.startswith(f"op{n}_{x}") for q in names) for n, x in NAMES.items()) and len(names) == len(NAMES) == 13
 
 
 def test_nothing_else_imports_the_operators():
