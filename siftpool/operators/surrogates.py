@@ -188,7 +188,7 @@ class Bootstrap(Surrogate):
     def fit(self, archive, space, target):
         rows = checkpointed(placed(archive, [*space.ids, target]))
         count = rows.count()
-        self.models = [self.base().fit(_drawn(rows, count, b, self.seed), space, target) for b in range(self.n)]
+        self.models = [self.base().fit(drawn(rows, count, b, self.seed), space, target) for b in range(self.n)]
         return self
 
     def predict(self, rows):
@@ -214,15 +214,16 @@ def placed(archive: DataFrame, order: list[str]) -> DataFrame:
     return rows.join(F.broadcast(starts), "range__").withColumn("place", F.col("place") + F.col("first__")).drop("range__", "first__")
 
 
-def _drawn(rows: DataFrame, n: int, b: int, seed: int) -> DataFrame:
-    slots = rows.sparkSession.range(n).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place"))
-    return rows.join(slots, "place").drop("place")
+def drawn(rows: DataFrame, n: int, b: int, seed: int, slots: int | None = None) -> DataFrame:
+    """So many rows (n of them, if not told) drawn with replacement in round b from n placed() rows: each slot's MD5 is a place."""
+    asked = rows.sparkSession.range(n if slots is None else slots).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place"))
+    return rows.join(asked, "place").drop("place")
 
 
 def resample(archive: DataFrame, order: list[str], b: int, seed: int = 1) -> DataFrame:
     """As many rows as the archive has, drawn with replacement: the slot's MD5 picks a row by its place in order."""
     rows = placed(archive, order)
-    return _drawn(rows, rows.count(), b, seed)
+    return drawn(rows, rows.count(), b, seed)
 
 
 def ensemble_summary(draws: DataFrame, ids: list[str], mean: str = "mu", variance: str = "s2") -> DataFrame:

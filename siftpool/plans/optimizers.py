@@ -11,7 +11,7 @@ from siftpool.functions.frames import anti, by_key, checkpointed, seeded
 from siftpool.operators import acquisition as acq
 from siftpool.operators import modifiers, proposers, samplers
 from siftpool.operators.design import GRID_LIMIT, grid, random_design
-from siftpool.operators.surrogates import Bootstrap, NearestNeighbours, NoSurrogate, Surrogate
+from siftpool.operators.surrogates import Bootstrap, NearestNeighbours, NoSurrogate, Surrogate, drawn, placed
 from siftpool.plans.search import Combined, Evals, Search, Terminated, Terminator
 from siftpool.sources.objectives import Objective
 from siftpool.space import Space, SpaceError
@@ -54,16 +54,15 @@ class PoolRandom(Optimizer):
 
     def _optimize(self, instance, pool):
         ids, k = instance.space.ids, 0
+        if pool is not None and self.replace == WITHIN:
+            rows = checkpointed(placed(pool, ids))  # sorted and numbered once
+            n = rows.count()
         while k < self.max_batches:
             k += 1
             if pool is None:
                 batch = random_design(instance.spark, instance.space, self.batch_size, self.seed + k)
             elif self.replace == WITHIN:
-                # slots pick rows by their rank in a random order, each anew
-                picks = [pool.orderBy(seeded(f"{self.seed}:{k}:{j}", ids), *by_key(ids)).limit(1) for j in range(self.batch_size)]
-                batch = picks[0]
-                for p in picks[1:]:
-                    batch = batch.unionByName(p)
+                batch = drawn(rows, n, k, self.seed, self.batch_size)
             else:
                 left = anti(pool, instance.rows(), ids) if self.replace == NEVER else pool
                 batch = left.orderBy(seeded(f"{self.seed}:{k}", ids), *by_key(ids)).limit(self.batch_size)

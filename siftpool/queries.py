@@ -27,7 +27,7 @@ from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNe
 from siftpool.operators.vectors import nearest_vector
 from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, optimize_active, pool_active_learning
 from siftpool.plans.search import Evals, Search
-from siftpool.sources.objectives import Dataset, PoolWrapper, RowFunction, lookup
+from siftpool.sources.objectives import Dataset, PoolFunction, PoolWrapper, RowFunction, lookup
 from siftpool.space import Codomain, Needs, Space, p_dbl, p_fct, p_int, p_lgl
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,6 +738,20 @@ def pool_random_run(spark, sf_dir):
     return _found(instance)
 
 
+@query(
+    "WITH p AS (SELECT DISTINCT c_acctbal, c_nationkey FROM customer), o AS (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_nationkey) - 1 place FROM p), "
+    "s AS (SELECT b, ('0x' || md5('1:' || b || ':' || id)[1:12])::BIGINT % (SELECT count(*) FROM p) place FROM range(1, 4) r(b), range(0, 500) i(id)) "
+    "SELECT b::BIGINT batch_nr, c_acctbal, c_nationkey::BIGINT c_nationkey, count(*) n, round(min(c_acctbal * 0.5 + c_nationkey), 6) y FROM s JOIN o USING (place) GROUP BY ALL"
+)
+def pool_draws(spark, sf_dir):
+    """Three batches of 500 slots from all customers, with replacement within a batch: the pool is sorted and numbered once."""
+    pool = table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey").distinct()
+    told = PoolFunction(pool, lambda rows: rows.withColumn("y", F.col("c_acctbal") * 0.5 + F.col("c_nationkey")), _WHERE, _Y)
+    instance = Search(told, Evals(1500))
+    PoolRandom(batch_size=500, replace="within_batches").optimize(instance)
+    return instance.rows().groupBy(F.col("batch_nr").cast("bigint").alias("batch_nr"), "c_acctbal", F.col("c_nationkey").cast("bigint").alias("c_nationkey")).agg(F.count("*").alias("n"), F.round(F.min("y"), 6).alias("y"))
+
+
 _SEQ = _S0.format("p") + _farthest(5, "SELECT s_acctbal, s_nationkey FROM p, st ORDER BY round(pow((s_acctbal - ma) / ra, 2) + pow((s_nationkey - mn) / rn, 2), 9), s_acctbal, s_nationkey LIMIT 1").rpartition(" SELECT s_acctbal, s_nationkey::BIGINT s_nationkey FROM t0")[0]
 
 
