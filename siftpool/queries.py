@@ -27,7 +27,7 @@ from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNe
 from siftpool.operators.vectors import nearest_vector
 from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, optimize_active, pool_active_learning
 from siftpool.plans.search import Evals, Search
-from siftpool.sources.objectives import Dataset, PoolFunction, PoolWrapper, RowFunction, lookup
+from siftpool.sources.objectives import Dataset, Learned, PoolFunction, PoolWrapper, RowFunction, lookup
 from siftpool.space import Codomain, Needs, Space, p_dbl, p_fct, p_int, p_lgl
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,6 +526,14 @@ def _near(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return archive, asked
 
 
+@query("SELECT c_acctbal s_acctbal, c_nationkey::BIGINT s_nationkey, round(c_acctbal * 0.5 + c_nationkey, 4) y, count(*) n FROM customer GROUP BY ALL")
+def learned_objective(spark, sf_dir):
+    """A fitted line of the suppliers as the objective, evaluated on all customers."""
+    archive, asked = _near(spark, sf_dir)
+    told = Learned(Linear().fit(archive, SUPPLIER, "y"), SUPPLIER, _Y).evaluate(asked.select("s_acctbal", "s_nationkey"))
+    return told.groupBy("s_acctbal", F.col("s_nationkey").cast("bigint").alias("s_nationkey"), F.round("y", 4).alias("y")).agg(F.count("*").alias("n"))
+
+
 @query(_NEAR + "SELECT c_custkey, round(avg(y), 6) mean, round(stddev_samp(y), 6) se FROM pr WHERE k <= 5 GROUP BY ALL")
 def surrogate_knn(spark, sf_dir):
     archive, asked = _near(spark, sf_dir)
