@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftpool.functions import metrics as M
-from siftpool.functions.frames import anti, by_key, top
+from siftpool.functions.frames import anti, by_key, semi, top
 from siftpool.functions.metrics import Tracker
 from siftpool.functions.resampling import holdout, window_folds
 from siftpool.operators import acquisition as acq
@@ -20,6 +20,7 @@ from siftpool.operators import proposers as P
 from siftpool.operators.design import grid, grid_size, lhs_design, sobol_design
 from siftpool.operators.gaussian import GaussianProcess, HeteroskedasticProcess, Kernel, normal_sums
 from siftpool.operators.distance import DISTANCES, Affine, Gower, Standardize
+from siftpool.operators.extent import occupancy, spanned
 from siftpool.operators.nearest import nearest
 from siftpool.operators.modifiers import Diversity, LocalPenalization
 from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
@@ -513,6 +514,104 @@ def grid_sizes(spark, sf_dir):
     return spark.createDataFrame([(grid_size(_DEPENDENT, 10), grid_size(chain, 10))], "n bigint, chain bigint")
 
 
+# --- spaces that tables span
+
+_ORDER_CELLS = (
+    "WITH b AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders), v AS (SELECT DISTINCT lo + k::DOUBLE / 7 * (hi - lo) v FROM b, range(0, 8) t(k)), "
+    "a AS (SELECT v, coalesce((v + lag(v) OVER (ORDER BY v)) / 2, '-inf'::DOUBLE) m0, coalesce((v + lead(v) OVER (ORDER BY v)) / 2, 'inf'::DOUBLE) m1 FROM v), "
+    "l AS (SELECT DISTINCT o_orderstatus s, p FROM orders, (SELECT DISTINCT o_orderpriority p FROM orders) WHERE o_orderstatus IS NOT NULL AND p IS NOT NULL), "
+    "g AS (SELECT DISTINCT s, CASE WHEN s IN ('F', 'O') THEN p END p, CASE WHEN s IN ('F', 'O') AND p IN ('1-URGENT', '2-HIGH') THEN v END v FROM l, v), "
+    "n AS (SELECT o_orderstatus s, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderpriority END p, CASE WHEN o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN v END v, count(*) n FROM orders JOIN a ON o_totalprice > m0 AND o_totalprice <= m1 GROUP BY ALL) "
+)
+
+
+def _orders_space(spark, sf_dir) -> tuple[DataFrame, Space]:
+    """Orders with a priority where the status asks for one, and a price where the priority does."""
+    orders = table(spark, sf_dir, "orders")
+    deps = (Needs("o_orderpriority", "o_orderstatus", ("F", "O")), Needs("o_totalprice", "o_orderpriority", ("1-URGENT", "2-HIGH")))
+    return orders, spanned(orders, ["o_orderstatus", "o_orderpriority", "o_totalprice"], deps)
+
+
+@query(_ORDER_CELLS + "SELECT g.s o_orderstatus, g.p o_orderpriority, round(g.v, 6) o_totalprice, coalesce(n, 0)::BIGINT n_rows FROM g LEFT JOIN n ON g.s IS NOT DISTINCT FROM n.s AND g.p IS NOT DISTINCT FROM n.p AND g.v IS NOT DISTINCT FROM n.v")
+def grid_occupied(spark, sf_dir):
+    """All orders at the points of a grid with conditions, over bounds and levels of the table."""
+    orders, space = _orders_space(spark, sf_dir)
+    return occupancy(orders, space, 8).select("o_orderstatus", "o_orderpriority", r6("o_totalprice"), "n_rows")
+
+
+@query(_ORDER_CELLS + "SELECT count(*) AS n, (SELECT count(*) FROM orders WHERE o_orderstatus IS NOT NULL) n_rows FROM g")
+def grid_sizes_spanned(spark, sf_dir):
+    """The size of that grid, counted without making it, beside the rows that span it."""
+    orders, space = _orders_space(spark, sf_dir)
+    return orders.agg(F.lit(grid_size(space, 8)).cast("bigint").alias("n"), F.count("o_orderstatus").alias("n_rows"))
+
+
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "WITH n AS (SELECT count(*) n FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' param, n n_points, n n_slices, 0::BIGINT first_slice, n - 1 last_slice, (SELECT count(DISTINCT least(floor(({c} - lo) / (hi - lo) * n)::BIGINT, n - 1)) FROM lineitem, (SELECT min({c}) lo, max({c}) hi FROM lineitem)) row_slices FROM n"
+        for c in _LINE
+    )
+)
+def lhs_lineitem(spark, sf_dir):
+    """A Latin hypercube of as many points as lineitem has rows, over its bounds: the slices that hold a point, and those that hold a row."""
+    rows = table(spark, sf_dir, "lineitem").select(_LINE)
+    n = rows.count()
+    space = spanned(rows, _LINE)
+
+    def slices(df: DataFrame) -> DataFrame:
+        at = [F.struct(F.lit(p.id).alias("param"), F.least(F.floor((F.col(p.id) - F.lit(p.lower)) / F.lit(p.upper - p.lower) * F.lit(n)), F.lit(n - 1)).cast("bigint").alias("slice")) for p in space.params]
+        return df.select(F.explode(F.array(*at)).alias("at")).select("at.*")
+
+    points = slices(lhs_design(spark, space, n)).groupBy("param").agg(F.count("*").alias("n_points"), F.countDistinct("slice").alias("n_slices"), F.min("slice").alias("first_slice"), F.max("slice").alias("last_slice"))
+    return points.join(slices(rows).groupBy("param").agg(F.countDistinct("slice").alias("row_slices")), "param")
+
+
+@query(
+    "WITH RECURSIVE v(b, v1, v2) AS (SELECT 0, 1::BIGINT << 31, 1::BIGINT << 31 UNION ALL SELECT b + 1, v1 >> 1, xor(v2, v2 >> 1) FROM v WHERE b < 31), "
+    "e AS (SELECT count(*) n, min(l_quantity) l1, max(l_quantity) h1, min(l_extendedprice) l2, max(l_extendedprice) h2 FROM lineitem), "
+    "x AS (SELECT i, bit_xor(CASE WHEN (i >> b) & 1 = 1 THEN v1 ELSE 0 END) x1, bit_xor(CASE WHEN (i >> b) & 1 = 1 THEN v2 ELSE 0 END) x2 FROM (SELECT unnest(range(1, n + 1)) i FROM e), v GROUP BY i) "
+    "SELECT floor((x1 / 4294967296.0::DOUBLE * (h1 - l1) + l1) * 1000000)::BIGINT l_quantity, floor((x2 / 4294967296.0::DOUBLE * (h2 - l2) + l2) * 1000000)::BIGINT l_extendedprice FROM x, e"
+)
+def sobol_lineitem(spark, sf_dir):
+    """As many Sobol points as lineitem has rows, over its bounds, in millionths (rounding would differ on ties, of which dyadic numbers have many)."""
+    rows = table(spark, sf_dir, "lineitem")
+    ids = ["l_quantity", "l_extendedprice"]
+    return sampler("sobol").sample(rows.count(), spanned(rows, ids), spark=spark).select(*(F.floor(F.col(c) * 1000000.0).cast("bigint").alias(c) for c in ids))
+
+
+def _nearest_mean(key: str, d: str) -> str:
+    return f"SELECT 'distance' kind, '{key}' \"key\", round(avg(score), 6) \"value\" FROM (SELECT min({d}) score FROM part c, part e, st WHERE c.p_brand <> '{EVALUATED}' AND e.p_brand = '{EVALUATED}' GROUP BY c.p_partkey)"
+
+
+@query(
+    "WITH st AS (SELECT stddev_samp(p_size) ss, stddev_samp(p_retailprice) sr, max(p_size) - min(p_size) rs, max(p_retailprice) - min(p_retailprice) rr FROM part) "
+    + " UNION ALL ".join((
+        _nearest_mean("standardize", _D),
+        _nearest_mean("affine", "sqrt(pow((c.p_size - e.p_size) / rs * 2, 2) + pow((c.p_retailprice - e.p_retailprice) / rr * 2, 2))"),
+        _nearest_mean("gower", "(abs(c.p_size - e.p_size) / rs + abs(c.p_retailprice - e.p_retailprice) / rr) / 2"),
+        "SELECT 'sampler', unnest(['chain', 'conditional', 'gsx', 'kmeans', 'kmedoids', 'relational_kmeans', 'uniform']), least(2, count(*))::DOUBLE FROM (SELECT DISTINCT s_acctbal, s_nationkey FROM supplier)",
+    ))
+)
+def registry_on_tables(spark, sf_dir):
+    """Each registered distance by its key: the mean distance of a part to the nearest evaluated one. Each registered sampler of pools: the suppliers among its picks."""
+    part, done, rest = _parts(spark, sf_dir)
+    told = None
+    for key in sorted(DISTANCES):
+        one = acq.GSx(key).fit(part, PART).update(done, "y").score(rest).agg(F.lit("distance").alias("kind"), F.lit(key).alias("key"), F.round(F.avg("score"), 6).alias("value"))
+        told = one if told is None else told.unionByName(one)
+    pool, args = _suppliers(spark, sf_dir), {"chain": {"samplers": [sampler("uniform"), sampler("gsx")]}, "conditional": {"with_pool": sampler("uniform"), "without_pool": sampler("lhs")}}
+    for key in sorted(SAMPLERS):
+        own = sampler(key, **args.get(key, {}))
+        if own.takes_pool:
+            picks = semi(own.sample(2, SUPPLIER, pool), pool, SUPPLIER.ids)
+            told = told.unionByName(picks.distinct().agg(F.lit("sampler").alias("kind"), F.lit(key).alias("key"), F.count("*").cast("double").alias("value")))
+    return told
+
+
 # --- surrogates, metrics
 
 _NEAR = (
