@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpool.functions.frames import by_key, checkpointed, few
@@ -25,9 +25,17 @@ class Surrogate:
     def fit(self, archive: DataFrame, space: Space, target: str) -> Surrogate:
         raise NotImplementedError
 
+    def fit_each(self, rows: DataFrame, key: str, space: Space, target: str) -> Callable[[int], Surrogate] | None:
+        """Models of all groups of rows by key, fitted in one aggregation, as a function of the key; None if the kind can't."""
+        return None
+
     def predict(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def form(self) -> tuple[np.ndarray, list[str]] | None:
+        """The mean as intercept and weights of those columns, if it is linear."""
+        return None
+
 
 class NoSurrogate(Surrogate):
     """Holds the archive's place where no model is wanted; predicting is an error."""
@@ -43,10 +51,22 @@ class Constant(Surrogate):
     """Mean and standard deviation of the target."""
 
     def fit(self, archive, space, target):
-        row = archive.agg(F.avg(target).cast("double"), F.stddev_samp(target).cast("double")).first()
+        return self._of(archive.agg(*self._sums(target)).first())
+
+    def fit_each(self, rows, key, space, target):
+        told = {r[2]: r for r in rows.groupBy(key).agg(*self._sums(target)).select("mean", "se", key).collect()}
+        return lambda k: Constant()._of(told.get(k, (None, None)))
+
+    def _sums(self, target: str) -> list[Column]:
+        return [F.avg(target).cast("double").alias("mean"), F.stddev_samp(target).cast("double").alias("se")]
+
+    def _of(self, row) -> Constant:
         self.mean, self.se = row[0], row[1] or 0.0
         return self
 
+    def form(self):
+        return None if self.mean is None else (np.array([self.mean]), [])
+
     def predict(self, rows):
         return rows.withColumn("mean", F.lit(self.mean).cast("double")).withColumn("se", F.lit(self.se))
 
@@ -55,21 +75,42 @@ class Linear(Surrogate):
     """Least squares on the numeric columns; the normal equations are one aggregation, se is the residuals' deviation."""
 
     def fit(self, archive, space, target):
+        known, sums = self._sums(archive, space, target)
+        return self._of(known.agg(*sums).first())
+
+    def fit_each(self, rows, key, space, target):
+        known, sums = self._sums(rows, space, target)
+        told = {r[key]: r for r in known.groupBy(key).agg(*sums).collect()}
+
+        def of(k: int) -> Linear:
+            out = Linear()
+            out.ids = self.ids
+            return out._of(told.get(k, {"n": 0}))
+
+        return of
+
+    def _sums(self, archive: DataFrame, space: Space, target: str) -> tuple[DataFrame, list[Column]]:
+        """The complete rows and all entries of their normal equations."""
         self.ids = [p.id for p in space.params if p.numeric]
         x = [F.lit(1.0), *(F.col(c).cast("double") for c in self.ids)]
         y = F.col(target).cast("double")
-        known = archive.dropna(subset=[*self.ids, target])
         sums = {f"x{i}_{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))} | {f"y{i}": F.sum(x[i] * y) for i in range(len(x))} | {"yy": F.sum(y * y), "n": F.count("*")}
-        row = known.agg(*(c.alias(k) for k, c in sums.items())).first()
+        return archive.dropna(subset=[*self.ids, target]), [c.alias(k) for k, c in sums.items()]
+
+    def _of(self, row) -> Linear:
         if not row["n"]:
             raise SurrogateError("no complete rows to fit")
-        a = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(len(x))] for i in range(len(x))])
-        b = np.array([row[f"y{i}"] for i in range(len(x))])
+        n = len(self.ids) + 1
+        a = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+        b = np.array([row[f"y{i}"] for i in range(n)])
         self.coef = np.linalg.lstsq(a, b, rcond=None)[0]
         left = max(0.0, row["yy"] - float(self.coef @ b))
-        self.se = float(np.sqrt(left / max(row["n"] - len(x), 1)))
+        self.se = float(np.sqrt(left / max(row["n"] - n, 1)))
         return self
 
+    def form(self):
+        return self.coef, self.ids
+
     def predict(self, rows):
         mean = F.lit(float(self.coef[0]))
         for c, w in zip(self.ids, self.coef[1:]):
@@ -178,7 +219,13 @@ class Trees(Surrogate):
 
 
 class Bootstrap(Surrogate):
-    """Mean and deviation over models fitted on resamples of the archive, drawn with replacement by a hash."""
+    """Mean and deviation over models fitted on resamples of the archive, drawn with replacement by a hash.
+
+    Models that follow from sums are fitted together: all resamples' slots meet
+    the archive in one join, and one aggregation by resample gives the sums.
+    Where all models are linear, so is their mean, and their variance is a
+    quadratic form with as many terms as coefficients, however many models.
+    """
 
     def __init__(self, base: Callable[[], Surrogate], n: int = 30, seed: int = 1):
         if n < 2:
@@ -188,10 +235,14 @@ class Bootstrap(Surrogate):
     def fit(self, archive, space, target):
         rows = checkpointed(placed(archive, [*space.ids, target]))
         count = rows.count()
-        self.models = [self.base().fit(drawn(rows, count, b, self.seed), space, target) for b in range(self.n)]
+        of = self.base().fit_each(drawn_each(rows, count, self.n, self.seed), "resample__", space, target)
+        self.models = [of(b) if of else self.base().fit(drawn(rows, count, b, self.seed), space, target) for b in range(self.n)]
         return self
 
     def predict(self, rows):
+        forms = [m.form() for m in self.models]
+        if all(f is not None for f in forms):
+            return self._linear(rows, np.array([f[0] for f in forms]), forms[0][1])
         for b, model in enumerate(self.models):
             rows = model.predict(rows).withColumnRenamed("mean", f"mean__{b}").drop("se")
         means = [F.col(f"mean__{b}") for b in range(self.n)]
@@ -199,6 +250,18 @@ class Bootstrap(Surrogate):
         square = sum(((m - F.col("mean")) * (m - F.col("mean")) for m in means[1:]), (means[0] - F.col("mean")) * (means[0] - F.col("mean")))
         return rows.withColumn("mean", mean).withColumn("se", F.sqrt(square / (self.n - 1))).drop(*(f"mean__{b}" for b in range(self.n)))
 
+    def _linear(self, rows: DataFrame, coef: np.ndarray, ids: list[str]) -> DataFrame:
+        """Means are the mean coefficients'; the triangular factor of the coefficients' deviations gives the variance as a sum of squares."""
+        mean = coef.mean(axis=0)
+        factor = np.linalg.qr((coef - mean) / np.sqrt(self.n - 1), mode="r")
+        x = [F.lit(1.0), *(F.col(c).cast("double") for c in ids)]
+
+        def at(weights: np.ndarray) -> Column:
+            return sum((F.lit(float(w)) * v for w, v in zip(weights[1:], x[1:])), F.lit(float(weights[0])))
+
+        told = F.struct(at(mean).alias("mean"), F.sqrt(sum((at(r) * at(r) for r in factor[1:]), at(factor[0]) * at(factor[0]))).alias("se"))
+        return rows.withColumn("told__", told).withColumns({"mean": F.col("told__.mean"), "se": F.col("told__.se")}).drop("told__")
+
 
 def placed(archive: DataFrame, order: list[str]) -> DataFrame:
     """archive with each row's place in that order, from 0: sorted by ranges, each range's count added to the places of the next."""
@@ -214,9 +277,21 @@ def placed(archive: DataFrame, order: list[str]) -> DataFrame:
     return rows.join(F.broadcast(starts), "range__").withColumn("place", F.col("place") + F.col("first__")).drop("range__", "first__")
 
 
+def _slot(b: Column, slot: Column, n: int, seed: int) -> Column:
+    """The place that a slot of round b draws."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), slot.cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place")
+
+
 def drawn(rows: DataFrame, n: int, b: int, seed: int, slots: int | None = None) -> DataFrame:
     """So many rows (n of them, if not told) drawn with replacement in round b from n placed() rows: each slot's MD5 is a place."""
-    asked = rows.sparkSession.range(n if slots is None else slots).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("place"))
+    asked = rows.sparkSession.range(n if slots is None else slots).select(_slot(F.lit(b), F.col("id"), n, seed))
+    return rows.join(asked, "place").drop("place")
+
+
+def drawn_each(rows: DataFrame, n: int, rounds: int, seed: int) -> DataFrame:
+    """The rows of drawn() for rounds 0, 1, ... with their round in resample__; one join for all."""
+    b, slot = F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)
+    asked = rows.sparkSession.range(n * rounds).select(_slot(b, slot, n, seed), b.cast("int").alias("resample__"))
     return rows.join(asked, "place").drop("place")
 
 

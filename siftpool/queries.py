@@ -671,6 +671,33 @@ def bootstrap_se(spark, sf_dir):
     return Bootstrap(Constant, _B).fit(s, SUPPLIER, "y").predict(spark.range(1)).select(r6("mean"), r6("se"))
 
 
+_SLOTS = "d AS (SELECT b, ('0x' || substr(md5('1:' || b || ':' || j), 1, 12))::BIGINT % (SELECT max(n) FROM s) place FROM range(0, {}) t(b), range(0, (SELECT max(n) FROM s)) u(j))"
+
+
+@query(
+    f"WITH s AS (SELECT l_quantity x, l_extendedprice y, row_number() OVER (ORDER BY l_quantity, l_extendedprice) - 1 place, count(*) OVER () n FROM lineitem), {_SLOTS.format(_B)}, "
+    "m AS (SELECT b, regr_intercept(y, x) c, regr_slope(y, x) w FROM d JOIN s USING (place) GROUP BY b) "
+    "SELECT x l_quantity, round(avg(c + w * x), 3) mean, round(stddev_samp(c + w * x), 3) se FROM m, (SELECT DISTINCT l_quantity x FROM lineitem) GROUP BY x"
+)
+def bootstrap_linear(spark, sf_dir):
+    """Lines through resamples of all of lineitem, fitted together."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    model = Bootstrap(Linear, _B).fit(rows, Space((p_dbl("l_quantity", 1, 50),)), "l_extendedprice")
+    return model.predict(rows.select("l_quantity").distinct()).select("l_quantity", F.round("mean", 3).alias("mean"), F.round("se", 3).alias("se"))
+
+
+@query(
+    f"WITH s AS (SELECT s_acctbal, s_nationkey, s_acctbal * 0.5 + s_nationkey y, row_number() OVER (ORDER BY s_acctbal, s_nationkey, s_acctbal * 0.5 + s_nationkey) - 1 place, count(*) OVER () n FROM supplier), {_SLOTS.format(3)}, "
+    "r AS (SELECT * FROM d JOIN s USING (place)), st AS (SELECT b, stddev_samp(s_acctbal) ra, stddev_samp(s_nationkey) rn FROM r GROUP BY b), "
+    "k AS (SELECT b, c_custkey, y, row_number() OVER (PARTITION BY b, c_custkey ORDER BY round(sqrt(pow((c_acctbal - s_acctbal) / ra, 2) + pow((c_nationkey - s_nationkey) / rn, 2)), 9), s_acctbal, s_nationkey) k FROM customer, r JOIN st USING (b)), "
+    "m AS (SELECT b, c_custkey, avg(y) y FROM k WHERE k <= 3 GROUP BY ALL) SELECT c_custkey, round(avg(y), 6) mean, round(stddev_samp(y), 6) se FROM m GROUP BY ALL"
+)
+def bootstrap_knn(spark, sf_dir):
+    archive, asked = _near(spark, sf_dir)
+    model = Bootstrap(lambda: NearestNeighbours(3), 3).fit(archive.select("s_acctbal", "s_nationkey", "y"), SUPPLIER, "y")
+    return model.predict(asked).select("c_custkey", r6("mean"), r6("se"))
+
+
 @query("SELECT l_suppkey, round(avg(l_discount), 6) mean, round(sqrt(avg(l_tax) + coalesce(var_samp(l_discount), 0)), 6) se FROM lineitem GROUP BY ALL")
 def total_variance(spark, sf_dir):
     return ensemble_summary(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_discount", "l_tax").select("l_suppkey", r6("mean"), r6("se"))
