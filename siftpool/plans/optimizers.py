@@ -159,12 +159,22 @@ def pool_active_learning(method: str, learner: Callable[[], Surrogate] = Nearest
     return ActiveLearning(proposer, surrogate, first, n_init, batch_size)
 
 
-def optimize_active(objective: Objective, n_evals: int | None = None, terminator: Terminator | None = None, space: Space | None = None, tracker=None, optimizer: Optimizer | None = None, callbacks=(), **args) -> Search:
-    """Search with uncertainty sampling, or the optimizer given; the instance holds the archive, and the tracker one row for each batch."""
+def optimize_active(objective: Objective, n_evals: int | None = None, terminator: Terminator | None = None, space: Space | None = None, tracker=None, optimizer: Optimizer | None = None, callbacks=(), forecast=None, forecast_terminator: Terminator | None = None, **args) -> Search:
+    """Search with uncertainty sampling, or the optimizer given; the instance holds the archive, and the tracker one row for each batch.
+
+    A forecast's update() gets the tracker's table, one row for each batch, as
+    soon as a batch is logged, so it needs a tracker; its terminator ends the
+    search by itself.
+    """
+    if forecast is not None and tracker is None:
+        raise ValueError("a forecast needs a tracker")
     ends = [t for t in (Evals(n_evals) if n_evals is not None else None, terminator) if t is not None]
     if not ends:
         raise ValueError("n_evals or a terminator is needed")
+    ends += [forecast_terminator] if forecast_terminator is not None else []
     after = [*callbacks, *([tracker.after_batch] if tracker is not None else [])]
+    if forecast is not None:
+        after.append(lambda instance: forecast.update(tracker.data(instance.spark)))
     instance = Search(objective, ends[0] if len(ends) == 1 else Combined(ends), space, after=after)
     (optimizer or active_learning(**args)).optimize(instance)
     return instance

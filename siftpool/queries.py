@@ -23,6 +23,7 @@ from siftpool.operators.distance import DISTANCES, Affine, Gower, Standardize
 from siftpool.operators.extent import occupancy, spanned
 from siftpool.operators.nearest import nearest
 from siftpool.operators.modifiers import Diversity, LocalPenalization
+from siftpool.operators.quantiles import LinearQuantiles
 from siftpool.operators.samplers import SAMPLERS, farthest_first, picked_rows, sampler
 from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, QuantileNeighbours, Trees, ensemble_summary
 from siftpool.operators.vectors import nearest_vector
@@ -645,6 +646,18 @@ def quantile_se(spark, sf_dir):
     return QuantileNeighbours(5).fit(archive, SUPPLIER, "y").predict(asked).select("c_custkey", r6("mean"), r6("se"))
 
 
+@query("SELECT q, n n_rows, q share, q share_quantity, q share_discount FROM (SELECT count(*) n FROM lineitem), (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) t(q)")
+def quantile_planes(spark, sf_dir):
+    """Planes of three quantiles through all of lineitem, and what marks the least loss: the rows below a plane are that share of all rows, also by the sum of each parameter."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    model = LinearQuantiles().fit(rows, Space((p_dbl("l_quantity", 1, 50), p_dbl("l_discount", 0, 1))), "l_extendedprice")
+    planes = [F.struct(F.lit(q).alias("q"), (sum((F.lit(float(w)) * F.col(i) for w, i in zip(b[1:], model.ids)), F.lit(float(b[0])))).alias("plane")) for q, b in zip(model.at, model.coef)]
+    below = F.col("l_extendedprice") < F.col("p.plane")
+    share = lambda x: F.round(F.sum(F.when(below, x).otherwise(0.0)) / F.sum(x), 2)
+    told = rows.withColumn("p", F.explode(F.array(*planes))).groupBy("p.q")
+    return told.agg(F.count("*").alias("n_rows"), share(F.lit(1.0)).alias("share"), share(F.col("l_quantity")).alias("share_quantity"), share(F.col("l_discount")).alias("share_discount"))
+
+
 @query("SELECT l_orderkey, l_linenumber::BIGINT l_linenumber, round((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity, 2) mean FROM lineitem")
 def surrogate_linear(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")

@@ -12,7 +12,7 @@ from siftpool.operators.samplers import Lhs, Sampler
 from siftpool.operators.gaussian import GaussianProcess
 from siftpool.operators.surrogates import Bootstrap, Constant, Linear, NearestNeighbours, NoSurrogate, QuantileNeighbours, SurrogateError, Trees, ensemble_summary
 from siftpool.plans.optimizers import ActiveLearning, PoolRandom, PoolSample, active_learning, optimize_active, pool_active_learning
-from siftpool.plans.search import Combined, Evals, Search, Terminated
+from siftpool.plans.search import Combined, Evals, Search, Terminated, Terminator
 from siftpool.sources.objectives import Dataset, Function, Learned, NotInPool, PoolFunction, PoolWrapper
 from siftpool.space import Codomain, Needs, Space, SpaceError, p_dbl, p_fct, p_int, p_lgl
 
@@ -129,6 +129,30 @@ def test_uncertainty_sampling(spark, method):
     assert tracker.data(spark).count() == 2
 
 
+class Trend(Terminator):
+    """A forecast and its terminator: ends once the last two batches had the same best output."""
+
+    def __init__(self):
+        self.seen, self.flat = [], False
+
+    def update(self, history):
+        self.seen.append(history.count())
+        best = [r.best_y for r in history.orderBy("batch_nr").collect()]
+        self.flat = len(best) > 1 and best[-1] == best[-2]
+
+    def done(self, instance):
+        return self.flat
+
+
+def test_forecasts(spark):
+    for with_end in (True, False):
+        trend, tracker = Trend(), M.Tracker({"best_y": M.best_y})
+        instance = optimize_active(squares(spark, 8), 5, tracker=tracker, optimizer=PoolSample(FirstRows(), 1), forecast=trend, forecast_terminator=trend if with_end else None)
+        assert trend.seen == list(range(1, instance.n_batches + 1)) and instance.n_evals == (2 if with_end else 5)
+    with pytest.raises(ValueError, match="tracker"):
+        optimize_active(squares(spark, 8), 5, forecast=Trend())
+
+
 class FirstRows(Sampler):
     key = "first"
 
