@@ -246,17 +246,17 @@ def over_all(rows: DataFrame, own: list[Column], refs: DataFrame, ref_own: list[
     For scores in which every reference counts. A block of rows meets a block of
     references in one task; nothing passes through the driver.
     """
-    numbered = checkpointed(rows.withColumn("row__", F.monotonically_increasing_id()))
+    numbered = checkpointed(rows.withColumn("block_row__", F.monotonically_increasing_id()))
 
     def packed(df: DataFrame, values: list[Column], named: bool) -> DataFrame:
-        cols = [F.array(*(c.cast("double") for c in values)).alias("v"), *([F.col("row__")] if named else [])]
+        cols = [F.array(*(c.cast("double") for c in values)).alias("v"), *([F.col("block_row__")] if named else [])]
 
         def run(batches):
             task, count = TaskContext.get().partitionId(), 0
             for batch in batches:
                 for start in range(0, batch.num_rows, size):
                     part = batch.slice(start, size)
-                    ids = part.column("row__").to_numpy().tobytes() if named else b""
+                    ids = part.column("block_row__").to_numpy().tobytes() if named else b""
                     yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + count]), pa.array([ids], pa.binary()), pa.array([part.column("v").flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["block", "ids", "v"])
                     count += 1
 
@@ -290,9 +290,9 @@ def over_all(rows: DataFrame, own: list[Column], refs: DataFrame, ref_own: list[
 
     def told(ids, total):
         struct = pa.StructArray.from_arrays([pa.array(total[:, c]) for c in range(len(names))], names)
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), struct], ["row__", out])
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), struct], ["block_row__", out])
 
     partial = a.crossJoin(b).mapInArrow(met, "block bigint, ids binary, v binary")  # blocks by blocks
     partial = partial.repartition(tasks(rows), "block").sortWithinPartitions("block")
-    got = partial.mapInArrow(joined, f"row__ bigint, {out} struct<{', '.join(f'{n}: double' for n in names)}>")
-    return numbered.join(got, "row__").drop("row__")
+    got = partial.mapInArrow(joined, f"block_row__ bigint, {out} struct<{', '.join(f'{n}: double' for n in names)}>")
+    return numbered.join(got, "block_row__").drop("block_row__")

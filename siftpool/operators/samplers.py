@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import anti, by_key, checkpointed, seeded
+from siftpool.functions.frames import anti, by_key, checkpointed, few, seeded
 from siftpool.operators.design import lhs_design, random_design, sobol_design
-from siftpool.operators.distance import Distance, Geometry, distance
+from siftpool.operators.distance import Distance, Geometry, Gower, distance
+from siftpool.operators.profiles import GowerProfiles
 from siftpool.space import Space
 
 CHECKPOINT = 8  # steps of a loop between checkpoints
@@ -188,10 +189,11 @@ class RelationalKMeans(KMeans):
 
     For a distance with an embedding, the mean squared distance to a cluster
     less half its mean inner one is the squared distance to the cluster's mean,
-    so a step is one aggregation and no matrix of distances is made. With other
-    distances, such as Gower's, a step compares the rows with each other, in
-    arrays of bounded size and for all starts at once. Emptied clusters take the
-    point farthest from its cluster.
+    so a step is one aggregation and no matrix of distances is made. With Gower's,
+    a step reads the clusters' profiles for all starts at once (GowerProfiles).
+    Up to 20,000 rows, and under further distances, rows are compared with each
+    other in blocks instead, to the same sums. Emptied clusters take the point
+    farthest from its cluster.
     """
 
     key, label = "relational_kmeans", "Relational k-means"
@@ -217,9 +219,14 @@ class RelationalKMeans(KMeans):
             if len(seeds) < n:
                 raise SamplerError("more centres than distinct points")
             first.append(_least([F.pow(d.to(r.asDict()), 2) for r in seeds]))
+        profiles = GowerProfiles(rows, d) if isinstance(d, Gower) and not few(rows) else None
+        if profiles is not None and profiles.fits(n * starts):
+            rows, sums = profiles.rows, profiles.sums
+        else:
+            sums = lambda told, n, starts: self._sums(told, d, n, starts)
         told = checkpointed(rows.withColumn("labels__", F.array(*first)))
         for step in range(self.steps + 1):
-            told = checkpointed(self._sums(told, d, n, starts))
+            told = checkpointed(sums(told, n, starts))
             held = told.select(F.posexplode("labels__").alias("s", "k"), "sums__").groupBy("s", "k").agg(F.count("*").alias("size"), F.sum(F.get("sums__", F.col("s") * n + F.col("k"))).alias("inner")).collect()
             held = {(r.s, r.k): (r["size"], r["inner"]) for r in held}
             apart = [[self._apart(held.get((s, k)), s * n + k) for k in range(n)] for s in range(starts)]
@@ -241,17 +248,17 @@ class RelationalKMeans(KMeans):
 
     @staticmethod
     def _sums(told: DataFrame, d: Distance, n: int, starts: int) -> DataFrame:
-        """told with the sum of squared distances to each cluster of each start."""
-        d.references, d._carried = told.select(*d.space.ids, "labels__"), ["labels__"]
-
-        def one(seen: Column, s: int, k: int) -> Column:
-            return F.aggregate(seen, F.lit(0.0), lambda a, x: a + F.when(x["labels"][s] == k, x["d2"]).otherwise(0.0))
+        """told with the sum of squared distances to each cluster of each start, by comparing its rows with each other in blocks."""
+        labels = [f"label{s}__" for s in range(starts)]
+        d.references, d._carried = told.select(*d.space.ids, *(F.col("labels__")[s].alias(c) for s, c in enumerate(labels))), labels
 
-        def of(refs: Column) -> Column:
-            seen = F.transform(refs, lambda r: F.struct(r["labels__"].alias("labels"), F.pow(d.between(r), 2).alias("d2")))
-            return F.transform(F.array(seen), lambda x: F.array(*(one(x, s, k) for s in range(starts) for k in range(n))))[0]  # distances are taken once
+        def kernel(apart: np.ndarray, _, y: np.ndarray) -> np.ndarray:
+            member = (y[:, :, None] == np.arange(n)).reshape(len(y), starts * n)
+            return apart**2 @ member
 
-        return d.fold(told, "sums__", of, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        names = [f"sum{c}" for c in range(starts * n)]
+        out = d.over_references(told, "told__", kernel, np.add, names)
+        return out.select(*told.columns, F.array(*(F.col(f"told__.{c}") for c in names)).alias("sums__"))
 
     @staticmethod
     def _apart(held: tuple[int, float] | None, at: int) -> Column:
