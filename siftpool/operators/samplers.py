@@ -233,8 +233,10 @@ class RelationalKMeans(KMeans):
             if step == self.steps:
                 break
             moved = checkpointed(told.withColumn("new__", F.array(*map(_least, apart))))
+            filled = {(r.s, r.k) for r in moved.select(F.posexplode("new__").alias("s", "k")).distinct().collect()}  # of starts x n at most
             for s in range(starts):
-                moved = self._repaired(moved, apart[s], s, n)
+                if any((s, k) not in filled for k in range(n)):
+                    moved = self._repaired(moved, apart[s], s, n)
             if moved.where("new__ <> labels__").isEmpty():
                 break
             told = moved.drop("labels__", "sums__").withColumnRenamed("new__", "labels__")
