@@ -88,9 +88,10 @@ def beside(df: DataFrame, refs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(refs))
 
 
-def few(df: DataFrame) -> bool:
-    """Whether df has REFERENCES rows at most, so that it may be sent to all tasks at once."""
-    return df.limit(REFERENCES + 1).count() <= REFERENCES
+def few(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df has REFERENCES rows at most (or so many, if fewer), so that it may be sent to all tasks at once."""
+    n = REFERENCES if most is None else min(REFERENCES, most)
+    return df.limit(n + 1).count() <= n
 
 
 def block(df: DataFrame, cols: list[Column], order: list[Column]) -> np.ndarray:

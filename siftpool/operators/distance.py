@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import arrays, beside, block, by_key, few, over_block
-from siftpool.operators.nearest import nearest, over_all
+from siftpool.functions.frames import arrays, beside, block, by_key, checkpointed, few, over_block
+from siftpool.operators.nearest import Euclidean, Mixed, nearest, over_all
 from siftpool.space import Space
 
+NEAR = 4096  # references that are compared with all rows at most where the nearest is asked; more are met by balls
+
 
 class DistanceError(ValueError):
     """A distance is used before it is ready, or on a space it can't handle."""
@@ -69,29 +72,46 @@ class Distance:
         return self.fold(rows, out, lambda refs: F.array_min(F.transform(refs, self.between)), F.least)
 
     def coordinates(self) -> list[Column]:
-        """What kernel() takes of a row, as doubles (an embedding's NaN counts as 0)."""
+        """A row as a point, as doubles (an embedding's NaN counts as 0)."""
         raise NotImplementedError
 
+    def stored(self) -> list[Column]:
+        """What kernel() takes of a row, as doubles."""
+        return self.coordinates()
+
     def kernel(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """Distances of rows' coordinates and references' in arrays; squared ones if the distance is geometric."""
+        """Distances of rows' stored() values and references' in arrays; squared ones if the distance is geometric."""
         raise NotImplementedError
 
-    def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
         """rows with a struct out: kernel(distances of rows and a block of references, squared if geometric, the rows' extra columns, the references' carried columns), blocks put together by join(); null without references.
 
-        Few references are sent to all tasks; more meet the rows in blocks.
+        Few references are sent to all tasks; more meet the rows in blocks. With
+        counted, equal references are one, with their number as a last carried
+        column, and equal rows are met once.
         """
         self._ready()
-        at_rows, apart = self.coordinates(), self.kernel()
+        at_rows, apart = self.stored(), self.kernel()
         n, own = len(at_rows), [*at_rows, *(F.col(c) for c in extra)]
 
         def at(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
             return kernel(apart(x[:, :n], refs[:, :n]), x[:, n:], refs[:, n:])
 
         told = [*at_rows, *map(F.col, self._carried)]
-        if not few(self.references):
-            return over_all(rows, own, self.references, told, at, join, names, out)
-        refs = block(self.references, told, by_key([*self.space.ids, *self._carried]))
+        references, order = self.references, by_key([*self.space.ids, *self._carried])
+        if counted:
+            keys = [f"ref{i}__" for i in range(len(told))]
+            references = references.select(*(c.cast("double").alias(k) for c, k in zip(told, keys))).groupBy(*keys).agg(F.count("*").cast("double").alias("n__"))
+            told, order = [F.col(c) for c in (*keys, "n__")], by_key(keys)
+        if counted and not few(references, NEAR):
+            keys = [f"own{i}__" for i in range(len(own))]
+            rows = checkpointed(rows.withColumns({k: c.cast("double") for c, k in zip(own, keys)}))
+            met = rows.select(*keys).distinct().toDF(*(f"{k}m" for k in keys))
+            met = over_all(met, [F.col(c) for c in met.columns], references, told, at, join, names, out)
+            return rows.join(met, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}m")) for k in keys))).drop(*keys, *(f"{k}m" for k in keys))
+        if not few(references):
+            return over_all(rows, own, references, told, at, join, names, out)
+        refs = block(references, told, order)
         if not len(refs):
             return rows.withColumn(out, F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in names)}>"))
         if len(names) == 1:  # a struct of one double would come back as a series
@@ -131,9 +151,20 @@ class Geometry(Distance):
 
     geometric = True
 
-    def embedding(self, at: Callable[[str], Column] = F.col) -> list[Column]:
+    def axes(self, at: Callable[[str], Column] = F.col) -> list[tuple[Column, float, float]]:
+        """For each coordinate a row's value, the centre and the scale; a scale of 0 leaves the coordinate out."""
         raise NotImplementedError
 
+    def embedding(self, at: Callable[[str], Column] = F.col) -> list[Column]:
+        return [F.coalesce((v - F.lit(m)) / F.lit(s), F.lit(0.0)) if s > 0 else F.lit(0.0) for v, m, s in self.axes(at)]
+
+    def stored(self):
+        """The values themselves, as their differences are exact where those of an embedding are rounded."""
+        return [F.coalesce(F.nanvl(v, F.lit(m)), F.lit(m)) if s > 0 else F.lit(0.0) for v, m, s in self.axes()]
+
+    def scales(self) -> list[float]:
+        return [s if s > 0 else 1.0 for _, _, s in self.axes()]
+
     @property
     def dimension(self) -> int:
         return len(self.embedding())
@@ -144,31 +175,35 @@ class Geometry(Distance):
     def coordinates(self):
         return [F.nanvl(c.cast("double"), F.lit(0.0)) for c in self.embedding()]
 
-    @staticmethod
-    def _summed(x, refs):
-        total = np.zeros((len(x), len(refs)))
-        for k in range(x.shape[1]):
-            apart = x[:, k, None] - refs[None, :, k]
-            total += apart * apart
-        return total
-
     def kernel(self):
-        return self._summed
+        scales = self.scales()
+
+        def summed(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(x), len(refs)))
+            for k, s in enumerate(scales):
+                apart = (x[:, k, None] - refs[None, :, k]) / s
+                total += apart * apart
+            return total
+
+        return summed
 
     def neighbours(self, rows: DataFrame, k: int, out: str = "near", carry: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
         """rows with the k nearest references as in nearest.nearest(); carry are carried columns."""
         self._ready()
-        return nearest(rows, self.coordinates(), self.references, self.coordinates(), k, carry, ordered, out)
+        return nearest(rows, self.stored(), self.references, self.stored(), k, carry, ordered, out, Euclidean(self.scales()))
 
     def nearest(self, rows, out="distance"):
         self._ready()
-        if few(self.references):
+        if few(self.references, NEAR):
             own = self.over_references(rows, "least__", lambda d2, *_: np.sqrt(d2.min(axis=1)), np.minimum, ["d"])
             return own.withColumn(out, F.col("least__.d")).drop("least__")
         return self.neighbours(rows, 1, "least__").withColumn(out, F.col("least__")[0]["d"]).drop("least__")
 
     def squared(self, ref) -> Column:
-        parts = [(a - b) * (a - b) for a, b in zip(self.embedding(), self.embedding(lambda c: ref[c]))]
+        parts = []
+        for (a, m, s), (b, _, _) in zip(self.axes(), self.axes(lambda c: ref[c])):
+            one = (F.coalesce(a, F.lit(m)) - F.coalesce(b, F.lit(m))) / F.lit(s) if s > 0 else F.lit(0.0)
+            parts.append(one * one)
         out = parts[0]
         for p in parts[1:]:
             out = out + p
@@ -198,11 +233,8 @@ class Affine(Geometry):
         row = pool.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in space.ids for n, f in (("lo", F.min), ("hi", F.max)))).first()
         self.range = {c: (row[f"lo_{c}"] or 0.0, row[f"hi_{c}"] or 0.0) for c in space.ids}
 
-    def embedding(self, at=F.col):
-        out = []
-        for c, (lo, hi) in self.range.items():
-            out.append(F.coalesce((at(c).cast("double") - F.lit((lo + hi) / 2)) / F.lit((hi - lo) / 2), F.lit(0.0)) if hi > lo else F.lit(0.0))
-        return out
+    def axes(self, at=F.col):
+        return [(at(c).cast("double"), (lo + hi) / 2, (hi - lo) / 2) for c, (lo, hi) in self.range.items()]
 
 
 class Standardize(Geometry):
@@ -244,8 +276,8 @@ class Standardize(Geometry):
         share = 1 / (len(p.levels) if p.kind == "fct" else 2)
         return share, math.sqrt(share * (1 - share))
 
-    def embedding(self, at=F.col):
-        return [F.coalesce((self._value(at, c, v) - F.lit(m)) / F.lit(s), F.lit(0.0)) if s > 0 else F.lit(0.0) for c, v, m, s in self.stats]
+    def axes(self, at=F.col):
+        return [(self._value(at, c, v), m, s) for c, v, m, s in self.stats]
 
 
 class Gower(Distance):
@@ -313,8 +345,33 @@ class Gower(Distance):
         return apart
 
     def nearest(self, rows, out="distance"):
-        own = self.over_references(rows, "least__", lambda d, *_: d.min(axis=1), np.minimum, ["d"])
-        return own.withColumn(out, F.col("least__.d")).drop("least__")
+        self._ready()
+        if few(self.references, NEAR):
+            own = self.over_references(rows, "least__", lambda d, *_: d.min(axis=1), np.minimum, ["d"])
+            return own.withColumn(out, F.col("least__.d")).drop("least__")
+        return self._by_balls(rows, out)
+
+    def _by_balls(self, rows: DataFrame, out: str) -> DataFrame:
+        """The same by the triangle inequality, which holds among rows that know the same columns: those that know others are met apart."""
+        used = [(c, self.spread[p.id] if p.numeric else None) for p, c in zip(self.space.params, self.coordinates()) if not (p.numeric and self.spread[p.id] <= 0)]
+        if not used:
+            return rows.withColumn(out, F.lit(0.0))
+        known = sum((F.when(F.nanvl(c, F.lit(None).cast("double")).isNotNull(), 1 << k).otherwise(0) for k, (c, _) in enumerate(used)), F.lit(0))
+        rows, refs = checkpointed(rows.withColumn("known__", known)), checkpointed(self.references.withColumn("known__", known))
+        patterns = [sorted(r.known__ for r in f.select("known__").distinct().collect()) for f in (rows, refs)]
+        told = None
+        for p in patterns[0]:
+            mine = rows.where(F.col("known__") == p).withColumn(out, F.lit(None).cast("double"))
+            for both in sorted({p & q for q in patterns[1]}):
+                cols = [u for k, u in enumerate(used) if both >> k & 1]
+                if not cols:  # nothing in common is a distance of 0
+                    mine = mine.withColumn(out, F.lit(0.0))
+                    continue
+                at, others = [c for c, _ in cols], refs.where(F.col("known__").bitwiseAND(p) == both)
+                near = nearest(mine, at, others, at, 1, (), False, "least__", Mixed([s for _, s in cols]))
+                mine = near.withColumn(out, F.least(out, F.col("least__")[0]["d"])).drop("least__")
+            told = mine if told is None else told.unionByName(mine)
+        return (rows.withColumn(out, F.lit(None).cast("double")) if told is None else told).drop("known__")
 
     def between(self, ref):
         parts, known = [], []

@@ -34,25 +34,70 @@ SLACK = 1e-7  # by which bounds have to hold, for distances rounded to nine plac
 _PAIRS = 1 << 21  # distances at a time
 
 
+class Euclidean:
+    """Distances of points of which each coordinate's difference is divided by a scale (1 if none is told)."""
+
+    def __init__(self, scale: list[float] | None = None):
+        self.scale = scale
+
+    def _of(self, c: int) -> float:
+        return 1.0 if self.scale is None else self.scale[c]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """From each row of x to each of y; differences are taken first, so that equal ones stay equal."""
+        total = np.zeros((len(x), len(y)))
+        for c in range(x.shape[1]):
+            one = (x[:, c, None] - y[None, :, c]) / self._of(c)
+            total += one * one
+        return np.sqrt(total)
+
+    def widths(self, x: np.ndarray) -> np.ndarray:
+        return np.array([np.ptp(x[:, c]) / self._of(c) for c in range(x.shape[1])])
+
+    def centre(self, x: np.ndarray) -> np.ndarray:
+        return x.mean(axis=0)
+
+
+class Mixed:
+    """The mean of scaled absolute differences, and of mismatches where the scale is None."""
+
+    def __init__(self, scale: list[float | None]):
+        self.scale = scale
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), len(y)))
+        for c, s in enumerate(self.scale):
+            a, b = x[:, c, None], y[None, :, c]
+            total += a != b if s is None else np.abs(a - b) / s
+        return total / len(self.scale)
+
+    def widths(self, x: np.ndarray) -> np.ndarray:
+        return np.array([float(np.ptp(x[:, c]) > 0) if s is None else np.ptp(x[:, c]) / s for c, s in enumerate(self.scale)])
+
+    def centre(self, x: np.ndarray) -> np.ndarray:
+        """Any point will do; of what can't be averaged, a middle value."""
+        return np.array([np.sort(x[:, c])[len(x) // 2] if s is None else x[:, c].mean() for c, s in enumerate(self.scale)])
+
+
 def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pivots(points: DataFrame) -> np.ndarray:
+def pivots(points: DataFrame, metric: Euclidean | Mixed = Euclidean()) -> np.ndarray:
     """PIVOTS points, each the farthest from those before it, of SAMPLE points chosen by hash."""
     got = points.select("at").orderBy(F.xxhash64("at"), "at").limit(SAMPLE).collect()
     x = np.unique(np.array([r["at"] for r in got], float), axis=0)
     if len(x) <= PIVOTS:
         return x
-    far, out = ((x - x.mean(axis=0)) ** 2).sum(axis=1), []
+    far, out = metric.apart(x, metric.centre(x)[None])[:, 0], []
     for _ in range(PIVOTS):
         out.append(int(np.argmax(far)))
-        apart = ((x - x[out[-1]]) ** 2).sum(axis=1)
+        apart = metric.apart(x, x[out[-1]][None])[:, 0]
         far = apart if len(out) == 1 else np.minimum(far, apart)
     return x[out]
 
 
-def _cut(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+def _cut(x: np.ndarray, size: int, metric: Euclidean | Mixed) -> Iterator[np.ndarray]:
     """Indices of the rows of x in compact groups of size rows at most: halves along the widest coordinate."""
     left = [np.arange(len(x))]
     while left:
@@ -60,13 +105,13 @@ def _cut(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
         if len(own) <= size:
             yield own
             continue
-        wide = int(np.argmax(np.ptp(x[own], axis=0)))
+        wide = int(np.argmax(metric.widths(x[own])))
         half = len(own) // 2
         order = np.argpartition(x[own, wide], half)
         left += [own[order[:half]], own[order[half:]]]
 
 
-def balls(points: DataFrame, at: np.ndarray, size: int, name: str = "ball") -> DataFrame:
+def balls(points: DataFrame, at: np.ndarray, size: int, metric: Euclidean | Mixed = Euclidean()) -> DataFrame:
     """Rows (ball, centre, radius, n, x, more), from rows (at array, more array): all points in balls of size points at most, written once."""
     width = at.shape[1]
 
@@ -76,8 +121,8 @@ def balls(points: DataFrame, at: np.ndarray, size: int, name: str = "ball") -> D
             cell, near = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
             step = max(1, _PAIRS // max(1, len(at)))
             for i in range(0, len(x), step):
-                apart = ((x[i : i + step, None, :] - at[None, :, :]) ** 2).sum(axis=2)
-                cell[i : i + step], near[i : i + step] = apart.argmin(axis=1), np.sqrt(apart.min(axis=1))
+                apart = metric.apart(x[i : i + step], at)
+                cell[i : i + step], near[i : i + step] = apart.argmin(axis=1), apart.min(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("more"), pa.array(cell), pa.array(near)], ["at", "more", "cell", "near"])
 
     def packed(batches):
@@ -92,10 +137,10 @@ def balls(points: DataFrame, at: np.ndarray, size: int, name: str = "ball") -> D
             cells = got.column("cell").to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]))
             for a, b in zip(edges, edges[1:]):
-                for own in _cut(x[a:b], size):
+                for own in _cut(x[a:b], size, metric):
                     points = x[a:b][own]
-                    centre = points.mean(axis=0)
-                    radius = float(np.sqrt(((points - centre) ** 2).sum(axis=1).max()))
+                    centre = metric.centre(points)
+                    radius = float(metric.apart(points, centre[None]).max())
                     yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + count]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([len(own)], pa.int64()), pa.array([points.tobytes()], pa.binary()), pa.array([more[a:b][own].tobytes()], pa.binary())], ["ball", "centre", "radius", "n", "x", "more"])
                     count += 1
 
@@ -114,7 +159,7 @@ def balls(points: DataFrame, at: np.ndarray, size: int, name: str = "ball") -> D
     return checkpointed(dealt.mapInArrow(packed, "ball bigint, centre array<double>, radius double, n bigint, x binary, more binary"))
 
 
-def needed(own: DataFrame, met: DataFrame, k: int) -> DataFrame:
+def needed(own: DataFrame, met: DataFrame, k: int, metric: Euclidean | Mixed = Euclidean()) -> DataFrame:
     """Rows (ball, other, low): the balls of references that a ball of rows may need, with the least distance between them."""
     facts = met.select("ball", "centre", "radius", "n").toPandas()  # BALLS rows at most
     names, n = facts["ball"].to_numpy(np.int64), facts["n"].to_numpy(np.int64)
@@ -127,7 +172,7 @@ def needed(own: DataFrame, met: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             mine, reach = np.array(batch.column("centre").to_pylist(), float), batch.column("radius").to_numpy()
             for i, ball in enumerate(batch.column("ball").to_pylist()):
-                apart = np.sqrt(((centre - mine[i]) ** 2).sum(axis=1))
+                apart = metric.apart(centre, mine[i][None])[:, 0]
                 high = apart + radius + reach[i]
                 few = np.argpartition(high, first)[: first + 1]
                 few = few[np.argsort(high[few])]
@@ -142,24 +187,20 @@ def needed(own: DataFrame, met: DataFrame, k: int) -> DataFrame:
 class _Best:
     """The k nearest references of each row of a ball so far: distances, then more values of the references; the first of these breaks ties if ordered."""
 
-    def __init__(self, x: np.ndarray, k: int, width: int, ordered: bool):
-        self.x, self.k, self.ordered = x, k, ordered
+    def __init__(self, x: np.ndarray, k: int, width: int, ordered: bool, metric: Euclidean | Mixed = Euclidean()):
+        self.x, self.k, self.ordered, self.metric = x, k, ordered, metric
         self.near = np.full((len(x), k), np.inf)
         self.more = np.full((len(x), k, width), np.nan)
 
     def meet(self, centre: np.ndarray, radius: float, x: np.ndarray, more: np.ndarray) -> None:
-        low = np.sqrt(((self.x - centre) ** 2).sum(axis=1)) - radius
+        low = self.metric.apart(self.x, centre[None])[:, 0] - radius
         rows = np.flatnonzero(low <= self.near[:, -1] * (1 + SLACK) + SLACK)
         step = max(1, _PAIRS // len(x))
         for i in range(0, len(rows), step):
             self._merge(rows[i : i + step], x, more)
 
     def _merge(self, rows: np.ndarray, x: np.ndarray, more: np.ndarray) -> None:
-        total = np.zeros((len(rows), len(x)))
-        for c in range(x.shape[1]):
-            apart = self.x[rows, c][:, None] - x[None, :, c]
-            total += apart * apart
-        near = np.sqrt(total)
+        near = self.metric.apart(self.x[rows], x)
         if self.ordered:
             near = np.round(near, 9)
         elif self.k == 1:
@@ -184,17 +225,18 @@ class _Best:
         self.more[rows[at[kept]], rank[kept]] = m[kept]
 
 
-def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Column], k: int = 1, carry: tuple[str, ...] = (), ordered: bool = False, out: str = "near") -> DataFrame:
+def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Column], k: int = 1, carry: tuple[str, ...] = (), ordered: bool = False, out: str = "near", metric: Euclidean | Mixed = Euclidean()) -> DataFrame:
     """rows with an array out of structs (d, carried columns as double) of the k nearest references, nearest first.
 
-    Euclidean distance of the coordinates, which are never null. carry names
-    numeric columns of refs. With ordered, distances are rounded to nine places
-    and ties go by the first carried column; otherwise any of the equally near.
-    Fewer references than k give shorter arrays, none an empty one.
+    Distance of the coordinates, which are never null, by the metric. carry
+    names numeric columns of refs. With ordered, distances are rounded to nine
+    places and ties go by the first carried column; otherwise any of the equally
+    near. Fewer references than k give shorter arrays, none an empty one. Rows of
+    equal coordinates are met once.
     """
     width = len(carry)
-    numbered = checkpointed(rows.withColumn("row__", F.monotonically_increasing_id()))
-    points = numbered.select(F.array(*(c.cast("double") for c in at)).alias("at"), F.array(F.col("row__").cast("double")).alias("more"))
+    rows = checkpointed(rows.withColumn("at__", F.array(*(c.cast("double") for c in at))))
+    points = rows.select(F.col("at__").alias("at"), F.array(F.lit(0.0)).alias("more")).dropDuplicates(["at"])
     told = refs.select(F.array(*(c.cast("double") for c in ref_at)).alias("at"), F.array(*(F.col(c).cast("double") for c in carry), F.lit(0.0)).alias("more"))
     if k == 1 and not carry:
         told = told.dropDuplicates(["at"])
@@ -202,11 +244,11 @@ def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Col
     count = told.count()
     kind = ", ".join(["d: double", *(f"{c}: double" for c in carry)])
     if not count:
-        return rows.withColumn(out, F.array().cast(f"array<struct<{kind}>>"))
-    centres = pivots(told)
-    met = balls(told, centres, max(BLOCK, -(-4 * count // BALLS)))  # balls are half full at least, but for the last of a cell
-    own = balls(points, centres, BLOCK)
-    pairs = needed(own, met, k).withColumnRenamed("other", "met")
+        return rows.drop("at__").withColumn(out, F.array().cast(f"array<struct<{kind}>>"))
+    centres = pivots(told, metric)
+    met = balls(told, centres, max(BLOCK, -(-4 * count // BALLS)), metric)  # balls are half full at least, but for the last of a cell
+    own = balls(points, centres, BLOCK, metric)
+    pairs = needed(own, met, k, metric).withColumnRenamed("other", "met")
     others = met.select(F.col("ball").alias("met"), "centre", "radius", "x", "more")
     sent = pairs.join(others, "met").drop("met")
     first = own.select("ball", F.lit(-1.0).alias("low"), "centre", "radius", "x", "more")
@@ -214,30 +256,31 @@ def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Col
     dim = len(at)
 
     def run(batches):
-        ball, best, ids = None, None, None
+        ball, best = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 x = np.frombuffer(batch.column("x")[i].as_buffer()).reshape(-1, dim)
                 more = np.frombuffer(batch.column("more")[i].as_buffer()).reshape(len(x), -1)
                 if batch.column("ball")[i].as_py() != ball:
                     if best is not None:
-                        yield ended(ids, best)
-                    ball, ids, best = batch.column("ball")[i].as_py(), more[:, 0], _Best(x, k, max(width, 1), ordered)
+                        yield ended(best)
+                    ball, best = batch.column("ball")[i].as_py(), _Best(x, k, max(width, 1), ordered, metric)
                 else:
                     best.meet(np.array(batch.column("centre")[i].as_py()), batch.column("radius")[i].as_py(), x, more[:, : max(width, 1)])
         if best is not None:
-            yield ended(ids, best)
+            yield ended(best)
 
-    def ended(ids, best):
+    def ended(best):
         n = np.isfinite(best.near).sum(axis=1)
         kept = np.isfinite(best.near)
         offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
         values = [best.near[kept], *(best.more[:, :, c][kept] for c in range(width))]
         struct = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in values], ["d", *carry])
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.ListArray.from_arrays(offsets, struct)], ["row__", out])
+        places = pa.ListArray.from_arrays(pa.array(np.arange(len(best.x) + 1, dtype=np.int32) * dim), pa.array(best.x.reshape(-1)))
+        return pa.RecordBatch.from_arrays([places, pa.ListArray.from_arrays(offsets, struct)], ["at__", out])
 
-    got = both.mapInArrow(run, f"row__ bigint, {out} array<struct<{kind}>>")
-    return numbered.join(got, "row__").drop("row__")
+    got = both.mapInArrow(run, f"at__ array<double>, {out} array<struct<{kind}>>")
+    return rows.join(got, "at__").drop("at__")
 
 
 def over_all(rows: DataFrame, own: list[Column], refs: DataFrame, ref_own: list[Column], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], out: str, size: int = 16_384) -> DataFrame:
