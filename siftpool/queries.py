@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftpool.functions import metrics as M
-from siftpool.functions.frames import anti, by_key, semi, top
+from siftpool.functions.frames import anti, by_key, checkpointed, semi, top
 from siftpool.functions.metrics import Tracker
 from siftpool.functions.resampling import holdout, window_folds
 from siftpool.operators import acquisition as acq
@@ -128,8 +128,13 @@ def dist_gower_modes(spark, sf_dir):
     c, out = table(spark, sf_dir, "customer"), None
     space = CUSTOMER.select(["c_acctbal", "c_nationkey"])
     refs = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey"))
+    told: dict[tuple, DataFrame] = {}  # by scales, which two modes share where there is a pool
     for mode in Gower.MODES:
-        one = Gower(mode).fit(c, space).set_references(refs).nearest(c).select(F.lit(mode).alias("scale"), "c_custkey", r6("distance"))
+        dist = Gower(mode).fit(c, space).set_references(refs)
+        scales = tuple(dist.spread.items())
+        if scales not in told:
+            told[scales] = checkpointed(dist.nearest(c).select("c_custkey", r6("distance")))
+        one = told[scales].select(F.lit(mode).alias("scale"), "c_custkey", "distance")
         out = one if out is None else out.unionByName(one)
     return out
 
