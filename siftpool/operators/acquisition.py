@@ -121,15 +121,15 @@ class GSy(Acquisition):
 
 
 def _sums(tolerance: float):
-    """Exact matches, their residuals, the largest log weight, and sums relative to it, of a block of squared distances."""
+    """Exact matches, their residuals, the largest log weight, and sums relative to it, of a block of squared distances; y: outputs, and how many references are like that."""
 
     def of(d2: np.ndarray, mean: np.ndarray, y: np.ndarray) -> np.ndarray:
-        exact, res = d2 <= tolerance, (mean - y.T) ** 2
+        exact, res, n = d2 <= tolerance, (mean - y[:, :1].T) ** 2, y[:, 1]
         with np.errstate(divide="ignore"):
             lw = np.where(exact, -1e308, -d2 - np.log(d2))
         m = lw.max(axis=1)
-        w = np.where(exact, 0.0, np.exp(lw - m[:, None]))
-        return np.column_stack([exact.sum(axis=1), np.where(exact, res, 0.0).sum(axis=1), m, w.sum(axis=1), (w * res).sum(axis=1)])
+        w = np.where(exact, 0.0, np.exp(lw - m[:, None]) * n)
+        return np.column_stack([(exact * n).sum(axis=1), np.where(exact, res * n, 0.0).sum(axis=1), m, w.sum(axis=1), (w * res).sum(axis=1)])
 
     return of
 
@@ -186,7 +186,7 @@ class Ideal(DistanceAcquisition):
     def begin(self, cands, out="score"):
         self._refs()
         if self.distance.geometric:
-            cands = self.distance.over_references(cands, "ideal_sums", _sums(self.tolerance), _added, ["n", "e", "m", "s", "r"], ("mean",))
+            cands = self.distance.over_references(cands, "ideal_sums", _sums(self.tolerance), _added, ["n", "e", "m", "s", "r"], ("mean",), counted=True)
         else:
             cands = self.distance.fold(cands, "ideal_sums", self._partial, self._join)
         if self.omega > 0:
