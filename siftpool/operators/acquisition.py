@@ -85,7 +85,7 @@ class IGS(DistanceAcquisition):
     def score(self, cands, out="score"):
         self._refs()
         if self.distance.geometric:
-            own = self.distance.over_references(cands, "least__", lambda d2, mean, y: np.fmin.reduce(np.sqrt(d2) * np.abs(mean - y.T), axis=1), np.fmin, ["d"], ("mean",))
+            own = self.distance.over_references(cands, "least__", lambda d2, mean, y: np.fmin.reduce(np.sqrt(d2) * np.abs(mean - y[:, :1].T), axis=1), np.fmin, ["d"], ("mean",), counted=True)
             return own.withColumn(out, F.col("least__.d")).drop("least__")
         return self.distance.fold(cands, out, lambda refs: F.array_min(F.transform(refs, lambda r: self.distance.between(r) * F.abs(F.col("mean") - r["ref_y"]))), F.least)
 
