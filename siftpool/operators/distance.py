@@ -83,6 +83,38 @@ class Distance:
         """Distances of rows' stored() values and references' in arrays; squared ones if the distance is geometric."""
         raise NotImplementedError
 
+    def parts(self) -> list[float | None]:
+        """For each of stored() the scale of its differences, None where values only match or differ; 0 leaves it out."""
+        raise NotImplementedError
+
+    def between_boxes(self) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Bounds of the distances from boxes (least and largest stored() values of their points, which agree in what only matches and in what is null) to rows."""
+        scales, geometric = self.parts(), self.geometric
+
+        def bounds(lo: np.ndarray, hi: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            low, high, known = (np.zeros((len(lo), len(rows))) for _ in range(3))
+            for k, s in enumerate(scales):
+                if s is not None and s <= 0:
+                    continue
+                a, b, x = lo[:, k, None], hi[:, k, None], rows[None, :, k]
+                if s is None:
+                    near = far = (a != x).astype(float)
+                else:
+                    near, far = np.maximum(np.maximum(a - x, x - b), 0) / s, np.maximum(x - a, b - x) / s
+                if geometric:
+                    low += near * near
+                    high += far * far
+                    continue
+                both = ~np.isnan(a) & ~np.isnan(x)
+                low += np.where(both, near, 0.0)
+                high += np.where(both, far, 0.0)
+                known += both
+            if geometric:
+                return np.sqrt(low), np.sqrt(high)
+            return low / np.maximum(known, 1), high / np.maximum(known, 1)
+
+        return bounds
+
     def over_references(self, rows: DataFrame, out: str, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], extra: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
         """rows with a struct out: kernel(distances of rows and a block of references, squared if geometric, the rows' extra columns, the references' carried columns), blocks put together by join(); null without references.
 
@@ -162,6 +194,9 @@ class Geometry(Distance):
         """The values themselves, as their differences are exact where those of an embedding are rounded."""
         return [F.coalesce(F.nanvl(v, F.lit(m)), F.lit(m)) if s > 0 else F.lit(0.0) for v, m, s in self.axes()]
 
+    def parts(self):
+        return [s for _, _, s in self.axes()]
+
     def scales(self) -> list[float]:
         return [s if s > 0 else 1.0 for _, _, s in self.axes()]
 
@@ -328,6 +363,9 @@ class Gower(Distance):
             out.append(F.when(F.col(p.id).isNotNull(), code).cast("double"))
         return out
 
+    def parts(self):
+        return [self.spread[p.id] if p.numeric else None for p in self.space.params]
+
     def kernel(self):
         spreads = [self.spread[p.id] if p.numeric else None for p in self.space.params]
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftpool.functions.frames import anti, by_key, checkpointed, few, seeded
 from siftpool.operators.design import lhs_design, random_design, sobol_design
-from siftpool.operators.distance import Distance, Geometry, Gower, distance
+from siftpool.operators.distance import NEAR, Distance, Geometry, Gower, distance
+from siftpool.operators.nearest import tasks
 from siftpool.operators.profiles import GowerProfiles
 from siftpool.space import Space
 
 CHECKPOINT = 8  # steps of a loop between checkpoints
+CELLS = 2048  # boxes of candidates, about, and candidates that are compared with all rows
 
 
 class SamplerError(ValueError):
@@ -327,8 +330,11 @@ class RelationalKMeans(KMeans):
 class KMedoids(Sampler):
     """Partitioning around medoids: greedy building, then the best exchange while one lowers the cost; known rows are medoids that stay.
 
-    The cost of a candidate is a sum over all rows, so each step compares the
-    pool with itself, in blocks of bounded size; no matrix is kept. Rows carry
+    The cost of a candidate is a sum over all rows. Up to NEAR rows, a step compares
+    the pool with itself. Beyond, boxes of candidates meet all rows first: those
+    whose least possible cost is above the largest possible one of another are
+    left out, the others are cut smaller, and what remains is compared with all
+    rows in blocks of bounded size; no matrix is kept. Rows carry
     their distances to the nearest and the second nearest medoid and which the
     nearest is: one pass then gives the cost of every exchange of a medoid and a
     candidate.
@@ -346,19 +352,83 @@ class KMedoids(Sampler):
         plain = (lambda apart, _, y: kernel(np.sqrt(apart), y)) if d.geometric else (lambda apart, _, y: kernel(apart, y))
         return d.over_references(cands, "sums", plain, np.add, names)
 
+    def _hopeful(self, cands: DataFrame, rows: DataFrame, carry: list[str], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> DataFrame:
+        """The candidates that may have the least of one of kernel()'s n sums, none of which falls as a distance grows."""
+        if few(rows, NEAR):
+            return cands
+        d, bounds, level = self.distance, self.distance.between_boxes(), 0
+        parts, ids = d.parts(), cands.columns
+        width = len(parts)
+        at = [F.nanvl(c.cast("double"), F.lit(None).cast("double")) for c in d.stored()]
+        own = rows.select(*(c.alias(f"at{k}__") for k, c in enumerate(at)), *(F.col(c).cast("double").alias(c) for c in carry))
+        own = checkpointed(own.repartition(tasks(rows)))
+        left = checkpointed(cands.withColumns({f"at{k}__": c for k, c in enumerate(at)}))
+        span = left.agg(*(f(f"at{k}__").alias(f"{n}{k}") for k in range(len(at)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+        def cell(level: int) -> Column:
+            out = []
+            for k, s in enumerate(parts):
+                v, wide = F.col(f"at{k}__"), (span[f"hi{k}"] or 0.0) - (span[f"lo{k}"] or 0.0)
+                if s is None:
+                    out.append(v)
+                elif wide > 0:
+                    out.append(F.floor((v - F.lit(span[f"lo{k}"])) / F.lit(wide / 2.0**level)).cast("double"))
+                else:
+                    out.append(v * 0.0)
+            return F.array(*(F.coalesce(c, F.lit(-1e300)) for c in out))
+
+        while left.limit(CELLS + 1).count() > CELLS and level < 40:
+            sizes = left.agg(*(F.approx_count_distinct(cell(level + i)).alias(str(i)) for i in range(1, 7))).first()
+            if sizes["1"] > 16 * CELLS:  # boxes of many columns or levels tell too little
+                break
+            level += max([1, *(i for i in range(1, 7) if sizes[str(i)] <= CELLS)])
+            boxes = left.groupBy(cell(level).alias("cell__")).agg(*(f(f"at{k}__").cast("double").alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(len(at)))).toPandas()  # 16 CELLS, about, at most
+            ends = boxes.drop(columns="cell__").to_numpy(float).reshape(len(boxes), 2, len(at))
+            sent = rows.sparkSession.sparkContext.broadcast(ends)
+
+            def run(batches, sent=sent):
+                ends = sent.value
+                total = np.zeros((len(ends), 2, n))
+                for batch in batches:
+                    x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                    for a in range(0, len(x), 2048):
+                        y = x[a : a + 2048]
+                        for b in range(0, len(ends), 256):
+                            for side, apart in enumerate(bounds(ends[b : b + 256, 0], ends[b : b + 256, 1], y[:, :width])):
+                                total[b : b + 256, side] += kernel(apart, y[:, width:]).reshape(-1, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["slot", "v"])
+
+            got = own.mapInArrow(run, "slot bigint, v double").groupBy("slot").agg(F.sum("v").alias("v")).toPandas()
+            total = np.zeros(ends.shape[0] * 2 * n)
+            total[got["slot"]] = got["v"]
+            low, high = total.reshape(-1, 2, n)[:, 0], total.reshape(-1, 2, n)[:, 1].min(axis=0)
+            kept = (low <= high + 1e-6 + 1e-9 * np.abs(high)).any(axis=1)
+            told = rows.sparkSession.createDataFrame([(list(map(float, c)),) for c in boxes["cell__"][kept]], "cell__ array<double>")
+            left = checkpointed(left.withColumn("cell__", cell(level)).join(F.broadcast(told), "cell__").drop("cell__"))
+        return left.select(*ids)
+
     def _costs(self, cands: DataFrame, rows: DataFrame) -> DataFrame:
-        """cands with the cost that each would bring as a further medoid: rows carry their distance to the medoids there are in base."""
-        return self._summed(cands, rows, ["base"], lambda d, y: np.fmin(d, y[None, :, 0]).sum(axis=1), ["cost"]).withColumn("cost", F.col("sums.cost")).drop("sums")
+        """cands with the cost that each would bring as a further medoid: rows carry their distance to the medoids there are in base. Those that can't be the least may be left out."""
+
+        def kernel(d: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.fmin(d, y[None, :, 0]).sum(axis=1)
+
+        return self._summed(self._hopeful(cands, rows, ["base"], kernel, 1), rows, ["base"], kernel, ["cost"]).withColumn("cost", F.col("sums.cost")).drop("sums")
 
     def _exchanges(self, cands: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-        """cands with the costs of exchanging each of n medoids for them: rows carry first, second and owner."""
+        """cands with the costs of exchanging each of n medoids for them: rows carry first, second and owner. Those that can't be the least may be left out."""
 
         def kernel(d: np.ndarray, y: np.ndarray) -> np.ndarray:
             one = np.fmin(d, y[None, :, 0])
             more = np.fmin(d, y[None, :, 1]) - one  # if the nearest medoid goes
             return np.column_stack([one.sum(axis=1), *(more[:, y[:, 2] == k].sum(axis=1) for k in range(n))])
 
-        told = self._summed(cands, rows, ["first", "second", "owner"], kernel, ["all", *(f"x{k}" for k in range(n))])
+        def each(d: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = kernel(d, y)
+            return out[:, :1] + out[:, 1:]
+
+        carry = ["first", "second", "owner"]
+        told = self._summed(self._hopeful(cands, rows, carry, each, n), rows, carry, kernel, ["all", *(f"x{k}" for k in range(n))])
         return told.select(*cands.columns, *((F.col("sums.all") + F.col(f"sums.x{k}")).alias(f"cost{k}") for k in range(n)))
 
     def _near(self, rows: DataFrame, picked: list[dict]) -> DataFrame:
