@@ -110,6 +110,13 @@ def _grid(archive: DataFrame, grid: DataFrame | None, space: Space | None) -> Da
     return lhs_design(archive.sparkSession, space, 100)
 
 
+def variances(archive: DataFrame, surrogate: Surrogate, space: Space, grid: DataFrame | None = None) -> tuple[float, float, float]:
+    """The mean, maximal and integrated variance of one prediction."""
+    square = F.col("se") * F.col("se")
+    mean, most = surrogate.predict(_grid(archive, grid, space)).agg(F.avg(square), F.max(square)).first()
+    return mean, most, None if mean is None else mean * space.volume()
+
+
 def mean_variance(archive: DataFrame, surrogate: Surrogate, grid: DataFrame | None = None, space: Space | None = None, **_) -> float:
     return surrogate.predict(_grid(archive, grid, space)).agg(F.avg(F.col("se") * F.col("se"))).first()[0]
 

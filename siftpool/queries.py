@@ -748,8 +748,8 @@ def metrics_model_fit(spark, sf_dir):
 def metrics_variance(spark, sf_dir):
     archive, asked = _near(spark, sf_dir)
     model = NearestNeighbours(5).fit(archive, SUPPLIER, "y")
-    got = (M.mean_variance(archive, model, asked), M.max_variance(archive, model, asked), M.integrated_variance(archive, model, SUPPLIER, asked) / 1e6)
-    return spark.createDataFrame([got], "a double, b double, c double").select(F.round("a", 2).alias("mean_variance"), F.round("b", 2).alias("max_variance"), F.round("c", 2).alias("integrated"))
+    mean, most, whole = M.variances(archive, model, SUPPLIER, asked)
+    return spark.createDataFrame([(mean, most, whole / 1e6)], "a double, b double, c double").select(F.round("a", 2).alias("mean_variance"), F.round("b", 2).alias("max_variance"), F.round("c", 2).alias("integrated"))
 
 
 @query("WITH d AS (SELECT event_type, date_trunc('day', ts) batch, min(value) lo, max(value) hi, count(*) n FROM events GROUP BY ALL) SELECT event_type, strftime(batch, '%Y-%m-%d') batch, min(lo) OVER w best_y, max(hi) OVER w worst_y, (sum(n) OVER w)::BIGINT n_evals FROM d WINDOW w AS (PARTITION BY event_type ORDER BY batch)")
