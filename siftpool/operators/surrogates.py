@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpool.functions.frames import by_key, checkpointed, few
-from siftpool.operators.distance import Distance, Standardize, distance
-from siftpool.operators.nearest import nearest
+from siftpool.operators.distance import NEAR, Distance, Standardize, distance
+from siftpool.operators.nearest import Euclidean, nearest
 from siftpool.space import Space
 
 
@@ -141,9 +141,9 @@ class NearestNeighbours(Surrogate):
     def _blocked(self, rows: DataFrame) -> DataFrame:
         """The same for few references, sent to all tasks in the order of their ids; more are met by pivots."""
         k, d = self.k, self.distance
-        if not few(d.references):
+        if not few(d.references, NEAR):
             refs = placed(d.references, [*self.ids, "ref_y"])
-            own = nearest(rows, d.coordinates(), refs, d.coordinates(), k, ("place", "ref_y"), True)
+            own = nearest(rows, d.stored(), refs, d.stored(), k, ("place", "ref_y"), True, "near", Euclidean(d.scales()))
             return own.withColumn("near", F.transform("near", lambda x: x["ref_y"]))
 
         def first(d2: np.ndarray, _, y: np.ndarray) -> np.ndarray:
