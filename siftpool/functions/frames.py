@@ -65,6 +65,11 @@ def top(df: DataFrame, score: str, n: int, ids: list[str]) -> DataFrame:
     return ranked.orderBy(F.desc(score), *by_key(ids)).limit(n)
 
 
+def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join of two large frames that sends neither whole through the driver: checkpointed frames are thought as small as the compressed files that they came from, and would be broadcast."""
+    return left.join(right.hint("merge"), key)
+
+
 def seeded(seed: int | str, ids: Iterable[str]) -> Column:
     """A key that orders rows at random but the same everywhere: MD5 of the seed and the ids as text."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids)))

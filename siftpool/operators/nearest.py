@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import checkpointed
+from siftpool.functions.frames import checkpointed, merged
 
 BLOCK = 1024  # rows of a ball at most
 BALLS = 1 << 18  # balls of references
@@ -250,7 +250,7 @@ def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Col
     own = balls(points, centres, BLOCK, metric)
     pairs = needed(own, met, k, metric).withColumnRenamed("other", "met")
     others = met.select(F.col("ball").alias("met"), "centre", "radius", "x", "more")
-    sent = pairs.join(others, "met").drop("met")
+    sent = merged(pairs, others, "met").drop("met")
     first = own.select("ball", F.lit(-1.0).alias("low"), "centre", "radius", "x", "more")
     both = first.unionByName(sent).repartition(tasks(rows), "ball").sortWithinPartitions("ball", "low")
     dim = len(at)
@@ -280,7 +280,7 @@ def nearest(rows: DataFrame, at: list[Column], refs: DataFrame, ref_at: list[Col
         return pa.RecordBatch.from_arrays([places, pa.ListArray.from_arrays(offsets, struct)], ["at__", out])
 
     got = both.mapInArrow(run, f"at__ array<double>, {out} array<struct<{kind}>>")
-    return rows.join(got, "at__").drop("at__")
+    return merged(rows, got, "at__").drop("at__")
 
 
 def over_all(rows: DataFrame, own: list[Column], refs: DataFrame, ref_own: list[Column], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str], out: str, size: int = 16_384) -> DataFrame:
@@ -338,4 +338,4 @@ def over_all(rows: DataFrame, own: list[Column], refs: DataFrame, ref_own: list[
     partial = a.crossJoin(b).mapInArrow(met, "block bigint, ids binary, v binary")  # blocks by blocks
     partial = partial.repartition(tasks(rows), "block").sortWithinPartitions("block")
     got = partial.mapInArrow(joined, f"block_row__ bigint, {out} struct<{', '.join(f'{n}: double' for n in names)}>")
-    return numbered.join(got, "block_row__").drop("block_row__")
+    return merged(numbered, got, "block_row__").drop("block_row__")

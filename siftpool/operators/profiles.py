@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.functions.frames import checkpointed
+from siftpool.functions.frames import checkpointed, merged
 from siftpool.operators.distance import Gower
 from siftpool.operators.surrogates import placed
 
@@ -268,4 +268,4 @@ class GowerProfiles:
                 strips_of = own.where(F.col(f"at{f}__").isNotNull()).withColumn("strip__", F.expr(f"place{f}__ div {size}"))
                 parts = parts.unionByName(strips_of.groupBy("strip__").applyInArrow(strip_of(f), schema))
         added = parts.groupBy("row__").agg(*(F.sum(c).alias(c) for c in names)).select("row__", F.array(*names).alias("sums__"))
-        return told.join(added, "row__")
+        return merged(told, added, "row__")

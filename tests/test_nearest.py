@@ -124,3 +124,15 @@ def test_null_and_nan_coordinates_are_the_middle(spark, many):
     d = Affine().fit(refs, BOX).set_references(refs)
     odd = spark.createDataFrame([(None, 0.5), (float("nan"), 0.5), (0.2, None)], "a double, b double")
     assert all(r.distance is not None and r.distance < 0.5 for r in d.nearest(odd).collect())
+
+
+def test_rows_are_not_broadcast_to_their_neighbours(spark, small):
+    """Checkpointed frames seem as small as their files: all rows would go through the driver."""
+    rng = np.random.default_rng(8)
+    at = [F.col("a"), F.col("b")]
+    got = nearest(frame(spark, rng.random((500, 2))), at, frame(spark, rng.random((300, 2))), at, 3, ("y",), True)
+    assert len(got.collect()) == 500
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    sums = metric.over_all(frame(spark, rng.random((500, 2))), at, frame(spark, rng.random((300, 2))), at, lambda x, y: np.full((len(x), 1), float(len(y))), np.add, ["n"], "told")
+    assert {r.told.n for r in sums.collect()} == {300.0}
+    assert "BroadcastHashJoin" not in sums._jdf.queryExecution().executedPlan().toString()
