@@ -296,35 +296,66 @@ class RelationalKMeans(KMeans):
         if n == 1:
             return super()._centres(n, rows)
         data = checkpointed(rows.select(F.array(*self.distance.embedding()).alias("x")))
-        dim, best = self.distance.dimension, None
-
-        def squared(c):
-            return F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
-
+        points, centres, cost = checkpointed(data.distinct()), [], [None] * self.starts
         for s in range(self.starts):
-            start = data.distinct().orderBy(F.xxhash64("x", F.lit(self.seed + s))).limit(n).collect()
+            start = points.orderBy(F.xxhash64("x", F.lit(self.seed + s)), "x").limit(n).collect()
             if len(start) < n:
                 raise SamplerError("more centres than distinct points")
-            centres, cost = [[float(v) for v in r.x] for r in start], None
-            for _ in range(self.steps):
-                near = F.array_min(F.array(*(F.struct(F.round(squared(c), 12).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres))))
-                told = data.withColumn("near", near)
-                got = told.groupBy("near.k").agg(*(F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(dim)), F.sum("near.d").alias("cost")).collect()
-                new = list(centres)
-                for r in got:
-                    new[r["k"]] = [r[f"m{j}"] for j in range(dim)]
-                lost = sorted(set(range(n)) - {r["k"] for r in got})
+            centres.append([[float(v) for v in r.x] for r in start])
+        moving = list(range(self.starts))
+        for _ in range(self.steps):
+            told, left = _lloyd(data, {s: centres[s] for s in moving}), []
+            for s in moving:
+                new, lost, total = list(centres[s]), [k for k in range(n) if (s, k) not in told], sum(v[2] for (t, _), v in told.items() if t == s)
+                for k in range(n):
+                    if k not in lost:
+                        size, sums, _ = told[s, k]
+                        new[k] = [v / size for v in sums]
                 if lost:
-                    worst = told.orderBy(F.desc("near.d"), "x").limit(len(lost)).collect()
-                    for k, r in zip(lost, worst):
+                    far = F.array_min(F.array(*(F.round(_squared(c), 12) for c in centres[s])))
+                    for k, r in zip(lost, data.withColumn("far", far).orderBy(F.desc("far"), "x").limit(len(lost)).collect()):
                         new[k] = [float(v) for v in r.x]
-                total = sum(r["cost"] for r in got)
-                if np.allclose(new, centres, atol=1e-9) and not lost:
-                    break
-                centres, cost = new, total
-            if best is None or (cost or 0.0) < best[0] - 1e-12:
-                best = (cost or 0.0, centres)
-        return sorted(best[1])
+                if np.allclose(new, centres[s], atol=1e-9) and not lost:
+                    cost[s] = total if cost[s] is None else cost[s]
+                    continue
+                centres[s], cost[s] = new, total
+                left.append(s)
+            moving = left
+            if not moving:
+                break
+        best = 0
+        for s in range(1, self.starts):
+            if (cost[s] or 0.0) < (cost[best] or 0.0) - 1e-12:
+                best = s
+        return sorted(centres[best])
+
+
+def _squared(c: list[float]) -> Column:
+    """Squared distance of an array x to a centre."""
+    return F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+
+
+def _lloyd(data: DataFrame, centres: dict[int, list[list[float]]]) -> dict[tuple[int, int], tuple[int, list[float], float]]:
+    """For each start and each of its centres that is the nearest of some rows of data (x array): their number, their sums and their squared distances' sum; one job for all starts."""
+    at = {s: np.array(c, float) for s, c in centres.items()}
+    dim = len(next(iter(at.values()))[0])
+
+    def run(batches):
+        told = {s: np.zeros((len(c), dim + 2)) for s, c in at.items()}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            for s, c in at.items():
+                apart = np.zeros((len(x), len(c)))
+                for j in range(dim):
+                    apart += (x[:, j, None] - c[None, :, j]) ** 2
+                apart = np.round(apart, 12)
+                near = apart.argmin(axis=1)
+                told[s] += np.column_stack([np.bincount(near, w, len(c)) for w in (np.ones(len(x)), *x.T, apart[np.arange(len(x)), near])])
+        got = [(s, k, v.tolist()) for s, t in told.items() for k, v in enumerate(t) if v[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.int32()), pa.array([r[1] for r in got], pa.int32()), pa.array([r[2] for r in got], pa.list_(pa.float64()))], ["s", "k", "v"])
+
+    parts = data.mapInArrow(run, "s int, k int, v array<double>").groupBy("s", "k").agg(*(F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(dim + 2)))
+    return {(r.s, r.k): (int(r.v0), list(r[3:-1]), r[-1]) for r in parts.collect()}  # starts x centres at most
 
 
 class KMedoids(Sampler):

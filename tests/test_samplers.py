@@ -41,6 +41,18 @@ def test_kmeans(spark):
     assert got[0] == got[1] == [(0.0, 0.0), (10.0, 10.0)]
 
 
+def test_relational_kmeans_moves_all_starts_in_one_job(spark):
+    """Steps of each start by itself are as many small jobs as there are starts, times the steps."""
+    rows = spark.createDataFrame([((37.0 * i) % 101 / 10.1,) for i in range(101)], "x double").repartition(2).localCheckpoint()
+    jobs = []
+    for starts in (2, 10):
+        spark.sparkContext.setJobGroup(f"starts{starts}", "")
+        assert len(sampler("relational_kmeans", starts=starts).sample(4, X, rows).collect()) == 4
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts{starts}")))
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs[1] - jobs[0] < 60, jobs
+
+
 def test_relational_kmeans_on_mixed_columns(spark):
     """The best of all partitions into two, by brute force; known rows count but are not picked."""
     space = Space((p_dbl("x", 0, 10), p_lgl("flag")))
