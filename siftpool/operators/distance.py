@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftpool.functions.frames import arrays, beside, block, by_key, checkpointed, few, over_block
-from siftpool.operators.nearest import Euclidean, Mixed, nearest, over_all
+from siftpool.operators.nearest import Euclidean, Mixed, nearest, over_all, tasks
 from siftpool.space import Space
 
 NEAR = 4096  # references that are compared with all rows at most where the nearest is asked; more are met by balls
+PAIRS = 1 << 24  # pairs of a task, about, where all are asked
 
 
 class DistanceError(ValueError):
@@ -154,7 +155,8 @@ class Distance:
     def pairs(self, rows: DataFrame, ids: dict[str, str], out: str = "distance") -> DataFrame:
         """All pairs of a row and a reference; ids maps carried columns of the references to their names in the result."""
         self._ready()
-        frames = []
+        n = rows.count() * self.references.count()
+        rows, frames = rows.repartition(max(tasks(rows), -(-n // PAIRS))), []  # a small table is one partition, its pairs would be one task
         for refs in arrays(self.references, [*self.space.ids, *self._carried]):
             one = beside(rows, refs).withColumn("ref", F.explode("refs"))
             frames.append(one.select(*rows.columns, *(F.col(f"ref.{c}").alias(n) for c, n in ids.items()), self.between(F.col("ref")).alias(out)))

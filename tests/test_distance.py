@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftpool.operators.distance import Affine, DistanceError, Gower, Standardize, distance
 from siftpool.space import Space, p_dbl, p_fct, p_int
@@ -84,3 +85,14 @@ def test_many_references_fold_in_blocks(spark, monkeypatch):
     q = spark.createDataFrame([(3.0,), (58.0,), (250.0,)], "x double")
     got = Gower("off").fit(None, Space((p_dbl("x", 0, 300),))).set_references(refs).nearest(q).orderBy("x").collect()
     assert [r.distance for r in got] == [3, 2, 150]
+
+
+def test_pairs_of_one_partition_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A small table is one partition; its pairs grow with the square, and were one task."""
+    from siftpool.operators import distance as module
+
+    monkeypatch.setattr(module, "PAIRS", 300)
+    rows = spark.range(60).select("id", (F.col("id") * 1.5).alias("x")).coalesce(1)
+    got = Affine().fit(rows, Space((p_dbl("x"),))).set_references(rows, ("id",)).pairs(rows, {"id": "other"}).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.id, r.other): round(r.distance, 9) for r in got} == {(i, j): round(abs(i - j) * 2 / 59, 9) for i in range(60) for j in range(60)} and len(got) == 3600
+    assert len({r.task for r in got}) >= 10
