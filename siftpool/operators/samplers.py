@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftpool.functions.frames import anti, by_key, checkpointed, few, seeded
+from siftpool.functions.frames import anti, block, by_key, checkpointed, few, seeded
 from siftpool.operators.design import lhs_design, random_design, sobol_design
 from siftpool.operators.distance import NEAR, Distance, Geometry, Gower, distance
 from siftpool.operators.nearest import tasks
-from siftpool.operators.profiles import GowerProfiles
+from siftpool.operators.profiles import Computed, GowerProfiles, Stored, lists, matrix, parts, with_sums
 from siftpool.space import Space
 
 CHECKPOINT = 8  # steps of a loop between checkpoints
@@ -194,8 +195,9 @@ class RelationalKMeans(KMeans):
     less half its mean inner one is the squared distance to the cluster's mean,
     so a step is one aggregation and no matrix of distances is made. With Gower's,
     a step reads the clusters' profiles for all starts at once (GowerProfiles).
-    Up to 20,000 rows, and under further distances, rows are compared with each
-    other in blocks instead, to the same sums. Emptied clusters take the point
+    Up to NEAR rows, and under further distances, rows are compared with each
+    other in blocks instead, to the same sums. A step is three jobs: what the
+    labels count, the sums of inner distances, and the labels that follow. Emptied clusters take the point
     farthest from its cluster.
     """
 
@@ -222,27 +224,28 @@ class RelationalKMeans(KMeans):
             if len(seeds) < n:
                 raise SamplerError("more centres than distinct points")
             first.append(_least([F.pow(d.to(r.asDict()), 2) for r in seeds]))
-        profiles = GowerProfiles(rows, d) if isinstance(d, Gower) and not few(rows) else None
-        if profiles is not None and profiles.fits(n * starts):
-            rows, sums = profiles.rows, profiles.sums
-        else:
-            sums = lambda told, n, starts: self._sums(told, d, n, starts)
-        told = checkpointed(rows.withColumn("labels__", F.array(*first)))
+        source = self._compared(rows, d, n, starts)
+        told = checkpointed(source.rows.withColumns({"labels__": F.array(*(x.cast("int") for x in first)), "moved__": F.lit(0)}))
         for step in range(self.steps + 1):
-            told = checkpointed(sums(told, n, starts))
-            held = told.select(F.posexplode("labels__").alias("s", "k"), "sums__").groupBy("s", "k").agg(F.count("*").alias("size"), F.sum(F.get("sums__", F.col("s") * n + F.col("k"))).alias("inner")).collect()
-            held = {(r.s, r.k): (r["size"], r["inner"]) for r in held}
+            state, filled, moved = source.counted(told, n, starts)
+            if step and any((s, k) not in filled for s in range(starts) for k in range(n)):
+                again = checkpointed(_moving(frame, of, size, inner, n, starts, True))
+                for s in range(starts):
+                    if any((s, k) not in filled for k in range(n)):
+                        again = self._repaired(again, apart[s], s, n)
+                differ = F.aggregate(F.zip_with("new__", "labels__", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x)
+                told = checkpointed(again.withColumn("moved__", differ).drop("labels__", "sums__").withColumnRenamed("new__", "labels__"))
+                state, filled, moved = source.counted(told, n, starts)
+            if step and not moved:
+                break
+            frame, of = source.summing(told, state, n, starts)
+            size, inner = _held(frame, of, n, starts)
+            held = {divmod(c, n): (int(size[c]), float(inner[c])) for c in range(n * starts) if size[c]}
             apart = [[self._apart(held.get((s, k)), s * n + k) for k in range(n)] for s in range(starts)]
             if step == self.steps:
                 break
-            moved = checkpointed(told.withColumn("new__", F.array(*map(_least, apart))))
-            filled = {(r.s, r.k) for r in moved.select(F.posexplode("new__").alias("s", "k")).distinct().collect()}  # of starts x n at most
-            for s in range(starts):
-                if any((s, k) not in filled for k in range(n)):
-                    moved = self._repaired(moved, apart[s], s, n)
-            if moved.where("new__ <> labels__").isEmpty():
-                break
-            told = moved.drop("labels__", "sums__").withColumnRenamed("new__", "labels__")
+            told = checkpointed(_moving(frame, of, size, inner, n, starts))
+        told = checkpointed(with_sums(frame, of))
         cost = [sum(inner / (2 * size) for (t, _), (size, inner) in held.items() if t == s) for s in range(starts)]
         best = min(range(starts), key=lambda s: (round(cost[s], 12), s))
         picked: list[dict] = []
@@ -251,6 +254,12 @@ class RelationalKMeans(KMeans):
             picked += [r.asDict() for r in row]
         return picked
 
+    def _compared(self, rows: DataFrame, d: Distance, n: int, starts: int) -> GowerProfiles | _Block | _Blocks:
+        if few(rows, NEAR):
+            return _Block(rows, d)
+        profiles = GowerProfiles(rows, d) if isinstance(d, Gower) else None
+        return profiles if profiles is not None and profiles.fits(n * starts) else _Blocks(rows, d)
+
     @staticmethod
     def _sums(told: DataFrame, d: Distance, n: int, starts: int) -> DataFrame:
         """told with the sum of squared distances to each cluster of each start, by comparing its rows with each other in blocks."""
@@ -330,6 +339,82 @@ class RelationalKMeans(KMeans):
         return sorted(centres[best])
 
 
+class _Block:
+    """Rows that are few enough to be sent to all tasks, compared with each other."""
+
+    def __init__(self, rows: DataFrame, d: Distance):
+        self.ids, self.apart, self.width = d.space.ids, d.kernel(), len(d.stored())
+        self.rows = checkpointed(rows.withColumns({f"at{k}__": c.cast("double") for k, c in enumerate(d.stored())}))
+
+    def counted(self, told: DataFrame, n: int, starts: int) -> tuple[tuple[np.ndarray, np.ndarray], set[tuple[int, int]], int]:
+        """All rows and their labels, which clusters of which starts have rows, and how many labels moved__ tells; one job."""
+        got = block(told, [*(F.col(f"at{k}__") for k in range(self.width)), *(F.col("labels__")[s] for s in range(starts)), F.col("moved__")], [*by_key(self.ids), F.col("row__")])
+        labels = got[:, self.width : -1].astype(int)
+        return (got[:, : self.width], labels), {(s, int(k)) for s in range(starts) for k in np.unique(labels[:, s])}, int(got[:, -1].sum())
+
+    def summing(self, told: DataFrame, state: tuple[np.ndarray, np.ndarray], n: int, starts: int) -> tuple[DataFrame, Computed]:
+        sent, apart, width = told.sparkSession.sparkContext.broadcast(state), self.apart, self.width
+
+        def of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            refs, labels = sent.value
+            member = (labels[:, :, None] == np.arange(n)).reshape(len(refs), starts * n).astype(float)
+            x = np.column_stack([group.column(f"at{k}__").to_numpy().astype(float) for k in range(width)])
+            step = max(1, (1 << 21) // max(1, len(refs)))
+            return matrix(group, "labels__", starts), np.concatenate([apart(x[i : i + step], refs) ** 2 @ member for i in range(0, len(x), step)])
+
+        return told, Computed(of, False)
+
+
+class _Blocks:
+    """Rows compared with each other in blocks."""
+
+    def __init__(self, rows: DataFrame, d: Distance):
+        self.rows, self.distance = rows, d
+
+    def counted(self, told: DataFrame, n: int, starts: int) -> tuple[None, set[tuple[int, int]], int]:
+        got = told.select(F.posexplode("labels__").alias("s", "k"), "moved__").groupBy("s", "k").agg(F.sum("moved__").alias("moved")).collect()  # starts x n at most
+        return None, {(r.s, r.k) for r in got}, sum(r.moved for r in got)
+
+    def summing(self, told: DataFrame, state: None, n: int, starts: int) -> tuple[DataFrame, Stored]:
+        return checkpointed(RelationalKMeans._sums(told, self.distance, n, starts)), Stored(n, starts)
+
+
+def _held(frame: DataFrame, of: Stored | Computed, n: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster of each start its size and the sum of its squared inner distances."""
+
+    def run(batches):
+        total = np.zeros((2, starts * n))
+        for group in parts(batches, of.whole):
+            labels, sums = of(group)
+            at = labels + np.arange(starts) * n
+            total[0] += np.bincount(at.reshape(-1), minlength=starts * n)
+            total[1] += np.bincount(at.reshape(-1), np.take_along_axis(sums, at, axis=1).reshape(-1), starts * n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["slot", "v"])
+
+    got = frame.mapInArrow(run, "slot bigint, v double").groupBy("slot").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(2 * starts * n)
+    out[got["slot"]] = got["v"]
+    return out[: starts * n], out[starts * n :]
+
+
+def _moving(frame: DataFrame, of: Stored | Computed, size: np.ndarray, inner: np.ndarray, n: int, starts: int, both: bool = False) -> DataFrame:
+    """frame with each row's nearest clusters as labels__, and in moved__ how many are others than before; with both, they are new__ beside labels__ and sums__."""
+    there, half = size > 0, inner / (2 * np.maximum(size, 1) ** 2)
+    kept = [f for f in frame.schema.fields if f.name not in ("labels__", "moved__", "sums__")]
+    ints = T.ArrayType(T.IntegerType())
+    more = [("labels__", ints), ("sums__", T.ArrayType(T.DoubleType())), ("new__", ints)] if both else [("labels__", ints), ("moved__", T.IntegerType())]
+
+    def run(batches):
+        for group in parts(batches, of.whole):
+            labels, sums = of(group)
+            apart = np.where(there, np.round(sums / np.maximum(size, 1) - half, 12), np.inf)
+            new = apart.reshape(len(labels), starts, n).argmin(axis=2).astype(np.int32)
+            told = [lists(labels.astype(np.int32)), lists(sums), lists(new)] if both else [lists(new), pa.array((new != labels).sum(axis=1).astype(np.int32))]
+            yield from pa.Table.from_arrays([*(group.column(f.name) for f in kept), *told], [*(f.name for f in kept), *(name for name, _ in more)]).to_batches()
+
+    return frame.mapInArrow(run, T.StructType([*kept, *(T.StructField(*m) for m in more)]))
+
+
 def _squared(c: list[float]) -> Column:
     """Squared distance of an array x to a centre."""
     return F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)

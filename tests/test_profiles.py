@@ -73,3 +73,27 @@ def test_very_many_levels_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(profiles, "TABLES", 10)
     pool = spark.createDataFrame(drawn(9, 40, 0.0), "a double, b int, e double, c string, l boolean, k double")
     assert sampler("relational_kmeans", dist="gower", starts=1, steps=2).sample(2, SPACES["factors"], pool).count() == 2
+
+
+def test_steps_with_one_number_shuffle_no_row_and_are_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(frames, "REFERENCES", 20)
+    monkeypatch.setattr(profiles, "STRIP", 16)
+    space, n, starts = SPACES["flat"], 3, 2
+    pool = spark.createDataFrame(drawn(11, 200, 0.2), "a double, b int, e double, c string, l boolean, k double")
+    rows = frames.checkpointed(space.project(pool).withColumn("row__", F.monotonically_increasing_id()))
+    own = profiles.GowerProfiles(rows, Gower().fit(rows, space))
+    told = frames.checkpointed(own.rows.withColumn("labels__", F.array(F.lit(0), (F.col("row__") % 3).cast("int"))))
+    assert told.rdd.getNumPartitions() == own.strips > 5
+    assert "Exchange" not in own.sums(told, n, starts)._jdf.queryExecution().toString()
+
+    def jobs(steps):
+        group = f"steps {steps}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert len(sampler("relational_kmeans", dist="gower", starts=starts, steps=steps).sample(n, space, pool).collect()) == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        few, more = jobs(1), jobs(3)  # a shuffle may be a job of its own
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < more - few <= 2 * 5
