@@ -16,6 +16,7 @@ from siftpool.space import Space
 
 NEAR = 4096  # references that are compared with all rows at most where the nearest is asked; more are met by balls
 PAIRS = 1 << 24  # pairs of a task, about, where all are asked
+BLOCK = 512  # rows of a block there
 
 
 class DistanceError(ValueError):
@@ -152,18 +153,30 @@ class Distance:
             return rows.withColumn(out, F.struct(one.alias(names[0])))
         return rows.withColumn(out, over_block(refs, at, own, rows.sparkSession, ", ".join(f"{c} double" for c in names)))
 
-    def pairs(self, rows: DataFrame, ids: dict[str, str], out: str = "distance") -> DataFrame:
-        """All pairs of a row and a reference; ids maps carried columns of the references to their names in the result."""
+    def pairs(self, rows: DataFrame, ids: dict[str, str], out: str = "distance", of: Callable[[Column], Column] = lambda d: d) -> DataFrame:
+        """All pairs of a row and a reference with of(distance); ids maps carried columns of the references to their names in the result.
+
+        Blocks of rows meet blocks of references, and equal values meet once. The
+        pairs of equal values lie together and the ids of a block come again and
+        again, so that files of the result hold runs and repeats in place of each.
+        """
         self._ready()
-        n = rows.count() * self.references.count()
-        rows, frames = rows.repartition(max(tasks(rows), -(-n // PAIRS))), []  # a small table is one partition, its pairs would be one task
-        for refs in arrays(self.references, [*self.space.ids, *self._carried]):
-            one = beside(rows, refs).withColumn("ref", F.explode("refs"))
-            frames.append(one.select(*rows.columns, *(F.col(f"ref.{c}").alias(n) for c, n in ids.items()), self.between(F.col("ref")).alias(out)))
-        first = frames[0]
-        for f in frames[1:]:
-            first = first.unionByName(f)
-        return first
+        met = self._blocks(rows, "own__").crossJoin(self._blocks(self.references, "refs__").hint("shuffle_replicate_nl"))
+        met = met.select("own__", F.explode("refs__").alias("ref__")).select(F.explode("own__").alias("own__"), "ref__")
+        met = met.select("own__.at.*", F.col("own__.rows").alias("rows__"), "ref__").withColumn("told__", self.between(F.col("ref__.at")))
+        met = met.select("rows__", F.col("ref__.rows").alias("refs__"), of(F.col("told__")).alias("told__"))
+        met = met.select(F.explode("rows__").alias("row__"), "refs__", "told__").select("row__", F.explode("refs__").alias("ref__"), "told__")
+        return met.select(*(F.col("row__").getField(c).alias(c) for c in rows.columns), *(F.col("ref__").getField(c).alias(n) for c, n in ids.items()), F.col("told__").alias(out))
+
+    def _blocks(self, rows: DataFrame, out: str) -> DataFrame:
+        """rows sorted by their values and cut into blocks of BLOCK at most: an array of a block's values at, each with an array of its rows. Two partitions of such frames have PAIRS pairs, about."""
+        n, at, kinds = rows.count(), self.space.ids, dict(rows.dtypes)
+        parts = max(1, min(n, max(-(-n // math.isqrt(PAIRS)), math.isqrt(tasks(rows) - 1) + 1)))  # a small table is one partition, its pairs would be one task
+        order = by_key([*at, *(c for c in rows.columns if c not in at and "map<" not in kinds[c])])
+        placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("block__", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+        placed = placed.repartitionByRange(parts, "block__").coalesce(parts)  # no more, whatever a shuffle has
+        met = placed.groupBy("block__", F.struct(*at).alias("at")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+        return met.groupBy("block__").agg(F.collect_list(F.struct("at", "rows")).alias(out)).select(out)
 
     def to(self, values: dict) -> Column:
         """Distance of a row to one point given as values."""

@@ -96,9 +96,17 @@ def propose_topk(spark, sf_dir):
     return top(rows, "score", 20, ["p_partkey"]).select("p_partkey", r6("score"))
 
 
+def _six(d: Column) -> Column:
+    """d, not negative, rounded to six places by the arithmetic of SQL's round(); Spark's makes a decimal of each double."""
+    y = d * 1e6
+    low = F.floor(y).cast("double")
+    near = (low + (y - low >= 0.5).cast("double")) / 1e6
+    return F.when(y < float(1 << 52), near).when(y < float("inf"), y / 1e6).otherwise(d)  # NaN is above all
+
+
 def _supplier_pairs(spark, sf_dir, dist) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    return dist.fit(s, SUPPLIER).set_references(s, ("s_suppkey",)).pairs(s.withColumnRenamed("s_suppkey", "a"), {"s_suppkey": "b"}).select("a", "b", r6("distance"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", *SUPPLIER.ids)
+    return dist.fit(s, SUPPLIER).set_references(s, ("s_suppkey",)).pairs(s.withColumnRenamed("s_suppkey", "a"), {"s_suppkey": "b"}, of=_six).select("a", "b", "distance")
 
 
 @query("WITH st AS (SELECT (max(s_acctbal) - min(s_acctbal)) / 2 ra, (max(s_nationkey) - min(s_nationkey)) / 2.0 rn FROM supplier) SELECT x.s_suppkey a, y.s_suppkey b, round(sqrt(pow((x.s_acctbal - y.s_acctbal) / ra, 2) + pow((x.s_nationkey - y.s_nationkey) / rn, 2)), 6) distance FROM supplier x, supplier y, st")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,52 @@ def test_pairs_of_one_partition_are_dealt_to_many_tasks(spark, monkeypatch):
     got = Affine().fit(rows, Space((p_dbl("x"),))).set_references(rows, ("id",)).pairs(rows, {"id": "other"}).withColumn("task", F.spark_partition_id()).collect()
     assert {(r.id, r.other): round(r.distance, 9) for r in got} == {(i, j): round(abs(i - j) * 2 / 59, 9) for i in range(60) for j in range(60)} and len(got) == 3600
     assert len({r.task for r in got}) >= 10
+
+
+SUPPLIERS = Space((p_dbl("s_acctbal"), p_int("s_nationkey")))
+
+
+@pytest.mark.parametrize("dist", [Affine])
+def test_files_of_all_pairs_hold_equal_distances_once(spark, tmp_path, dist):
+    """Each reference of a long array was its own value in the file, some 4 bytes a pair."""
+    of = lambda n: spark.range(n).select("id", ((F.col("id") * 37 % 100) * 1.25).alias("s_acctbal"), (F.col("id") % 20).cast("int").alias("s_nationkey"))
+    d = dist().fit(of(20_000), SUPPLIERS).set_references(of(20_000), ("id",))
+    d.pairs(of(200), {"id": "other"}).select("id", "other", "distance").write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("id", "other").distinct().count() == 4_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 4_000_000
+    one = of(1).drop("id").first()
+    at = {c: F.lit(one[c]) for c in one.__fields__}
+    want = {r.id: r.d for r in of(20_000).select("id", d.between(at).alias("d")).collect()}
+    assert {r.other: r.distance for r in got.where("id = 0").collect()} == want
+
+
+@pytest.mark.parametrize("dist", [Affine])
+def test_pairs_of_repeated_and_odd_values(spark, monkeypatch, dist):
+    from siftpool.operators import distance as module
+
+    monkeypatch.setattr(module, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(module, "PAIRS", 400)
+    nan = float("nan")
+    rows = [(i % 30, x, n, {"k": i}) for i, (x, n) in enumerate([(0.0, 1), (-0.0, 1), (None, 2), (2.5, None), (nan, 3), (4.0, 5), (None, None)] * 9)]  # ids come twice, some with the same values
+    df = spark.createDataFrame(rows, "id int, s_acctbal double, s_nationkey int, more map<string, int>").repartition(3)
+    d = dist().fit(df.where("NOT isnan(s_acctbal)"), SUPPLIERS).set_references(df.where("id < 20"), ("id",))
+    told = lambda frame: sorted(repr((r.id, r.s_acctbal, r.s_nationkey, r.more, r.other, r.distance)) for r in frame.collect())
+    plain = df.crossJoin(d.references.select(F.struct("*").alias("ref"))).select(*df.columns, F.col("ref.id").alias("other"), d.between(F.col("ref")).alias("distance"))
+    got = told(d.pairs(df, {"id": "other"}))
+    assert got == told(plain) and len(got) == 63 * df.where("id < 20").count()
+    assert told(d.pairs(df.limit(0), {"id": "other"})) == []
+    assert told(d.set_references(df.limit(0), ("id",)).pairs(df, {"id": "other"})) == []
+
+
+def test_six_places_are_those_of_sql(spark):
+    from siftpool.queries import _six
+
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(3)
+    x = [*(rng.random(3000) * 3), *(rng.integers(0, 4_000_000, 3000) / 2e6), *(10.0 ** rng.integers(-9, 12, 300) * rng.random(300)), 0.0, 0.0000005, 1.0000015, 0.49999949999999997]
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", _six(F.col("x")).alias("y")).orderBy("i").collect()
+    want = duckdb.sql(f"SELECT round(v, 6) FROM (SELECT unnest({[float(v) for v in x]!r}::DOUBLE[]) v)").fetchall()
+    assert [r.y for r in got] == [w[0] for w in want]
+    odd = spark.createDataFrame([(float("nan"),), (None,), (math.inf,), (1.5e305,)], "x double").select(_six(F.col("x")).alias("y")).collect()
+    assert math.isnan(odd[0].y) and odd[1].y is None and odd[2].y == math.inf and odd[3].y == 1.5e305
