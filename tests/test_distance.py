@@ -102,7 +102,7 @@ def test_pairs_of_one_partition_are_dealt_to_many_tasks(spark, monkeypatch):
 SUPPLIERS = Space((p_dbl("s_acctbal"), p_int("s_nationkey")))
 
 
-@pytest.mark.parametrize("dist", [Affine, Standardize])
+@pytest.mark.parametrize("dist", [Affine, Standardize, Gower])
 def test_files_of_all_pairs_hold_equal_distances_once(spark, tmp_path, dist):
     """Each reference of a long array was its own value in the file, some 4 bytes a pair."""
     of = lambda n: spark.range(n).select("id", ((F.col("id") * 37 % 100) * 1.25).alias("s_acctbal"), (F.col("id") % 20).cast("int").alias("s_nationkey"))
@@ -117,7 +117,7 @@ def test_files_of_all_pairs_hold_equal_distances_once(spark, tmp_path, dist):
     assert {r.other: r.distance for r in got.where("id = 0").collect()} == want
 
 
-@pytest.mark.parametrize("dist", [Affine, Standardize])
+@pytest.mark.parametrize("dist", [Affine, Standardize, Gower])
 def test_pairs_of_repeated_and_odd_values(spark, monkeypatch, dist):
     from siftpool.operators import distance as module
 
