@@ -174,9 +174,9 @@ class Distance:
         parts = max(1, min(n, max(-(-n // math.isqrt(PAIRS)), math.isqrt(tasks(rows) - 1) + 1)))  # a small table is one partition, its pairs would be one task
         order = by_key([*at, *(c for c in rows.columns if c not in at and "map<" not in kinds[c])])
         placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("block__", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
-        placed = placed.repartitionByRange(parts, "block__").coalesce(parts)  # no more, whatever a shuffle has
-        met = placed.groupBy("block__", F.struct(*at).alias("at")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
-        return met.groupBy("block__").agg(F.collect_list(F.struct("at", "rows")).alias(out)).select(out)
+        met = placed.repartitionByRange(parts, "block__").groupBy("block__", F.struct(*at).alias("at")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+        met = met.groupBy("block__").agg(F.collect_list(F.struct("at", "rows")).alias(out)).select(out)
+        return checkpointed(met.coalesce(parts))  # each meets all others, so there are no more, whatever a shuffle has
 
     def to(self, values: dict) -> Column:
         """Distance of a row to one point given as values."""
